@@ -71,3 +71,10 @@ def attach_labels(df: DataFrame, label: str, maps: DataFrame) -> DataFrame:
     keyed = df.withColumn("_id", F.col(label).cast("string"))
     right = maps.select(F.col("label").cast("string").alias("_id"), "name", "letter")
     return null_safe_join(keyed, right, ["_id"], "left").drop("_id")
+
+
+def numeric_order(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
+    """0-based position of each key with numbers before text."""
+    parts = ["_o0", "_o1", "_o2"]
+    keyed = df.withColumns(dict(zip(parts, numeric_first(key))))
+    return positions(keyed.withColumn("_o0", F.col("_o0").cast("int")), [], parts, name).drop(*parts)

@@ -1,8 +1,8 @@
-"""Run keys from prediction paths, as one STRUCT expression per layout."""
+"""Run keys from prediction paths and file names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # File and folder name patterns of the run layout.
 LAYER_STEM = r"^layer(\d+)$"
@@ -30,114 +30,107 @@ def stem(name: Column) -> Column:
 def normalise_embedding(emb: Column, style: str = "underscore", force_ust: bool = True) -> Column:
     """Trim, use underscores (or keep hyphens), optionally end in ``ust``; empty becomes NULL."""
     sep = "_" if style == "underscore" else "-"
-    text = F.nullif(F.trim(emb), F.lit(""))
+    text = F.trim(emb)
     if style == "underscore":
         text = F.replace(text, F.lit("-"), F.lit("_"))
     if force_ust:
-        text = F.when(text.endswith(f"{sep}ust"), text).otherwise(F.concat(text, F.lit(f"{sep}ust")))
-    return text
+        text = F.regexp_replace(text, f"^(?=.)(.*?)({sep}ust)?$", f"$1{sep}ust")
+    return F.nullif(text, F.lit(""))
 
 
 def strip_ust(emb: Column) -> Column:
     return F.regexp_replace(emb, r"[-_]ust$", "")
 
 
-def _parts(path: Column) -> Column:
-    return F.filter(F.split(F.trim(path), "/"), lambda p: (p != "") & (p != "."))
+#: the root folder and up to five parts below it, each optional
+_BELOW_ROOT = rf"(?:^|/){ROOT}" + "".join(r"(?:/+([^/]+)" for _ in range(5)) + ")?" * 5
 
 
-def _after_root(path: Column):
-    parts = _parts(path)
-    at = F.array_position(parts, ROOT).cast("int")
+def _below_root(path: str) -> list[Column]:
+    """Parts 1 to 5 below the root folder, '' where missing.
 
-    def part(k: int) -> Column:
-        # get() is 0-based and NULL past the end
-        return F.when(at > 0, F.get(parts, at - 1 + k))
-
-    return part
+    Each is one match on the path and every step below names it as rarely as
+    possible: Spark inlines these expressions into filters it pushes down.
+    """
+    return [F.regexp_extract(path, _BELOW_ROOT, k) for k in range(1, 6)]
 
 
-def parse_run_path(path: Column, style: str = "underscore") -> Column:
-    """Run keys of ``.../sample_generations/<model>/<dataset>/<method>/...``.
+def run_keys(df: DataFrame, path: str = "pred_path", style: str = "underscore") -> DataFrame:
+    """Add the run keys of ``.../sample_generations/<model>/<dataset>/<method>/...``.
 
     ``underscore``: names with underscores ending in ``_ust``; ``hyphen``: names as
     written, shots read from the run folder, prompting without shots counts as 0.
     """
-    part = _after_root(path)
-    method, a, b = part(3), part(4), part(5)
+    if style not in ("underscore", "hyphen"):
+        raise ValueError(f"unknown path style {style!r}")
+    columns = list(df.columns)
+    out = df.withColumns({f"_p{k}": c for k, c in enumerate(_below_root(path), 1)})
+    method, a, b = F.col("_p3"), F.col("_p4"), F.col("_p5")
     is_random, is_probe, is_prompt = (method == m for m in ("random", "logistic_regression", "visual_prompting"))
-    null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
-    name = F.when(is_probe, b).when(is_random | is_prompt, a)
-    name_stem = stem(name)
+    out = out.withColumn("_name", F.when(is_probe, b).when(is_random | is_prompt, a).otherwise(""))
+    out = out.withColumn("_stem", stem(F.col("_name")))
+    # the text that carries embedding, shots and style
+    out = out.withColumn("_run", F.when(is_probe, a).when(is_prompt, F.col("_stem")).otherwise(""))
+    name, stem_, run = F.col("_name"), F.col("_stem"), F.col("_run")
+    empty = F.lit("")
+    keys = [F.nullif(F.col(f"_p{k}"), empty).alias(n) for k, n in ((1, "model"), (2, "dataset"), (3, "method"))]
     if style == "underscore":
-        emb = (
-            F.when(is_random, F.nullif(name_stem, F.lit("")))
-            .when(is_probe, normalise_embedding(_found(a, STYLE_ONLY)))
-            .when(is_prompt, normalise_embedding(_found(name_stem, SHOT_STYLE)))
-            .otherwise(normalise_embedding(a))
-        )
-        return F.struct(
-            part(1).alias("model"), part(2).alias("dataset"), method.alias("method"), emb.alias("embedding_type"),
-            F.when(is_probe, _found(a, STYLE_ONLY, 2)).when(is_prompt, _found(name_stem, SHOT_STYLE, 3)).otherwise(null_s).alias("style"),
-            F.when(is_random, F.nullif(name_stem, F.lit(""))).otherwise(null_s).alias("variant"),
-            F.when(is_probe, _found(name_stem, LAYER_STEM).cast("int")).otherwise(null_i).alias("layer"),
-            F.when(is_prompt, _found(name_stem, SHOT_STYLE, 2).cast("int")).otherwise(null_i).alias("shots"),
-            name_stem.alias("pred_file_stem"),
-        )
-    if style != "hyphen":
-        raise ValueError(f"unknown path style {style!r}")
-    run = F.when(is_probe, a).when(is_prompt, name_stem)
-    with_shots = run.rlike(SHOT_STYLE)
-    emb = F.when(with_shots, _found(run, SHOT_STYLE)).otherwise(_found(run, STYLE_ONLY))
-    run_style = F.when(with_shots, _found(run, SHOT_STYLE, 3)).otherwise(_found(run, STYLE_ONLY, 2))
-    shots = F.when(with_shots, _found(run, SHOT_STYLE, 2).cast("int")).when(is_prompt & run.isNotNull(), 0)
-    return F.struct(
-        part(1).alias("model"), part(2).alias("dataset"), method.alias("method"),
-        F.when(is_random, name_stem).otherwise(normalise_embedding(emb, "hyphen", False)).alias("embedding_type"),
-        run_style.alias("style"), shots.alias("shots"),
-        F.when(is_probe, _found(name, LAYER_FILE).cast("int")).alias("layer"),
-        F.when(is_random, name_stem).alias("variant"),
-        name.alias("pred_file"), name_stem.alias("pred_stem"), F.when(is_probe, a).alias("run_dir"),
+        prompt_emb = F.regexp_extract(run, SHOT_STYLE, 1)
+        probe_emb = F.regexp_extract(run, STYLE_ONLY, 1)
+        emb = F.when(is_probe, probe_emb).when(is_prompt, prompt_emb).otherwise(a)
+        keys += [
+            F.when(is_random, F.nullif(stem_, empty)).otherwise(normalise_embedding(emb)).alias("embedding_type"),
+            F.when(is_probe, _found(run, STYLE_ONLY, 2)).when(is_prompt, _found(run, SHOT_STYLE, 3)).alias("style"),
+            F.when(is_random, F.nullif(stem_, empty)).alias("variant"),
+            F.when(is_probe, _found(stem_, LAYER_STEM).cast("int")).alias("layer"),
+            F.when(is_prompt, _found(run, SHOT_STYLE, 2).cast("int")).alias("shots"),
+            F.nullif(stem_, empty).alias("pred_file_stem"),
+        ]
+    else:
+        shot = run.rlike(SHOT_STYLE)
+        emb = F.regexp_extract(run, STYLE_ONLY, 1)
+        shot_emb = F.regexp_extract(run, SHOT_STYLE, 1)
+        keys += [
+            F.when(is_random, F.nullif(stem_, empty)).otherwise(normalise_embedding(F.when(shot, shot_emb).otherwise(emb), "hyphen", False)).alias("embedding_type"),
+            F.when(shot, _found(run, SHOT_STYLE, 3)).otherwise(_found(run, STYLE_ONLY, 2)).alias("style"),
+            F.when(shot, F.regexp_extract(run, SHOT_STYLE, 2).cast("int")).when(is_prompt & (run != ""), 0).alias("shots"),
+            F.when(is_probe, _found(name, LAYER_FILE).cast("int")).alias("layer"),
+            F.when(is_random, F.nullif(stem_, empty)).alias("variant"),
+            F.nullif(name, empty).alias("pred_file"), F.nullif(stem_, empty).alias("pred_stem"),
+            F.when(is_probe, F.nullif(a, empty)).alias("run_dir"),
+        ]
+    return out.select(*columns, *keys)
+
+
+def run_keys_from_right(df: DataFrame, path: str = "pred_path") -> DataFrame:
+    """Keys from the last five path parts; shorter paths are dropped. Style defaults to Direct, layer and shots to 0."""
+    columns = [c for c in df.columns]
+    out = df.withColumn("_parts", F.split(F.trim(path), "/")).where(F.size("_parts") >= 5)
+    out = out.withColumns({f"_r{k}": F.element_at("_parts", -k) for k in range(1, 6)})
+    out = out.withColumn("_bits", F.split("_r2", "_"))
+    out = out.withColumn("_raw", F.replace(F.get("_bits", F.lit(1)), F.lit("-shot"), F.lit("")))
+    shots = F.when(F.replace(F.col("_raw"), F.lit("."), F.lit("")).rlike(r"^\d+$"), F.col("_raw").try_cast("double"))
+    return out.select(
+        *columns,
+        F.col("_r5").alias("model"), F.col("_r4").alias("dataset"), F.col("_r3").alias("method"), F.get("_bits", F.lit(0)).alias("embedding_type"),
+        F.coalesce(F.get("_bits", F.lit(2)), F.lit("Direct")).alias("style"), F.coalesce(shots, F.lit(0.0)).alias("shots"),
+        F.coalesce(_found(F.col("_r1"), r"layer(\d+)").cast("int"), F.lit(0)).alias("layer"), F.col("_r2").alias("variant"),
+        F.col("_r1").alias("pred_file"), F.replace(F.col("_r1"), F.lit(".jsonl"), F.lit("")).alias("pred_stem"), F.col("_r2").alias("run_dir"),
     )
 
 
-def parse_path_from_right(path: Column) -> Column:
-    """Keys from the last five path parts; NULL when the path is shorter. Style defaults to Direct, layer and shots to 0."""
-    parts = F.split(F.trim(path), "/")
-
-    def part(k: int) -> Column:
-        return F.try_element_at(parts, F.lit(-k))
-
-    file, run = part(1), part(2)
-    bits = F.split(run, "_")
-    raw = F.replace(F.get(bits, F.lit(1)), F.lit("-shot"), F.lit(""))
-    shots = F.when(F.replace(raw, F.lit("."), F.lit("")).rlike(r"^\d+$"), raw.try_cast("double"))
-    keys = F.struct(
-        part(5).alias("model"), part(4).alias("dataset"), part(3).alias("method"), bits[0].alias("embedding_type"),
-        F.coalesce(F.get(bits, F.lit(2)), F.lit("Direct")).alias("style"), F.coalesce(shots, F.lit(0.0)).alias("shots"),
-        F.coalesce(_found(file, r"layer(\d+)").cast("int"), F.lit(0)).alias("layer"), run.alias("variant"),
-        file.alias("pred_file"), F.replace(file, F.lit(".jsonl"), F.lit("")).alias("pred_stem"), run.alias("run_dir"),
-    )
-    return F.when(F.size(parts) >= 5, keys)
-
-
-def parse_modality(path: Column) -> Column:
-    """model, dataset, method, modality, style flag, shots and layer; '' / 0 / -1 where missing."""
-    part = _after_root(path)
-    run = F.coalesce(part(4), F.lit(""))
-    rooted = part(0).isNotNull()
-    bits = F.split(run, "_")
-    flags = F.transform(bits, lambda p: F.lower(p).rlike(r"^\d+-shot$"))
-    at = F.array_position(flags, True).cast("int")
-    shots = F.when(at > 0, F.regexp_extract(F.get(bits, at - 1), r"^(\d+)", 1).cast("int")).otherwise(-1)
-    modality = F.when(at > 0, F.array_join(F.slice(bits, 1, F.greatest(at - 1, F.lit(0))), "_")).otherwise(run)
-    layer = F.coalesce(_found(path, r"(?i)(?:^|/)layer(\d+)\.jsonl$").cast("int"), F.lit(-1))
-    return F.struct(
-        *[F.coalesce(part(k), F.lit("")).alias(n) for k, n in ((1, "model"), (2, "dataset"), (3, "method"))],
-        F.when(rooted, modality).otherwise("").alias("modality"),
-        F.when(rooted & F.lower(run).contains("cot"), 1).otherwise(0).alias("style"),
-        F.when(rooted, shots).otherwise(-1).alias("shots"),
-        layer.alias("layer"),
+def run_modality(df: DataFrame, path: str = "pred_path") -> DataFrame:
+    """Add model, dataset, method, modality, style flag, shots and layer; '' / 0 / -1 where missing."""
+    columns = list(df.columns)
+    model, dataset, method, run, _ = _below_root(path)
+    # the first underscore-separated token that reads <k>-shot
+    shot = r"(?i)^(.*?)(?:^|_)(\d+)-shot(?:_.*)?$"
+    out = df.withColumns({"model": model, "dataset": dataset, "method": method, "_run": run})
+    return out.select(
+        *columns, "model", "dataset", "method",
+        F.regexp_replace("_run", shot, "$1").alias("modality"), F.lower("_run").contains("cot").cast("int").alias("style"),
+        F.coalesce(_found(F.col("_run"), shot, 2).cast("int"), F.lit(-1)).alias("shots"),
+        F.coalesce(_found(F.col(path), r"(?i)(?:^|/)layer(\d+)\.jsonl$").cast("int"), F.lit(-1)).alias("layer"),
     )
 
 

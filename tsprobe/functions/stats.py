@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_tail(x: float, a: float, b: float) -> float:
@@ -48,7 +49,7 @@ def t_quantile(p: float, dof: float) -> float:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_critical_95(dof: pd.Series) -> pd.Series:
     return dof.map(lambda d: t_quantile(0.975, float(d)) if d and d > 0 else 0.0)
 
@@ -75,6 +76,6 @@ def signed_rank_p(n: int, w_plus: float, ties: float) -> float:
     return 0.5 * math.erfc((w_plus - n * (n + 1) / 4) / math.sqrt(2 * variance))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def signed_rank_p_udf(n: pd.Series, w_plus: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([signed_rank_p(int(a), float(b), float(c)) for a, b, c in zip(n, w_plus, ties)], dtype="float64")
