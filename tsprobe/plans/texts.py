@@ -20,7 +20,7 @@ steps AS (SELECT user_id, p, v, lead(v) OVER w AS nv, lag(v) OVER w AS pv FROM s
 t AS (SELECT *, CASE WHEN v = nv THEN 'steady' WHEN v < nv THEN 'increase' ELSE 'decrease' END AS trend,
       CASE WHEN pv = v THEN 'steady' WHEN pv < v THEN 'increase' WHEN pv > v THEN 'decrease' END AS ptrend FROM steps WHERE nv IS NOT NULL),
 g AS (SELECT *, sum(CASE WHEN ptrend IS NULL OR ptrend <> trend THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY p) - 1 AS seg FROM t),
-segs AS (SELECT user_id, CAST(seg AS BIGINT) AS seg, any_value(trend) AS trend, round(min(p) * 0.02, 2) AS start_time, round((max(p) + 1) * 0.02, 2) AS end_time,
+segs AS (SELECT user_id, CAST(seg AS BIGINT) AS seg, any_value(trend) AS trend, round(min(p) * CAST(0.02 AS DOUBLE), 2) AS start_time, round((max(p) + 1) * CAST(0.02 AS DOUBLE), 2) AS end_time,
          arg_min(v, p) AS start_value, arg_max(nv, p) AS end_value, count(*) AS n_steps FROM g GROUP BY user_id, seg)"""
 
 
@@ -28,7 +28,7 @@ def _tens(spark, sf_dir):
     return series(spark, sf_dir).select("user_id", "p", F.floor(F.col("v") / 10).cast("double").alias("v"))
 
 
-@query("step_trends", f"WITH {TREND_CTES} SELECT user_id, p, round(p * 0.02, 2) AS from_time, round((p + 1) * 0.02, 2) AS to_time, v::DOUBLE AS from_value, nv::DOUBLE AS to_value, trend FROM t")
+@query("step_trends", f"WITH {TREND_CTES} SELECT user_id, p, round(p * CAST(0.02 AS DOUBLE), 2) AS from_time, round((p + 1) * CAST(0.02 AS DOUBLE), 2) AS to_time, v::DOUBLE AS from_value, nv::DOUBLE AS to_value, trend FROM t")
 def step_trends(spark, sf_dir):
     return trends.step_trends(_tens(spark, sf_dir), ["user_id"], "p", "v", 50).drop("starts")
 
@@ -64,7 +64,7 @@ t AS (SELECT *, CASE WHEN v = nv THEN 'steady' WHEN v < nv THEN 'increase' ELSE
 g AS (SELECT *, sum(CASE WHEN ptrend IS NULL OR ptrend <> trend THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, win ORDER BY o) AS seg FROM t),
 keyed AS (SELECT user_id, win, CAST('0x' || substr(md5('42|' || user_id || '|' || win), 1, 8) AS BIGINT) % 3 + 1 AS k,
           CASE WHEN arg_max(v, o) > arg_min(v, o) THEN 'upward' WHEN arg_max(v, o) < arg_min(v, o) THEN 'downward' ELSE 'steady' END AS alltrend FROM x GROUP BY 1, 2),
-segs AS (SELECT user_id, win, seg, any_value(trend) AS trend, min(o) * 0.02 AS a, (max(o) + 1) * 0.02 AS b FROM g GROUP BY 1, 2, 3),
+segs AS (SELECT user_id, win, seg, any_value(trend) AS trend, min(o) * CAST(0.02 AS DOUBLE) AS a, (max(o) + 1) * CAST(0.02 AS DOUBLE) AS b FROM g GROUP BY 1, 2, 3),
 tot AS (SELECT user_id, win, k, trend, round(sum(b - a), 2) AS tt, count(*) AS n, min(seg) AS f FROM segs JOIN keyed USING (user_id, win) GROUP BY 1, 2, 3, 4)"""
 
 
@@ -97,14 +97,11 @@ def totals_table(spark, sf_dir):
 
 @query("trend_qa", f"WITH {_TEXT_CTES} SELECT user_id, win, 'ts' AS channel, 'simple_trend' AS type, count(*) AS n_segments FROM segs GROUP BY 1, 2")
 def trend_qa(spark, sf_dir):
-    """QA maps built from the trend texts; the channel's trend list has one line per segment."""
-    t = _texts(spark, sf_dir)
-    pair = F.struct(F.lit("Describe the trends of the time series data.").alias("Q"), F.col("trend_list").alias("A"), F.lit("simple_trend").alias("type"))
-    docs = t.withColumn("qa_pairs", F.create_map(F.lit("ts"), F.array(pair)))
-    rows = docs.select("user_id", "win", F.explode("qa_pairs").alias("channel", "pairs"))
-    a = F.get("pairs", F.lit(0))
-    n = F.size(F.filter(F.split(a["A"], "\n"), lambda line: line.contains("s to ")))
-    return rows.select("user_id", "win", "channel", a["type"].alias("type"), n.cast("bigint").alias("n_segments"))
+    """QA records built from the trend texts; the trend list has one line per segment."""
+    t = _texts(spark, sf_dir).select("user_id", "win", "trend_list")
+    docs = qa.trend_record(t, "trend_list")
+    n = F.size(F.regexp_extract_all(F.col("pair.A"), F.lit("s to "), F.lit(0)))
+    return docs.select("user_id", "win", F.lit("ts").alias("channel"), F.col("pair.type").alias("type"), n.cast("bigint").alias("n_segments"))
 
 
 ANSWERS_SQL = """
@@ -116,9 +113,9 @@ SELECT o_orderkey AS id, CASE o_orderkey % 7
 LETTERS = {c: i for i, c in enumerate("ABCDE")}
 _LETTER_CTES = f"""
 t AS ({ANSWERS_SQL}), c AS (SELECT *, trim(regexp_extract(txt, '[Tt]he answer is\\s*\\[([^\\[\\]]+)\\]', 1)) AS a1, trim(regexp_extract(txt, '[Ff]inal answer\\s*[:\\-]?\\s*\\[([^\\[\\]]+)\\]', 1)) AS a2,
- trim(regexp_extract(txt, '[Aa]nswer\\s*[:\\-]?\\s*\\[([^\\[\\]]+)\\]', 1)) AS a3, list_transform(regexp_extract_all(txt, '\\[([^\\[\\]]+)\\]', 1), x -> trim(x)) AS toks FROM t),
+ trim(regexp_extract(txt, '[Aa]nswer\\s*[:\\-]?\\s*\\[([^\\[\\]]+)\\]', 1)) AS a3, list_transform(regexp_extract_all(txt, '\\[([^\\[\\]]+)\\]', 1), lambda x: trim(x)) AS toks FROM t),
 r AS (SELECT id, gt, CASE WHEN a1 IN ('A','B','C','D','E') THEN a1 WHEN a2 IN ('A','B','C','D','E') THEN a2 WHEN a3 IN ('A','B','C','D','E') THEN a3
- ELSE list_filter(toks, x -> x IN ('A','B','C','D','E'))[-1] END AS l FROM c),
+ ELSE list_filter(toks, lambda x: x IN ('A','B','C','D','E'))[-1] END AS l FROM c),
 p AS (SELECT id, gt, coalesce(l, 'no valid letter found') AS letter, coalesce(ascii(l) - 65, -1) AS pred FROM r)"""
 
 
@@ -145,8 +142,8 @@ SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'Sure: {"analysis": "up", "
 
 @query("parse_forecast", f"""
 WITH t AS ({FORECAST_SQL}), j AS (SELECT id, try_cast(nullif(regexp_extract(txt, '\\{{.*\\}}', 0, 's'), '') AS JSON) AS j FROM t),
-f AS (SELECT id, j->>'$.analysis' AS analysis, list_transform(CAST(j->'$.forecast' AS JSON[]), x -> try_cast(x->>'$' AS DOUBLE)) AS f FROM j),
-o AS (SELECT *, coalesce(analysis IS NOT NULL AND len(f) = 3 AND len(list_filter(f, x -> x IS NULL)) = 0, false) AS ok FROM f)
+f AS (SELECT id, j->>'$.analysis' AS analysis, list_transform(CAST(j->'$.forecast' AS JSON[]), lambda x: try_cast(x->>'$' AS DOUBLE)) AS f FROM j),
+o AS (SELECT *, coalesce(analysis IS NOT NULL AND len(f) = 3 AND len(list_filter(f, lambda x: x IS NULL)) = 0, false) AS ok FROM f)
 SELECT id, CASE WHEN ok THEN analysis END AS analysis, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, CASE WHEN ok THEN round(list_sum(f), 3) END AS total FROM o""")
 def parse_forecast(spark, sf_dir):
     out = ft.parse_forecast(derive(spark, sf_dir, FORECAST_SQL), "txt", 3)
@@ -168,14 +165,14 @@ def strip_header(spark, sf_dir):
 
 
 @query("digit_text", """
-WITH d AS (SELECT vec_id, list_transform(embedding[1:8], x -> struct_pack(s := x < 0, n := CAST(abs(round_even(CAST(x AS DOUBLE) * 1000, 0)) AS BIGINT))) AS l FROM {embeddings})
-SELECT vec_id, array_to_string(list_transform(l, y -> trim(regexp_replace(CASE WHEN y.s THEN '-' ELSE '' END || (y.n // 1000) || lpad(CAST(y.n % 1000 AS VARCHAR), 3, '0'), '(.)', '\\1 ', 'g'))), ' , ') AS txt FROM d""")
+WITH d AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: struct_pack(s := x < 0, n := CAST(abs(round_even(CAST(x AS DOUBLE) * 1000, 0)) AS BIGINT))) AS l FROM {embeddings})
+SELECT vec_id, array_to_string(list_transform(l, lambda y: trim(regexp_replace(CASE WHEN y.s THEN '-' ELSE '' END || (y.n // 1000) || lpad(CAST(y.n % 1000 AS VARCHAR), 3, '0'), '(.)', '\\1 ', 'g'))), ' , ') AS txt FROM d""")
 def digit_text(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", ft.digit_text(F.slice("embedding", 1, 8)).alias("txt"))
 
 
 @query("scaled_digit_text", """
-WITH d AS (SELECT vec_id, list_transform(embedding[1:8], (x, i) -> CASE WHEN vec_id % 10 = 0 AND i = 3 THEN 'n a n' WHEN vec_id % 10 = 1 AND i = 3 THEN '- i n f'
+WITH d AS (SELECT vec_id, list_transform(embedding[1:8], lambda x, i: CASE WHEN vec_id % 10 = 0 AND i = 3 THEN 'n a n' WHEN vec_id % 10 = 1 AND i = 3 THEN '- i n f'
  ELSE CASE WHEN round_even(CAST(x AS DOUBLE) * 10000, 0) < 0 THEN '- ' ELSE '' END || trim(regexp_replace(CAST(CAST(abs(round_even(CAST(x AS DOUBLE) * 10000, 0)) AS BIGINT) AS VARCHAR), '(.)', '\\1 ', 'g')) END) AS l FROM {embeddings})
 SELECT vec_id, array_to_string(l, ' ,') AS series_text, l[1] || ' |' || l[2] || ' ,' || l[3] || ' |' || l[4] || ' ,' || l[5] || ' |' || l[6] || ' ,' || l[7] || ' |' || l[8] AS matrix_text FROM d""")
 def scaled_digit_text(spark, sf_dir):
@@ -186,20 +183,20 @@ def scaled_digit_text(spark, sf_dir):
 
 
 @query("json_and_space_text", """
-WITH d AS (SELECT vec_id, list_transform(embedding[1:6], x -> CAST(floor(CAST(x AS DOUBLE) * 1000) / 8 AS VARCHAR)) AS l FROM {embeddings})
+WITH d AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) / 8 AS VARCHAR)) AS l FROM {embeddings})
 SELECT vec_id, '[' || array_to_string(l, ', ') || ']' AS json_text, array_to_string(l, ' ') AS space_text FROM d""")
 def json_and_space_text(spark, sf_dir):
     v = F.transform(F.slice("embedding", 1, 6), lambda x: F.floor(x.cast("double") * 1000) / 8)
     return table(spark, sf_dir, "embeddings").select("vec_id", ft.json_text(v).alias("json_text"), ft.space_text(v).alias("space_text"))
 
 
-_CELLS = "list_transform(range(0, 16), t -> list_transform(embedding[t * 4 + 1 : t * 4 + 4], x -> CAST(round_even(CAST(x AS DOUBLE) * 1000, 0) / 1000 AS VARCHAR)))"
+_CELLS = "list_transform(range(0, 16), lambda t: list_transform(embedding[t * 4 + 1 : t * 4 + 4], lambda x: CAST(round_even(CAST(x AS DOUBLE) * 1000, 0) / 1000 AS VARCHAR)))"
 
 
 @query("serialize_series", f"""
 WITH d AS (SELECT vec_id, {_CELLS} AS c FROM {{embeddings}}),
 k AS (SELECT vec_id, unnest(range(1, 17)) AS k, c FROM d),
-r AS (SELECT vec_id, k, ceil(16 / k) AS n, '[' || array_to_string(list_transform(list_filter(range(0, 16), t -> t % k = 0), t -> '[' || array_to_string(c[t + 1], ', ') || ']'), ', ') || ']' AS txt FROM k),
+r AS (SELECT vec_id, k, ceil(16 / k) AS n, '[' || array_to_string(list_transform(list_filter(range(0, 16), lambda t: t % k = 0), lambda t: '[' || array_to_string(c[t + 1], ', ') || ']'), ', ') || ']' AS txt FROM k),
 f AS (SELECT vec_id, length(txt) AS full FROM r WHERE k = 1)
 SELECT vec_id, CAST(k AS INT) AS factor, txt AS "text" FROM r JOIN f USING (vec_id) WHERE (full <= 200 AND k = 1) OR (full > 200 AND k >= ceil(full / 200) AND (length(txt) <= 200 OR n <= 2))
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY k) = 1""")
@@ -212,7 +209,7 @@ def serialize_series(spark, sf_dir):
 @query("serialize_wide_series", f"""
 WITH d AS (SELECT vec_id, {_CELLS} AS c FROM {{embeddings}}),
 k AS (SELECT vec_id, unnest(range(1, 17)) AS k, c FROM d),
-r AS (SELECT vec_id, k, ceil(16 / k) AS n, '[' || array_to_string(list_transform(range(0, 4), j -> '[' || array_to_string(list_transform(list_filter(range(0, 16), t -> t % k = 0), t -> c[t + 1][j + 1]), ', ') || ']'), ', ') || ']' AS txt FROM k),
+r AS (SELECT vec_id, k, ceil(16 / k) AS n, '[' || array_to_string(list_transform(range(0, 4), lambda j: '[' || array_to_string(list_transform(list_filter(range(0, 16), lambda t: t % k = 0), lambda t: c[t + 1][j + 1]), ', ') || ']'), ', ') || ']' AS txt FROM k),
 f AS (SELECT vec_id, length(txt) AS full FROM r WHERE k = 1)
 SELECT vec_id, CAST(k AS INT) AS factor, txt AS "text" FROM r JOIN f USING (vec_id) WHERE (full <= 200 AND k = 1) OR (full > 200 AND k >= ceil(full / 200) AND (length(txt) <= 200 OR n <= 2))
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY k) = 1""")
@@ -224,8 +221,8 @@ def serialize_wide_series(spark, sf_dir):
 
 @query("build_prompts", f"""
 WITH d AS (SELECT vec_id, {_CELLS} AS c, embedding AS e FROM {{embeddings}})
-SELECT vec_id, 'Which class?' || chr(10) || chr(10) || 'Answer:' || chr(10) || chr(10) || 'Here are the raw time series values (JSON):' || chr(10) || '[' || array_to_string(list_transform(c, r -> '[' || array_to_string(r, ', ') || ']'), ', ') || ']' AS json_prompt,
- md5(array_to_string(list_transform(e, x -> trim(regexp_replace(CASE WHEN x < 0 THEN '-' ELSE '' END || (CAST(abs(round_even(CAST(x AS DOUBLE) * 1000, 0)) AS BIGINT) // 1000) || lpad(CAST(CAST(abs(round_even(CAST(x AS DOUBLE) * 1000, 0)) AS BIGINT) % 1000 AS VARCHAR), 3, '0'), '(.)', '\\1 ', 'g'))), ' , ')) AS digit_prompt FROM d""")
+SELECT vec_id, 'Which class?' || chr(10) || chr(10) || 'Answer:' || chr(10) || chr(10) || 'Here are the raw time series values (JSON):' || chr(10) || '[' || array_to_string(list_transform(c, lambda r: '[' || array_to_string(r, ', ') || ']'), ', ') || ']' AS json_prompt,
+ md5(array_to_string(list_transform(e, lambda x: trim(regexp_replace(CASE WHEN x < 0 THEN '-' ELSE '' END || (CAST(abs(round_even(CAST(x AS DOUBLE) * 1000, 0)) AS BIGINT) // 1000) || lpad(CAST(CAST(abs(round_even(CAST(x AS DOUBLE) * 1000, 0)) AS BIGINT) % 1000 AS VARCHAR), 3, '0'), '(.)', '\\1 ', 'g'))), ' , ')) AS digit_prompt FROM d""")
 def build_prompts(spark, sf_dir):
     x = table(spark, sf_dir, "embeddings").select("vec_id", fs.reshape(F.col("embedding"), 4).alias("x"))
     a = qa.build_prompts(x, "ts,ust", "x", " Which class? ", "Answer:").withColumnRenamed("user_text", "json_prompt")
@@ -310,7 +307,7 @@ def _documents_as_qa(spark, sf_dir, first: bool = True, rest: bool = True):
     )
 
 
-_LINES = "list_filter(string_split(text, chr(10)), x -> x <> '')"
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: x <> '')"
 
 
 @query("collect_answers", f"SELECT doc_id, len({_LINES}) AS n, md5(array_to_string({_LINES}, chr(10) || chr(10))) AS h FROM {{documents}} WHERE len({_LINES}) > 0")
@@ -320,7 +317,7 @@ def collect_answers(spark, sf_dir):
 
 
 @query("merge_answer_stages", """
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents}), m AS (SELECT doc_id, list_concat(list_filter(l[2:], x -> x <> ''), list_filter(l[1:1], x -> x <> '')) AS a FROM l)
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents}), m AS (SELECT doc_id, list_concat(list_filter(l[2:], lambda x: x <> ''), list_filter(l[1:1], lambda x: x <> '')) AS a FROM l)
 SELECT doc_id, len(a) AS n, md5(array_to_string(a, '|')) AS h FROM m WHERE len(a) > 0""")
 def merge_answer_stages(spark, sf_dir):
     stages = [qa.collect_answers(_documents_as_qa(spark, sf_dir, f, r), "doc_id") for f, r in ((False, True), (True, False))]
