@@ -197,8 +197,8 @@ _CELLS = "list_transform(range(0, 16), lambda t: list_transform(embedding[t * 4
 WITH d AS (SELECT vec_id, {_CELLS} AS c FROM {{embeddings}}),
 k AS (SELECT vec_id, unnest(range(1, 17)) AS k, c FROM d),
 r AS (SELECT vec_id, k, ceil(16 / k) AS n, '[' || array_to_string(list_transform(list_filter(range(0, 16), lambda t: t % k = 0), lambda t: '[' || array_to_string(c[t + 1], ', ') || ']'), ', ') || ']' AS txt FROM k),
-f AS (SELECT vec_id, length(txt) AS full FROM r WHERE k = 1)
-SELECT vec_id, CAST(k AS INT) AS factor, txt AS "text" FROM r JOIN f USING (vec_id) WHERE (full <= 200 AND k = 1) OR (full > 200 AND k >= ceil(full / 200) AND (length(txt) <= 200 OR n <= 2))
+f AS (SELECT vec_id, length(txt) AS full_len FROM r WHERE k = 1)
+SELECT vec_id, CAST(k AS INT) AS factor, txt AS "text" FROM r JOIN f USING (vec_id) WHERE (full_len <= 200 AND k = 1) OR (full_len > 200 AND k >= ceil(full_len / 200) AND (length(txt) <= 200 OR n <= 2))
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY k) = 1""")
 def serialize_series(spark, sf_dir):
     """JSON text of (16, 4) series, thinned to 200 characters."""
@@ -210,8 +210,8 @@ def serialize_series(spark, sf_dir):
 WITH d AS (SELECT vec_id, {_CELLS} AS c FROM {{embeddings}}),
 k AS (SELECT vec_id, unnest(range(1, 17)) AS k, c FROM d),
 r AS (SELECT vec_id, k, ceil(16 / k) AS n, '[' || array_to_string(list_transform(range(0, 4), lambda j: '[' || array_to_string(list_transform(list_filter(range(0, 16), lambda t: t % k = 0), lambda t: c[t + 1][j + 1]), ', ') || ']'), ', ') || ']' AS txt FROM k),
-f AS (SELECT vec_id, length(txt) AS full FROM r WHERE k = 1)
-SELECT vec_id, CAST(k AS INT) AS factor, txt AS "text" FROM r JOIN f USING (vec_id) WHERE (full <= 200 AND k = 1) OR (full > 200 AND k >= ceil(full / 200) AND (length(txt) <= 200 OR n <= 2))
+f AS (SELECT vec_id, length(txt) AS full_len FROM r WHERE k = 1)
+SELECT vec_id, CAST(k AS INT) AS factor, txt AS "text" FROM r JOIN f USING (vec_id) WHERE (full_len <= 200 AND k = 1) OR (full_len > 200 AND k >= ceil(full_len / 200) AND (length(txt) <= 200 OR n <= 2))
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY k) = 1""")
 def serialize_wide_series(spark, sf_dir):
     """The longer axis is thinned also when it is the second one."""
