@@ -72,12 +72,15 @@ def nearest(train: DataFrame, test: DataFrame, k: int, metric: str = "cosine", o
                 if other_fold:
                     qf, tf = np.array([r["fold"] for r in q_rows]), np.array([r["fold"] for r in t_rows])
                     d[qf[:, None] == tf[None, :]] = np.inf
-                for i, row in enumerate(q_rows):
+                at = min(k, len(t)) - 1
+                picked = []
+                for i in range(len(q)):
                     # everything up to the k-th smallest distance, so ties at the edge are settled by id
-                    edge = np.partition(d[i], min(k, len(t)) - 1)[min(k, len(t)) - 1]
-                    cand = np.flatnonzero((d[i] <= edge) & np.isfinite(d[i]))
-                    keep = cand[np.lexsort((t_idx[cand], d[i][cand]))][:k]
-                    yield pd.DataFrame({"idx": row["idx"], "nb_idx": t_idx[keep], "nb_y": t_y[keep], "dist": d[i][keep]})
+                    cand = np.flatnonzero((d[i] <= np.partition(d[i], at)[at]) & np.isfinite(d[i]))
+                    picked.append(cand[np.lexsort((t_idx[cand], d[i][cand]))][:k])
+                rows, cols = np.repeat(np.arange(len(q)), [len(c) for c in picked]), np.concatenate(picked)
+                q_idx = np.array([r["idx"] for r in q_rows])
+                yield pd.DataFrame({"idx": q_idx[rows], "nb_idx": t_idx[cols], "nb_y": t_y[cols], "dist": d[rows, cols]})
 
     w = Window.partitionBy("idx").orderBy("dist", "nb_idx")
     return pairs.select("qb_rows", "tb_rows").mapInPandas(best, out_schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
