@@ -31,13 +31,13 @@ WITH {WINDOW_CTES},
 kept AS (SELECT * FROM winner WHERE cnt / {WIDTH} >= 0.3),
 subjects AS (SELECT user_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('42|' || CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT), user_id) AS r
              FROM (SELECT DISTINCT user_id FROM {{events}})),
-parts AS (SELECT user_id, CASE WHEN r <= 20 THEN 'test' WHEN r <= 30 THEN 'dev' ELSE 'train' END AS split FROM subjects)
+parts AS (SELECT user_id, CASE WHEN r <= 5 THEN 'test' WHEN r <= 8 THEN 'dev' ELSE 'train' END AS split FROM subjects)
 SELECT split, y, count(*) AS n_windows, count(DISTINCT user_id) AS n_subjects FROM kept JOIN parts USING (user_id) GROUP BY 1, 2""")
 def window_class_split(spark, sf_dir):
     """Windows, majority label, subject-wise split, class histogram."""
     labelled = windows.label_majority(_windows(spark, sf_dir), "label", WIDTH, 0.3)
     people = table(spark, sf_dir, "events").select("user_id")
-    cut = splits.group_split(labelled, people, "user_id", n_test=20, n_dev=10, seed=42)
+    cut = splits.group_split(labelled, people, "user_id", n_test=5, n_dev=3, seed=42)
     return splits.class_histogram(cut, ["split"], "y", "n_windows", subjects="user_id")
 
 
