@@ -8,6 +8,7 @@ result is the exact global rank, but no task ever sees a whole hot group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -64,7 +65,7 @@ def slice_bounds(df: DataFrame, number: Column, slices: int) -> list[float]:
     """Approximate quantiles of ``number``; one row, at most ``slices`` values, reach the driver."""
     probs = [i / slices for i in range(1, slices)]
     row = df.agg(F.percentile_approx(number, probs, 10 * slices).alias("b")).first()
-    return sorted({float(b) for b in (row["b"] or [])})
+    return sorted({float(b) for b in (row["b"] or []) if math.isfinite(b)}) or [0.0]
 
 
 def _sliced_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int) -> DataFrame | None:
