@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -38,9 +38,10 @@ class ProbeResult:
     predictions: DataFrame | None = None
 
     def record(self) -> dict:
-        out = {k: v for k, v in asdict(self).items() if k not in ("predictions",)}
-        out["grid"] = sorted(self.cv_scores)
-        return out
+        return {
+            "layer": self.layer, "grid": sorted(self.cv_scores), "best_c": self.best_c, "best_cv_f1_macro": self.best_cv_f1_macro,
+            "test_accuracy": self.test_accuracy, "test_f1_macro": self.test_f1_macro,
+        }
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
