@@ -42,17 +42,16 @@ def strip_ust(emb: Column) -> Column:
     return F.regexp_replace(emb, r"[-_]ust$", "")
 
 
-#: the root folder and up to five parts below it, each optional
-_BELOW_ROOT = rf"(?:^|/){ROOT}" + "".join(r"(?:/+([^/]+)" for _ in range(5)) + ")?" * 5
-
-
 def _below_root(path: str) -> list[Column]:
     """Parts 1 to 5 below the root folder, '' where missing.
 
-    Each is one match on the path and every step below names it as rarely as
-    possible: Spark inlines these expressions into filters it pushes down.
+    Plain string functions, named as rarely as possible below: Spark inlines these
+    expressions into the filters it pushes down.
     """
-    return [F.regexp_extract(path, _BELOW_ROOT, k) for k in range(1, 6)]
+    rooted = F.concat(F.lit("/"), F.trim(path))
+    at = F.instr(rooted, f"/{ROOT}/")
+    rest = F.when(at > 0, F.substr(rooted, at + len(ROOT) + 2)).otherwise("")
+    return [F.split_part(rest, F.lit("/"), F.lit(k)) for k in range(1, 6)]
 
 
 def run_keys(df: DataFrame, path: str = "pred_path", style: str = "underscore") -> DataFrame:

@@ -21,6 +21,8 @@ from tsprobe.functions.hashing import HASH_RANGE, hash_key
 MAX_GROUP_ROWS = 5_000_000
 #: positions per chunk for neighbour and running-total operators
 CHUNK = 1 << 16
+#: rows of a lookup table that may be broadcast; larger ones are joined by key
+MAX_BROADCAST_ROWS = 200_000
 
 
 def _col(c: Column | str) -> Column:
@@ -34,6 +36,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def broadcast_if_small(small: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a lookup table only when its row bound is known and small; otherwise Spark joins by key."""
+    return F.broadcast(small) if rows <= MAX_BROADCAST_ROWS else small
+
+
+def count_groups(df: DataFrame, groups: Sequence[str]) -> int:
+    """Distinct groups, counted up to just above the broadcast limit (a column-pruned partial aggregation)."""
+    if not groups:
+        return 1
+    return df.select(*groups).distinct().limit(MAX_BROADCAST_ROWS + 1).count()
+
+
 def hash_slices(df: DataFrame) -> int:
     """Number of hash slices per group: grows with the cluster's shuffle width, never with a driver pass."""
     return max(8, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -92,9 +106,21 @@ def _sliced_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], m
 
 
 def _slice_offsets(counts: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Exclusive running sums of ``measures`` over slices, one small row per (group, slice)."""
-    w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(*keys, "_slice", *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(m) for m in measures])
+    """Exclusive running sums of ``measures`` over slices.
+
+    The first slice of a group has no offset and no row, so groups of one slice,
+    normally almost all of them, add nothing to this table.
+    """
+    w = Window.partitionBy(*keys).orderBy("_slice")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.select(*keys, "_slice", F.row_number().over(w).alias("_i"), *[F.sum(m).over(before).alias(m) for m in measures])
+    return numbered.where(F.col("_i") > 1).drop("_i")
+
+
+def _add_offsets(df: DataFrame, offsets: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Left join of the offsets; ``rows`` is a proven bound on their number, if there is one."""
+    small = offsets if rows is None else broadcast_if_small(offsets, rows)
+    return null_safe_join(df, small, [*keys, "_slice"], "left")
 
 
 def positions(
@@ -113,8 +139,8 @@ def positions(
     w = Window.partitionBy(*keys, "_slice").orderBy(*order)
     ranked = sliced.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_before"))
-    out = null_safe_join(ranked, _slice_offsets(counts, keys, ["_before"]), [*keys, "_slice"])
-    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_before", "_slice")
+    out = _add_offsets(ranked, _slice_offsets(counts, keys, ["_before"]), keys, None if keys else 20_000)
+    return out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_slice")
 
 
 def hash_rank(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, name: str = "rank") -> DataFrame:
@@ -125,11 +151,11 @@ def hash_rank(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, na
     w = Window.partitionBy(*groups, "_slice").orderBy("_h", *ids)
     ranked = keyed.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     counts = keyed.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_before"))
-    out = null_safe_join(ranked, _slice_offsets(counts, groups, ["_before"]), [*groups, "_slice"])
-    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_before", "_slice", "_h")
+    out = _add_offsets(ranked, _slice_offsets(counts, groups, ["_before"]), groups, n * count_groups(df, groups))
+    return out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_slice", "_h")
 
 
-def hash_cut(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quota: Column) -> DataFrame:
+def hash_cut(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quota: Column, n_groups: int | None = None) -> DataFrame:
     """The hash key of the ``quota``-th smallest row of each group (one row per group).
 
     ``quota`` may use the column ``n`` (rows of the group). Two column-pruned
@@ -137,6 +163,7 @@ def hash_cut(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quo
     """
     groups, ids = list(groups), list(ids)
     n = hash_slices(df)
+    n_groups = count_groups(df, groups) if n_groups is None else n_groups
     keyed = df.select(*groups, *ids, hash_key(seed, *ids).alias("_h")).withColumn("_slice", _hash_slice(F.col("_h"), n))
     counts = keyed.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_c"))
     by_slice = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
@@ -147,7 +174,7 @@ def hash_cut(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quo
         .where((F.col("_q") > F.col("_upto") - F.col("_c")) & (F.col("_q") <= F.col("_upto")))
         .select(*groups, "_slice", (F.col("_q") - F.col("_upto") + F.col("_c")).alias("_k"))
     )
-    inside = null_safe_join(keyed, cuts, [*groups, "_slice"])
+    inside = null_safe_join(keyed, broadcast_if_small(cuts, n_groups), [*groups, "_slice"])
     w = Window.partitionBy(*groups, "_slice").orderBy("_h", *ids)
     return (
         inside.withColumn("_r", F.row_number().over(w))
@@ -159,15 +186,16 @@ def hash_cut(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quo
 def hash_select(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quota: Column, name: str = "picked") -> DataFrame:
     """Flag the ``quota`` rows of each group with the smallest hash keys.
 
-    The wide rows are only compared with their group's cut-off: they are neither
-    sorted nor, when the cut-off table is small enough for Spark to broadcast, shuffled.
+    The wide rows are only compared with their group's cut-off: they are never
+    sorted, and not shuffled either while the groups can be counted as few.
     """
     groups, ids = list(groups), list(ids)
-    cuts = hash_cut(df, groups, ids, seed, quota)
+    n_groups = count_groups(df, groups)
+    cuts = hash_cut(df, groups, ids, seed, quota, n_groups)
     mine = F.struct(hash_key(seed, *ids).alias("_h"), *ids)
     if not groups:
         return df.withColumn(name, F.coalesce(mine <= cuts.scalar(), F.lit(False)))
-    joined = null_safe_join(df, cuts, groups, "left")
+    joined = null_safe_join(df, broadcast_if_small(cuts, n_groups), groups, "left")
     return joined.withColumn(name, F.coalesce(mine <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
@@ -206,9 +234,9 @@ def running_sums(df: DataFrame, keys: Sequence[str], pos: str, sums: Mapping[str
     offsets = _slice_offsets(totals, keys, [f"_o_{n}" for n in sums])
     w = Window.partitionBy(*keys, "_slice").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.select("*", *[F.sum(n).over(w).alias(f"_l_{n}") for n in sums])
-    out = null_safe_join(local, offsets, [*keys, "_slice"])
+    out = _add_offsets(local, offsets, keys)
     for name in sums:
-        out = out.withColumn(name, F.coalesce(F.col(f"_l_{name}"), F.lit(0)) + F.col(f"_o_{name}"))
+        out = out.withColumn(name, F.coalesce(f"_l_{name}", F.lit(0)) + F.coalesce(f"_o_{name}", F.lit(0)))
     return out.drop("_slice", *[f"_l_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 

@@ -53,12 +53,13 @@ def trend_segments(df: DataFrame, keys: Sequence[str], pos: str, value: str, sam
     aggs = [
         F.min("from_time").alias("start_time"), F.max("to_time").alias("end_time"),
         F.min_by("from_value", p).alias("start_value"), F.max_by("to_value", p).alias("end_value"),
-        F.first("trend").alias("trend"), F.count(F.lit(1)).alias("n_steps"),
+        F.count(F.lit(1)).alias("n_steps"),
     ]
     if with_values:
         tail = F.sort_array(F.collect_list(F.struct(p, "to_value")))["to_value"]
         aggs.append(F.concat(F.array(F.min_by("from_value", p)), tail).alias("values"))
-    return steps.groupBy(*keys, "seg").agg(*aggs)
+    # the trend is constant in a segment: as a key it keeps the aggregation hash-based
+    return steps.groupBy(*keys, "seg", "trend").agg(*aggs)
 
 
 def trend_totals(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
