@@ -224,16 +224,16 @@ def attempt_progress(spark, sf_dir):
 
 
 @query("first_incomplete_batch", """
-WITH p AS (SELECT o_custkey % 6 AS run, o_orderkey // 6 AS i FROM {orders} WHERE o_orderkey % 6 = 0 AND o_orderkey % 42 <> 36 AND o_orderkey < 1800),
-log AS (SELECT run, i // 5 AS b, count(*) AS c FROM p GROUP BY 1, 2), runs AS (SELECT DISTINCT o_custkey % 6 AS run FROM {orders}),
-g AS (SELECT run, b FROM runs, (SELECT unnest(generate_series(0, 59)) AS b))
-SELECT run, CAST(coalesce(min(CASE WHEN coalesce(c, 0) < 5 THEN b END), 60) AS INT) AS batch_start FROM g LEFT JOIN log USING (run, b) GROUP BY 1""")
+WITH n AS (SELECT count(*) AS n FROM {orders}), r AS (SELECT unnest(range(0, 6)) AS run),
+log AS (SELECT run, o_orderkey // 5 AS b, count(*) AS c FROM {orders}, r WHERE o_orderkey <> 700 * (run + 1) GROUP BY 1, 2),
+g AS (SELECT run, n, unnest(range(0, CAST(ceil(n / 5) AS BIGINT))) AS b FROM r, n)
+SELECT CAST(run AS INT) AS run, CAST(coalesce(min(CASE WHEN coalesce(c, 0) < least(5, n - b * 5) THEN b END), any_value(ceil(n / 5))) AS INT) AS batch_start FROM g LEFT JOIN log USING (run, b) GROUP BY 1""")
 def first_incomplete_batch(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("run", F.col("o_custkey") % 6)
-    log = o.where("o_orderkey % 6 = 0 AND o_orderkey % 42 <> 36 AND o_orderkey < 1800").select(
-        "run", F.floor(F.floor(F.col("o_orderkey") / 6) / 5).cast("int").alias("batch_idx")
-    )
-    return progress.first_incomplete_batch(log, o.select("run").distinct(), ["run"], 300, 5)
+    """Six runs over all orders, each with one order missing somewhere (or none)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    log = o.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(5)))).where(F.col("o_orderkey") != 700 * (F.col("run") + 1))
+    log = log.withColumn("batch_idx", F.floor(F.col("o_orderkey") / 5).cast("int"))
+    return progress.first_incomplete_batch(log, log.select("run").distinct(), ["run"], o.count(), 5)
 
 
 @query("run_completeness", f"""

@@ -64,10 +64,10 @@ def ts_reader(spark, sf_dir):
 
 
 @query("ts_writer", """
-WITH c AS (SELECT vec_id, label, list_transform(embedding[1:6], lambda x: regexp_replace(regexp_replace(printf('%.2f', floor(CAST(x AS DOUBLE) * 100) / 4), '0+$', ''), '\\.$', '')) AS c FROM {embeddings})
-SELECT vec_id, c[1] || ',' || c[3] || ',' || c[5] || ' : ' || c[2] || ',' || c[4] || ',' || c[6] || ' : ' || label AS value FROM c""")
+WITH c AS (SELECT vec_id, label, list_transform(embedding, lambda x: regexp_replace(regexp_replace(printf('%.2f', floor(CAST(x AS DOUBLE) * 100) / 4), '0+$', ''), '\\.$', '')) AS c FROM {embeddings})
+SELECT vec_id, array_to_string(list_transform(range(0, 32), lambda i: c[2 * i + 1]), ',') || ' : ' || array_to_string(list_transform(range(0, 32), lambda i: c[2 * i + 2]), ',') || ' : ' || label AS value FROM c""")
 def ts_writer(spark, sf_dir):
-    v = F.transform(F.slice("embedding", 1, 6), lambda x: F.floor(x.cast("double") * 100) / 4)
+    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100) / 4)
     e = table(spark, sf_dir, "embeddings").select("vec_id", fs.reshape(v, 2).alias("x"), F.col("label").alias("y"))
     return recordings.format_ts(e, "x", "y", 6).select("vec_id", "value")
 

@@ -102,11 +102,11 @@ def shots_after_subset(spark, sf_dir):
 
 
 @query("kfold_contiguous", """
-WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS p, count(*) OVER () AS n FROM {embeddings} WHERE vec_id % 7 <> 3)
-SELECT vec_id AS idx, CAST(CASE WHEN p < (n % 5) * (n // 5 + 1) THEN p // (n // 5 + 1) ELSE (p - n % 5) // (n // 5) END AS INT) AS fold FROM p""")
+WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS p, count(*) OVER () AS n FROM {embeddings})
+SELECT vec_id AS idx, CAST(CASE WHEN p < (n % 7) * (n // 7 + 1) THEN p // (n // 7 + 1) ELSE (p - n % 7) // (n // 7) END AS INT) AS fold FROM p""")
 def kfold_contiguous(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 7 <> 3").select(F.col("vec_id").alias("idx"))
-    return splits.kfold_contiguous(e, "idx", 5)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"))
+    return splits.kfold_contiguous(e, "idx", 7)
 
 
 @query("kfold_stratified", """
@@ -233,11 +233,11 @@ def label_letters(spark, sf_dir):
 
 
 @query("option_block", """
-WITH b AS (SELECT DISTINCT p_type AS t, p_brand AS name FROM {part} WHERE length(p_brand) <= 8),
+WITH b AS (SELECT DISTINCT p_type AS t, p_brand AS name FROM {part}),
 r AS (SELECT t, name, row_number() OVER (PARTITION BY t ORDER BY name) AS r FROM b)
 SELECT t, 'Your options are:' || chr(10) || chr(9) || string_agg('[' || chr(CAST(64 + r AS INT)) || '] ' || name, chr(10) || chr(9) ORDER BY r) AS block FROM r GROUP BY 1""")
 def option_block(spark, sf_dir):
-    names = table(spark, sf_dir, "part").where("length(p_brand) <= 8").select(F.col("p_type").alias("t"), F.col("p_brand").alias("name")).distinct()
+    names = table(spark, sf_dir, "part").select(F.col("p_type").alias("t"), F.col("p_brand").alias("name")).distinct()
     return fl.option_block(fl.with_letters(names, "name", ["t"]), ["t"], "name")
 
 

@@ -165,28 +165,28 @@ def strip_header(spark, sf_dir):
 
 
 @query("digit_text", """
-WITH d AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: struct_pack(s := x < 0, n := CAST(abs(round_even(CAST(x AS DOUBLE) * 1000, 0)) AS BIGINT))) AS l FROM {embeddings})
+WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: struct_pack(s := x < 0, n := CAST(abs(round_even(CAST(x AS DOUBLE) * 1000, 0)) AS BIGINT))) AS l FROM {embeddings})
 SELECT vec_id, array_to_string(list_transform(l, lambda y: trim(regexp_replace(CASE WHEN y.s THEN '-' ELSE '' END || (y.n // 1000) || lpad(CAST(y.n % 1000 AS VARCHAR), 3, '0'), '(.)', '\\1 ', 'g'))), ' , ') AS txt FROM d""")
 def digit_text(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", ft.digit_text(F.slice("embedding", 1, 8)).alias("txt"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", ft.digit_text(F.col("embedding")).alias("txt"))
 
 
 @query("scaled_digit_text", """
-WITH d AS (SELECT vec_id, list_transform(embedding[1:8], lambda x, i: CASE WHEN vec_id % 10 = 0 AND i = 3 THEN 'n a n' WHEN vec_id % 10 = 1 AND i = 3 THEN '- i n f'
+WITH d AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN vec_id % 10 = 0 AND i = 3 THEN 'n a n' WHEN vec_id % 10 = 1 AND i = 3 THEN '- i n f'
  ELSE CASE WHEN round_even(CAST(x AS DOUBLE) * 10000, 0) < 0 THEN '- ' ELSE '' END || trim(regexp_replace(CAST(CAST(abs(round_even(CAST(x AS DOUBLE) * 10000, 0)) AS BIGINT) AS VARCHAR), '(.)', '\\1 ', 'g')) END) AS l FROM {embeddings})
-SELECT vec_id, array_to_string(l, ' ,') AS series_text, l[1] || ' |' || l[2] || ' ,' || l[3] || ' |' || l[4] || ' ,' || l[5] || ' |' || l[6] || ' ,' || l[7] || ' |' || l[8] AS matrix_text FROM d""")
+SELECT vec_id, array_to_string(l, ' ,') AS series_text, array_to_string(list_transform(range(1, 33), lambda j: l[2 * j - 1] || ' |' || l[2 * j]), ' ,') AS matrix_text FROM d""")
 def scaled_digit_text(spark, sf_dir):
     odd = F.when(F.col("vec_id") % 10 == 0, float("nan")).when(F.col("vec_id") % 10 == 1, float("-inf"))
-    v = F.transform(F.slice("embedding", 1, 8), lambda x, i: F.when(i == 2, F.coalesce(odd, x.cast("double"))).otherwise(x.cast("double")))
+    v = F.transform("embedding", lambda x, i: F.when(i == 2, F.coalesce(odd, x.cast("double"))).otherwise(x.cast("double")))
     e = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
     return e.select("vec_id", ft.scaled_digit_text(F.col("v")).alias("series_text"), ft.scaled_digit_text(fs.reshape(F.col("v"), 2), matrix=True).alias("matrix_text"))
 
 
 @query("json_and_space_text", """
-WITH d AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) / 8 AS VARCHAR)) AS l FROM {embeddings})
+WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) / 8 AS VARCHAR)) AS l FROM {embeddings})
 SELECT vec_id, '[' || array_to_string(l, ', ') || ']' AS json_text, array_to_string(l, ' ') AS space_text FROM d""")
 def json_and_space_text(spark, sf_dir):
-    v = F.transform(F.slice("embedding", 1, 6), lambda x: F.floor(x.cast("double") * 1000) / 8)
+    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000) / 8)
     return table(spark, sf_dir, "embeddings").select("vec_id", ft.json_text(v).alias("json_text"), ft.space_text(v).alias("space_text"))
 
 
