@@ -1,7 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query is run once to warm up and then timed (median of three when it takes
-under a second); every result row is produced, into a no-op sink.
+A query is run once to warm up and then timed (median of three when it is short,
+the first run alone when it takes over 18 seconds); every result row is
+produced, into a no-op sink.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ HEADLINE = [
     "classification_metrics", "bootstrap_ci", "pass_at_k", "majority_vote", "run_completeness",
     "clean_results", "keep_latest", "variant_summary", "probe_curve_mean", "last_layer",
     "trend_segments", "trend_summary", "extract_letter", "digit_text", "serialize_series", "collect_answers",
-    "vector_mean", "knn_cosine", "knn_grid", "ridge_probe", "stream_count_windows",
+    "vector_mean", "knn_cosine", "knn_grid", "ridge_probe", "logistic_probe", "stream_count_windows",
 ]
-ONCE = {"logistic_probe"}
 
 
 def run(spark, name: str, sf_dir: str) -> float:
@@ -37,13 +37,12 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="bench")
     timings: dict[str, float] = {}
-    for name in [*HEADLINE, *sorted(ONCE)]:
+    for name in HEADLINE:
         try:
             runs = [run(spark, name, sf_dir)]
-            if name not in ONCE:
-                first = run(spark, name, sf_dir)
-                # quick queries are noisy: repeat them, long ones once
-                runs = [first] + [run(spark, name, sf_dir) for _ in range(2 if first < 1.0 else 0)]
+            if runs[0] < 18.0:  # the first run warmed up; quick queries are noisy and repeated
+                runs = [run(spark, name, sf_dir)]
+                runs += [run(spark, name, sf_dir) for _ in range(2 if runs[0] < 0.8 else 0)]
             timings[name] = round(statistics.median(runs), 3)
             print(f"{name}: {timings[name]}", file=sys.stderr, flush=True)
         except Exception as e:  # keep the line complete: a failed query is reported as null
