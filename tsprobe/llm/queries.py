@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tsprobe.llm.common import table
+from tsprobe.llm.mixing import mix
 from tsprobe.llm.packing import best_fit_pack
+from tsprobe.llm.quality_model import classify, fit
+from tsprobe.llm.quality_rules import clean
 from tsprobe.llm.token_counts import count_tokens
+from tsprobe.llm.warc import derive, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,11 +29,33 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, fit(docs)).select("doc_id", "quality.*")
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), **bpe())
 
 
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
+
+
+@query
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(responses(table(spark, sf_dir, "pages")))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), **bpe())
+
+
+@query
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
