@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tsprobe.llm.common import table
 from tsprobe.llm.mixing import mix
+from tsprobe.llm.ngram_join import near_duplicates
 from tsprobe.llm.packing import best_fit_pack
 from tsprobe.llm.quality_model import classify, fit
 from tsprobe.llm.quality_rules import clean
@@ -35,6 +36,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs)).select("doc_id", "quality.*")
 
 
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), **bpe())
