@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +50,14 @@ def saved(df: DataFrame) -> DataFrame:
 def text_blocks(docs: DataFrame, columns: list[Column], block_bytes: int = 16 << 20) -> DataFrame:
     """Documents dealt by ``doc_id`` into blocks of about ``block_bytes`` of text, each in one partition.
 
-    The result has the given columns and ``block``. It is partitioned by ``block``, so that grouping by it moves
-    nothing, and it is kept on disk as several passes read it; a lost part is computed again.
+    The result has the given columns and ``block``, and is partitioned by ``block``: grouping by it moves nothing more,
+    and plans that use it twice read the same shuffle.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text()))).first()[0] or 0
     n = max(shuffle_partitions(spark), -(-size // block_bytes))
-    block = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n)).alias("block")
-    return docs.select(*columns, block).repartition(n, "block").persist(StorageLevel.DISK_ONLY)
+    block = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n)).cast("int").alias("block")
+    return docs.select(*columns, block).repartition(n, "block")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, slice_rows: int = 200_000) -> DataFrame:

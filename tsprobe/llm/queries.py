@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tsprobe.llm.common import table
+from tsprobe.llm.imatch import fingerprints
 from tsprobe.llm.mixing import mix
 from tsprobe.llm.ngram_join import near_duplicates
 from tsprobe.llm.packing import best_fit_pack
@@ -61,6 +62,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), **bpe())
 
 
+@query
+def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _ = mix(table(spark, sf_dir, "documents"))
