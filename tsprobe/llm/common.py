@@ -47,17 +47,17 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_blocks(docs: DataFrame, columns: list[Column], block_bytes: int = 16 << 20) -> DataFrame:
-    """Documents dealt by ``doc_id`` into blocks of about ``block_bytes`` of text, each in one partition.
+def text_blocks(docs: DataFrame, columns: list[Column], block_bytes: int = 16 << 20) -> tuple[DataFrame, int]:
+    """Documents dealt by ``doc_id`` into blocks of about ``block_bytes`` of text, each in one partition; and their number.
 
-    The result has the given columns and ``block``, and is partitioned by ``block``: grouping by it moves nothing more,
+    The table has the given columns and ``block``, and is partitioned by ``block``: grouping by it moves nothing more,
     and plans that use it twice read the same shuffle.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text()))).first()[0] or 0
     n = max(shuffle_partitions(spark), -(-size // block_bytes))
     block = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n)).cast("int").alias("block")
-    return docs.select(*columns, block).repartition(n, "block")
+    return docs.select(*columns, block).repartition(n, "block"), n
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, slice_rows: int = 200_000) -> DataFrame:

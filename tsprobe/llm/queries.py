@@ -14,6 +14,7 @@ from tsprobe.llm.ngram_join import near_duplicates
 from tsprobe.llm.packing import best_fit_pack
 from tsprobe.llm.quality_model import classify, fit
 from tsprobe.llm.quality_rules import clean
+from tsprobe.llm.suffix_tree import score
 from tsprobe.llm.token_counts import count_tokens
 from tsprobe.llm.warc import derive, responses
 
@@ -37,6 +38,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs)).select("doc_id", "quality.*")
 
 
+@query
+def op2_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
