@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tsprobe.session import materialise
+from tsprobe.session import scratch_dir
 
 #: Bytes of the white space that parts words; everything else belongs to a word.
 SPACES = " \\t\\n\\u000B\\f\\r"
@@ -37,14 +35,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: cut lineage, compressed and by column."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        return materialise(df)
-    path = f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """``df`` written as Parquet below the shared folder that the session names, and read back: cut lineage, by column."""
+    path = scratch_dir(df.sparkSession, "llm")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_blocks(docs: DataFrame, columns: list[Column], block_bytes: int = 16 << 20) -> tuple[DataFrame, int]:

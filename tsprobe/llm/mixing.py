@@ -115,13 +115,13 @@ def by_source(sources: list[Source], value) -> Column:
 
 
 def mix(docs: DataFrame, most: int = 3, seed: int = 7) -> tuple[DataFrame, list[Source]]:
-    """Documents with size, source_size, target, place, taken and ``draws``: block, pass, number, start and n words.
+    """Documents with same (a hash of the text), size, source_size, target, place, taken and ``draws``: block, pass, number, start and n words.
 
     ``start`` is the first of the document's words in the drawn block, ``number`` the draw's place among its source's.
     """
-    sized = saved(docs.select("doc_id", F.col("source").cast("string").alias("source"), count_words(text()).alias("size"), F.xxhash64(text()).alias("_same")))
+    sized = saved(docs.select("doc_id", F.col("source").cast("string").alias("source"), count_words(text()).alias("size"), F.xxhash64(text()).alias("same")))
     sources = sources_of(sized, most, seed)
-    placed = running(sized, ["source"], ["doc_id", "size", "_same"], F.col("size"), "place")
+    placed = running(sized, ["source"], ["doc_id", "size", "same"], F.col("size"), "place")
     if not sources:
         sources = [Source(None, 0, 0.0, 1, 0, 0, 1, 0)]
     kept = placed
@@ -142,7 +142,7 @@ def mix(docs: DataFrame, most: int = 3, seed: int = 7) -> tuple[DataFrame, list[
     draws = F.flatten(F.transform(F.coalesce(covered, F.array().cast("array<bigint>")), drawn))
     kept = kept.withColumn("draws", draws)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda total, x: total + x["n"])
-    return kept.select("doc_id", "source", "size", "source_size", "target", "place", taken.alias("taken"), "draws"), sources
+    return kept.select("doc_id", "source", "same", "size", "source_size", "target", "place", taken.alias("taken"), "draws"), sources
 
 
 def shards(mixed: DataFrame, sources: list[Source], n: int, seed: int = 7) -> DataFrame:
@@ -160,6 +160,21 @@ def shards(mixed: DataFrame, sources: list[Source], n: int, seed: int = 7) -> Da
     return joined.select("shard", F.xxhash64(F.lit(seed), F.col("m.source"), "d.number").alias("key"), "doc_id", "m.source", F.col("d.block").alias("block"), F.col("d.number").alias("number"), F.col("d.start").alias("start"), F.col("d.n").alias("n"))
 
 
+def whole_documents(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; a part of a document counts as a chance to take it whole.
+
+    Rows with equal doc_id, source and text are one document, which stands for the copies of all.
+    """
+    mixed, _ = mix(docs, most, seed)
+    share = F.col("taken") / F.col("size")
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "same", F.lit("whole")), F.lit(1 << 30)) / float(1 << 30)
+    copies = (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int")
+    wanted = mixed.where("taken > 0").select("doc_id", "source", "same", copies.alias("copies")).groupBy("doc_id", "source", "same").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    d = docs.withColumn("_same", F.xxhash64(text())).dropDuplicates(["doc_id", "source", "_same"]).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col("d.source").eqNullSafe(F.col("w.source")) & (F.col("d._same") == F.col("w.same"))
+    return d.join(wanted.alias("w"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w.copies").cast("int")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+
+
 def write_mix(mixed: DataFrame, sources: list[Source], n: int, path: str, seed: int = 7) -> None:
     """Write the shards, each shuffled in its own task."""
     shards(mixed, sources, n, seed).repartition(n, "shard").sortWithinPartitions("shard", "key", "start").write.partitionBy("shard").parquet(path)

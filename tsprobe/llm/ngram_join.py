@@ -98,7 +98,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and grams (sorted 64-bit hashes as bytes) of the wanted classes (id, mark, least), from their texts."""
+    """id and grams (sorted 64-bit hashes as bytes) of the wanted classes (id, mark, copy_id), from their texts."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +107,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())], names=["id", "grams"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text().alias("text"))
-    mine = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).where(F.sha2("text", 256) == F.col("mark"))
+    mine = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("copy_id"))).where(F.sha2("text", 256) == F.col("mark"))
     return mine.select("id", "text").mapInArrow(made, "id long, grams binary").dropDuplicates(["id"])
 
 
@@ -208,10 +208,10 @@ def buckets(classes: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, chunk_rows: int = 128, chunk_bytes: int = 1 << 20) -> DataFrame:
     """id, other, n: link counts (other is null), and the edges of a spanning forest of each tile.
 
-    ``classes`` has id, mark, least (doc_id), copies and bands.
+    ``classes`` has id, mark, copy_id, copies and bands.
     """
     met = saved(buckets(classes))
-    held = full_sets(docs, classes.join(met.select("id").distinct(), "id").select("id", "mark", "least"))
+    held = full_sets(docs, classes.join(met.select("id").distinct(), "id").select("id", "mark", "copy_id"))
     held = saved(held.join(classes.select("id", "bands", "copies"), "id"))
     sized = met.join(held.select("id", F.octet_length("grams").alias("size")), "id")
     chunks = F.greatest(F.ceil(F.count("*") / chunk_rows), F.ceil(F.sum("size") / chunk_bytes)).cast("int")
@@ -224,15 +224,29 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, c
     return dealt.mapInArrow(tile_links(similarity), "id long, other long, n long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, copy_id and n_links of every document."""
+def grouped(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """doc_id and mark of every document; and mark, copy_id, root (one value for each group) and n_links of every text."""
     own = saved(signed(docs, *bands_for(similarity, recall)))
-    of_text = own.groupBy("mark").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    of_text = own.groupBy("mark").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     classes = saved(of_text.withColumn("id", F.xxhash64("mark")))
     found = saved(links(docs, classes, similarity))
     roots = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
-    grouped = classes.join(roots, "id", "left").join(counts, "id", "left").select("mark", "least", F.coalesce("root", "id").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    first = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = grouped.join(first, "root").select("mark", F.col("least").alias("copy_id"), "class_id", "n_links")
-    return own.select("doc_id", "mark").join(named, "mark").select("doc_id", "class_id", "copy_id", "n_links")
+    n_links = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
+    return own.select("doc_id", "mark"), classes.join(roots, "id", "left").join(counts, "id", "left").select("mark", "copy_id", F.coalesce("root", "id").alias("root"), n_links)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, copy_id and n_links of every document."""
+    own, texts = grouped(docs, similarity, recall)
+    first = texts.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    return own.join(texts.join(first, "root"), "mark").select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs``, one of each group: the text with the least id (by digest, among texts with none)."""
+    _, texts = grouped(docs, similarity, recall)
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "mark")).alias("f")).select("f.copy_id", "f.mark")
+    of = docs.withColumn("_mark", F.sha2(text(), 256)).alias("d")
+    on = (F.col("d._mark") == F.col("f.mark")) & F.col("d.doc_id").eqNullSafe(F.col("f.copy_id"))
+    return of.join(first.alias("f"), on, "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")

@@ -14,6 +14,7 @@ from tsprobe.llm.ngram_join import near_duplicates
 from tsprobe.llm.packing import best_fit_pack
 from tsprobe.llm.quality_model import classify, fit
 from tsprobe.llm.quality_rules import clean
+from tsprobe.llm.suffix_dedup import dedup
 from tsprobe.llm.suffix_tree import score
 from tsprobe.llm.token_counts import count_tokens
 from tsprobe.llm.warc import derive, responses
@@ -53,6 +54,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), **bpe())
 
 
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "repeats.*")
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
