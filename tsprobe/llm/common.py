@@ -54,7 +54,7 @@ def text_blocks(docs: DataFrame, columns: list[Column], block_bytes: int = 16 <<
     return docs.select(*columns, block).repartition(n, "block"), n
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, slice_rows: int = 200_000) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, slice_rows: int = 5_000) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows before this one among those with equal keys.
 
     Rows are ordered by a hash slice and then by ``order``. Only a slice is sorted in one task; the table of slice
