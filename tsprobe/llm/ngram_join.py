@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tsprobe.llm.common import saved, text
 from tsprobe.llm.components import components
 
-N_WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
+N_WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.99999, 128
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
