@@ -124,6 +124,13 @@ def table_of(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[k]) for c, (n, k) in zip(columns, fields, strict=True)})
 
 
+def in_order(block: pa.Table) -> pa.Table:
+    """The block's rows by id and text: whenever a block is read, its contexts are cut at the same places."""
+    ids = [NO_ID if i is None else i for i in block.column("_id").to_pylist()]
+    marks_ = [hashlib.blake2b(t.encode(), digest_size=8).digest() for t in strings(block, "_text")]
+    return block.take(pa.array(sorted(range(len(ids)), key=lambda i: (ids[i], marks_[i])), pa.int64()))
+
+
 def read(block: pa.Table) -> Block:
     return Block(block.column("_id").to_pylist(), strings(block, "_text"))
 
@@ -170,7 +177,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, block_bytes: int = 16
     blocks, n = text_blocks(docs, [passed, F.col("doc_id").cast("long").alias("_id"), text().alias("_text")], block_bytes)
 
     def ask_grams(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
-        mine = read(block)
+        mine = read(in_order(block))
         keys, first = np.unique(mine.gram, return_index=True)
         several = np.zeros(len(keys), bool)
         order = np.lexsort((mine.doc, mine.gram))
@@ -191,7 +198,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, block_bytes: int = 16
         return table_of([(block, bucket, np.packbits(shared[where[e - len(k) : e]]).tobytes(), None, None) for block, bucket, k, e in out], ANSWER)
 
     def send(key: tuple[pa.Scalar, ...], block: pa.Table, replies: pa.Table) -> pa.Table:
-        mine = read(block)
+        mine = read(in_order(block))
         places, where = mine.shared(marks(mine, replies, n))
         owners = np.full(len(places), NO_ID)
         np.minimum.at(owners, where, mine.ids[mine.doc[mine.marked]])
@@ -237,6 +244,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, block_bytes: int = 16
     schema = StructType.fromDDL("block int").add("_row", blocks.schema["_row"].dataType).add("repeats", StructType.fromDDL(added))
 
     def cut(key: tuple[pa.Scalar, ...], block: pa.Table, replies: pa.Table) -> pa.Table:
+        block = in_order(block)
         mine = read(block)
         _, where = mine.shared(marks(mine, replies, n))
         grams = np.zeros(int(where.max()) + 1 if len(where) else 0, np.uint64)
