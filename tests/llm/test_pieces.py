@@ -169,12 +169,11 @@ def test_dedup_odd_texts(spark, odd, none):
     assert dedup(none).collect() == []
 
 
-def test_dedup_with_many_slices(spark, sf_dir, monkeypatch):
+def test_dedup_with_many_slices(spark, sf_dir):
     """Slices end inside contexts; rows come in any order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     whole = {r.doc_id: r.repeats for r in dedup(docs).collect()}
-    monkeypatch.setattr("tsprobe.llm.suffix_dedup.SLICE", 700)
-    small = dedup(docs.repartition(13), block_bytes=1 << 16)
+    small = dedup(docs.repartition(13), block_bytes=1 << 16, slice_bytes=700)
     assert {r.doc_id: r.repeats for r in small.collect()} == whole
 
 

@@ -66,20 +66,20 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 class Block:
     """The bytes of a block's documents, and its contexts: start, windows, gram hash and document of each."""
 
-    def __init__(self, ids: list, texts):
+    def __init__(self, ids: list, texts, slice_bytes: int):
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
         data = [t.encode() for t in texts]
         self.sizes = np.array([len(d) for d in data], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.data = b"".join(data)
         self.bytes = np.frombuffer(self.data, np.uint8)
-        parts = [self.contexts(at) for at in range(0, max(0, len(self.bytes) - LENGTH + 1), SLICE)]
+        parts = [self.contexts(at, slice_bytes) for at in range(0, max(0, len(self.bytes) - LENGTH + 1), slice_bytes)]
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         self.start, self.windows, self.gram = (np.concatenate(x) for x in zip(none, *parts, strict=True))
         self.doc = np.searchsorted(self.ends, self.start, side="right")
 
-    def contexts(self, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t = self.bytes[at : at + SLICE + LENGTH - 1]
+    def contexts(self, at: int, slice_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = self.bytes[at : at + slice_bytes + LENGTH - 1]
         h = gram_hashes(t)
         place = least_places(h, WIDTH)
         begin = at + np.arange(len(place), dtype=np.int64)
@@ -131,8 +131,8 @@ def in_order(block: pa.Table) -> pa.Table:
     return block.take(pa.array(sorted(range(len(ids)), key=lambda i: (ids[i], marks_[i])), pa.int64()))
 
 
-def read(block: pa.Table) -> Block:
-    return Block(block.column("_id").to_pylist(), strings(block, "_text"))
+def read(block: pa.Table, slice_bytes: int) -> Block:
+    return Block(block.column("_id").to_pylist(), strings(block, "_text"), slice_bytes)
 
 
 def marks(mine: Block, replies: pa.Table, n: int) -> np.ndarray:
@@ -167,17 +167,17 @@ def window_owners(contexts: list[bytes], grams: np.ndarray, owners: np.ndarray)
     return out
 
 
-def dedup(docs: DataFrame, keep: list[str] | None = None, block_bytes: int = 16 << 20, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, keep: list[str] | None = None, block_bytes: int = 16 << 20, with_text: bool = False, slice_bytes: int = SLICE) -> DataFrame:
     """The kept columns (doc_id alone if none are named) with n_bytes, n_removed, n_spans, kept_sha256, and kept_text if asked for.
 
-    The new columns are one struct, ``repeats``. ``kept_text`` leaves out the parts of characters that a cut has split.
+    A block's bytes are searched in slices of ``slice_bytes``. The new columns are one struct, ``repeats``. ``kept_text`` leaves out the parts of characters that a cut has split.
     """
     keep = ["doc_id"] if keep is None else keep
     passed = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
     blocks, n = text_blocks(docs, [passed, F.col("doc_id").cast("long").alias("_id"), text().alias("_text")], block_bytes)
 
     def ask_grams(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
-        mine = read(in_order(block))
+        mine = read(in_order(block), slice_bytes)
         keys, first = np.unique(mine.gram, return_index=True)
         several = np.zeros(len(keys), bool)
         order = np.lexsort((mine.doc, mine.gram))
@@ -198,7 +198,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, block_bytes: int = 16
         return table_of([(block, bucket, np.packbits(shared[where[e - len(k) : e]]).tobytes(), None, None) for block, bucket, k, e in out], ANSWER)
 
     def send(key: tuple[pa.Scalar, ...], block: pa.Table, replies: pa.Table) -> pa.Table:
-        mine = read(in_order(block))
+        mine = read(in_order(block), slice_bytes)
         places, where = mine.shared(marks(mine, replies, n))
         owners = np.full(len(places), NO_ID)
         np.minimum.at(owners, where, mine.ids[mine.doc[mine.marked]])
@@ -245,7 +245,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, block_bytes: int = 16
 
     def cut(key: tuple[pa.Scalar, ...], block: pa.Table, replies: pa.Table) -> pa.Table:
         block = in_order(block)
-        mine = read(block)
+        mine = read(block, slice_bytes)
         _, where = mine.shared(marks(mine, replies, n))
         grams = np.zeros(int(where.max()) + 1 if len(where) else 0, np.uint64)
         grams[where] = mine.gram[mine.marked]
