@@ -125,12 +125,28 @@ def test_box_fixture(rows):
 def test_filters(rows):
     df = rows("a string, b int", [("x", 1), ("y", 2)])
     assert results.apply_filters(df, "a=x|z, b=1").count() == 1
-    with pytest.raises(ValueError, match="bad filter"):
-        results.parse_filters("a")
-    with pytest.raises(ValueError, match="not in"):
+    assert results.apply_filters(df, " a = x | y ,, b=2 ").count() == 1 and results.apply_filters(df, "").count() == 2
+    assert results.apply_filters(df, {"a": ["x", "y"], "b": [1]}).count() == 1
+    for text in ("a", "a=", "=x", "a=x,b", "a= | "):
+        with pytest.raises(ValueError, match="cannot read"):
+            results.apply_filters(df, text)
+    with pytest.raises(ValueError, match="missing"):
         results.apply_filters(df, "c=1")
 
 
+def test_vote_without_answers(rows):
+    df = rows("id int, gt int, r int, pred int", [(1, 2, 0, None), (1, 2, 1, 2), (1, 2, 2, 2), (2, 0, 0, None), (2, 0, 1, None)])
+    got = {r["id"]: r for r in metrics.vote_list(df, ["id"], "r").collect()}
+    assert got[1]["master_pred"] == 2 and got[1]["vote_tally"] == {-1: 1, 2: 2} and [tuple(v) for v in got[1]["votes"]] == [(0, -1), (1, 2), (2, 2)]
+    assert got[2]["master_pred"] == -1 and got[2]["correct"] == 0
+
+
+def test_upsert_tie_does_not_depend_on_order(rows):
+    old, new = rows("k int, t int, v int", [(1, 5, 0)]), [(1, 5, 3), (1, 5, 7), (1, 5, 4)]
+    for order in (new, new[::-1]):
+        assert results.upsert(old, rows("k int, t int, v int", order), "k", "t").collect()[0]["v"] == 7
+
+
 def test_stability(rows):
     df = rows("m string, v double", [("a", 0.5), ("a", 0.7), ("a", 0.6), ("b", 0.1)])
     got = {r["m"]: r for r in results.stability(df, ["m"], "v").collect()}

@@ -27,12 +27,18 @@ def test_positions(events, keys, order, limit):
     assert same(o.positions(events, keys, order, "pos", limit), plain, ["event_id", "pos"])
 
 
-def test_positions_only_cut_hot_groups(events):
-    sliced = o._sliced_by_order(events, ["user_id"], ["ts"], 100)
-    per = sliced.groupBy("user_id").agg(F.countDistinct("_slice").alias("s")).collect()
-    assert {r["user_id"] for r in per if r["s"] > 1} == {1}
-    biggest = sliced.groupBy("user_id", "_slice").count().agg(F.max("count")).first()[0]
-    assert biggest <= 100
+@pytest.mark.parametrize("place", ["concat('data/sample/with/a/long/common/prefix/', lpad(id, 6, '0'))", "cast(id % 2 AS int)", "id"])
+def test_slices_follow_the_whole_tuple(spark, place):
+    df = spark.range(1000).selectExpr(f"{place} AS a", "id AS b")
+    sliced = o.with_order_slices(df, [], ["a", "b"], 100)
+    sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 150
+    w = Window.orderBy("a", "b")
+    assert same(o.positions(df, [], ["a", "b"], "pos", 100), df.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")), ["b", "pos"])
+
+
+def test_positions_of_no_rows(spark):
+    assert o.positions(spark.range(0), [], ["id"]).count() == 0
 
 
 def test_null_order_and_null_keys(rows):

@@ -4,10 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tsprobe.functions import paths
+from tsprobe.functions import labels, paths
 from tsprobe.functions import text as ft
-from tsprobe.operators import qa
-from tsprobe.schema import valid_input_kinds
+from tsprobe.operators import checks, qa
 
 
 def test_extract_letter(rows):
@@ -89,9 +88,20 @@ def test_variant_file_mismatch(rows):
         df.select(paths.parse_variant_file(F.col("n")).alias("k")).select("k.*").collect()
 
 
-def test_kinds():
-    kinds = valid_input_kinds()
-    assert len(kinds) == 18 and "ts,ust" in kinds and "ts,lets,ust" not in kinds
+def test_kinds(rows):
+    valid = ["ts,ust", "ust,vis", "vis,ust,lets", "ust,lets"]
+    wrong = ["ust", "ts,lets,ust", "ts,vis", "ust,ust", "ust,ust,vis", "ust,text", "", "ust,vis,ts,lets", None]
+    got = {r["k"]: r["v"] for r in rows("k string", [(k,) for k in valid + wrong]).select("k", checks.valid_kinds(F.col("k")).alias("v")).collect()}
+    assert all(got[k] for k in valid) and not any(got[k] for k in wrong)
+
+
+def test_letters_beyond_three(spark):
+    ranks = [1, 26, 27, 702, 703, 18_278, 18_279, 26**4]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in ranks], "r long").select(labels.letter(F.col("r"))).collect()]
+    assert got == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA", "YYYZ"]
+
+
+def test_question_kinds():
     with pytest.raises(ValueError):
         qa.check_kinds("ust")
     with pytest.raises(ValueError):

@@ -12,7 +12,7 @@ from tsprobe.operators.ordering import null_safe_join, positions
 def numeric_first(c: Column | str) -> list[Column]:
     """Sort keys that put integers before text, each in its own order."""
     c = F.col(c) if isinstance(c, str) else c
-    number = c.cast("string").try_cast("int")
+    number = c.cast("string").try_cast("bigint")
     return [number.isNull(), number, c.cast("string")]
 
 
@@ -37,15 +37,16 @@ def dense_index(train: DataFrame, df: DataFrame, label: str, name: str = "y") ->
 
 
 def letter(rank: Column) -> Column:
-    """1 -> A ... 26 -> Z, 27 -> AA ..."""
+    """1 -> A ... 26 -> Z, 27 -> AA ...: as many letters as a BIGINT rank needs, 14 at most."""
+    steps = F.sequence(F.lit(1), F.lit(14))
+    start = F.struct(rank.cast("bigint").alias("left"), F.lit("").alias("text"))
 
-    def char(r: Column) -> Column:
-        return F.char((F.lit(65) + (r - 1) % 26).cast("int"))
+    def add(done: Column, _: Column) -> Column:
+        last = F.char((F.lit(65) + (done["left"] - 1) % 26).cast("int"))
+        longer = F.struct(F.floor((done["left"] - 1) / F.lit(26)).alias("left"), F.concat(last, done["text"]).alias("text"))
+        return F.when(done["left"] > 0, longer).otherwise(done)
 
-    two = F.concat(char(F.floor((rank - 1) / 26)), char(rank))
-    rest = F.floor((rank - 1) / 26)
-    three = F.concat(char(F.floor((rest - 1) / 26)), char(rest), char(rank))
-    return F.when(rank <= 26, char(rank)).when(rank <= 702, two).otherwise(three)
+    return F.aggregate(steps, start, add, lambda done: done["text"])
 
 
 def with_letters(names: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -59,9 +60,10 @@ def with_letters(names: DataFrame, label: str, keys: Sequence[str] = ()) -> Data
 
 
 def option_block(lettered: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """``Your options are:`` followed by one ``[A] name`` line per label."""
+    """The fixed header ``Your options are:`` followed by one ``[A] name`` line per label."""
     tagged = F.struct("_r", F.concat(F.lit("["), F.col("letter"), F.lit("] "), F.col(name)).alias("line"))
     lines = F.sort_array(F.collect_list(tagged))["line"]
+    # fixed value: the header of an option block
     text = F.concat(F.lit("Your options are:\n\t"), F.array_join(lines, "\n\t"))
     return lettered.groupBy(*keys).agg(text.alias("block"))
 

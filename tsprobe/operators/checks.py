@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tsprobe.schema import valid_input_kinds
+#: The kinds of input a run may name.
+INPUT_KINDS = ["ust", "vis", "ts", "lets"]
 
 
 def class_coverage(train: DataFrame, test: DataFrame, label: str, enforce: bool = False) -> DataFrame:
@@ -46,8 +47,12 @@ def layer_alignment(embeddings: DataFrame) -> DataFrame:
 
 
 def valid_kinds(kinds: Column) -> Column:
-    """Is this comma-separated input-kind string one of the allowed ordered combinations?"""
-    return kinds.isin(valid_input_kinds())
+    """Does this comma-separated text name two or three different kinds, ``ust`` among them and only one kind of series text?"""
+    named = F.split(kinds, ",")
+    known = F.size(F.array_except(named, F.array(*map(F.lit, INPUT_KINDS)))) == 0
+    different = F.size(F.array_distinct(named)) == F.size(named)
+    one_series_text = ~(F.array_contains(named, "ts") & F.array_contains(named, "lets"))
+    return known & different & F.size(named).between(2, 3) & F.array_contains(named, "ust") & one_series_text
 
 
 def same_kinds(a: Column, b: Column) -> Column:

@@ -99,8 +99,9 @@ def pass_at_k(df: DataFrame, keys: Sequence[str], idx: str, ks: Sequence[int] =
 
 
 def vote(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Most frequent answer per id with its tally; a tie goes to the answer voted first."""
+    """Most frequent answer per id with its tally; a tie goes to the answer voted first. No answer (NULL) counts as -1."""
     keys = list(keys)
+    df = df.withColumn("pred", F.coalesce("pred", F.lit(-1)))
     tally = df.groupBy(*keys, "gt", "pred").agg(F.count(F.lit(1)).alias("_c"), F.min(order).alias("_first"))
     out = tally.groupBy(*keys, "gt").agg(
         F.max_by("pred", F.struct(F.col("_c"), -F.col("_first"))).alias("master_pred"),
@@ -110,6 +111,14 @@ def vote(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return out.withColumn("correct", (F.col("master_pred") == F.col("gt")).cast("int"))
 
 
+def vote_list(df: DataFrame, keys: Sequence[str], order: str, others: Sequence[str] = ()) -> DataFrame:
+    """``vote`` with ``votes``: every vote as (round, pred, others ...), in order of rounds; the rounds of an id are few."""
+    keys = list(keys)
+    one = F.struct(F.col(order), F.coalesce("pred", F.lit(-1)).alias("pred"), *others)
+    votes = df.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("votes"))
+    return null_safe_join(vote(df, keys, order), votes, keys)
+
+
 def forecast_pairs(df: DataFrame) -> DataFrame:
     """Truth and forecast under one name each; ``is_valid`` when both lists exist and are equally long."""
     have = set(df.columns)

@@ -1,28 +1,25 @@
 """Ranks, cut-offs, neighbours and running totals that survive one huge group.
 
 ``row_number() over (partition by class ...)`` sends a whole class to one task.
-Everything here cuts a group into *slices* of its order column first: the slice
-is ranked on its own and a small per-slice count table supplies the offset. The
-result is the exact global rank, but no task ever sees a whole hot group.
+Everything here cuts the rows into *slices* of their order first: a slice is ranked
+on its own and a small per-slice count table supplies the offset. The result is the
+exact global rank, but no task ever sees a whole hot group. There is one way for
+tables of every size; the number of slices follows the number of rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tsprobe.functions.hashing import HASH_RANGE, hash_key
 
-#: rows of one group that a single task may sort
-MAX_GROUP_ROWS = 5_000_000
+#: rows that a single task sorts, about
+SLICE_ROWS = 5_000_000
 #: positions per chunk for neighbour and running-total operators
 CHUNK = 1 << 16
-#: rows of a lookup table that may be broadcast; larger ones are joined by key
-MAX_BROADCAST_ROWS = 200_000
 
 
 def _col(c: Column | str) -> Column:
@@ -36,73 +33,45 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def broadcast_if_small(small: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a lookup table only when its row bound is known and small; otherwise Spark joins by key."""
-    return F.broadcast(small) if rows <= MAX_BROADCAST_ROWS else small
+def slice_count(df: DataFrame, slice_rows: int = SLICE_ROWS) -> int:
+    """Slices for the rows of ``df`` (a count without columns), as many as the shuffle is wide at least."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, -(-2 * df.count() // slice_rows))
 
 
-def count_groups(df: DataFrame, groups: Sequence[str]) -> int:
-    """Distinct groups, counted up to just above the broadcast limit (a column-pruned partial aggregation)."""
-    if not groups:
-        return 1
-    return df.select(*groups).distinct().limit(MAX_BROADCAST_ROWS + 1).count()
+def _hash_slice(h: Column, n: int) -> Column:
+    return F.floor(h / F.lit(-(-HASH_RANGE // n))).cast("int")
 
 
-def hash_slices(df: DataFrame) -> int:
-    """Number of hash slices per group: grows with the cluster's shuffle width, never with a driver pass."""
-    return max(8, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _steps(bounds: Column, place: Column, n: int) -> Column:
+    """How many of the sorted ``bounds`` (fewer than ``n``) are below ``place``, by halving."""
 
+    def half(state: Column, _: Column) -> Column:
+        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        below = F.get(bounds, middle) < place
+        lower = F.when(below, middle + 1).otherwise(state["lo"])
+        upper = F.when(below, state["hi"]).otherwise(middle)
+        return F.when(state["lo"] < state["hi"], F.struct(lower.alias("lo"), upper.alias("hi"))).otherwise(state)
 
-def _hash_slice(h: Column, n: int) -> Column:
-    return F.floor(h / F.lit(-(-HASH_RANGE // n))).cast("int")
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), start, half, lambda state: state["lo"])
 
 
-def _order_number(df: DataFrame, name: str) -> Column:
-    """A DOUBLE that never decreases along ``name``, for range slicing."""
-    dtype = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.TimestampNTZType):
-        day = F.unix_date(F.to_date(c)).cast("double")
-        second = F.hour(c) * 3600 + F.minute(c) * 60 + F.date_part(F.lit("SECOND"), c).cast("double")
-        return day * 86400.0 + second
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, (T.StringType, T.BinaryType)):
-        head = F.substring(c.cast("binary"), 1, 6)
-        return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
-    return c.cast("double")
-
-
-def slice_bounds(df: DataFrame, number: Column, slices: int) -> list[float]:
-    """Approximate quantiles of ``number``; one row, at most ``slices`` values, reach the driver."""
-    probs = [i / slices for i in range(1, slices)]
-    row = df.agg(F.percentile_approx(number, probs, 10 * slices).alias("b")).first()
-    return sorted({float(b) for b in (row["b"] or []) if math.isfinite(b)}) or [0.0]
-
-
-def _sliced_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int) -> DataFrame | None:
-    """``df`` with a ``_slice`` column, or None when every group fits one task.
-
-    Only groups larger than ``max_group_rows`` are cut; at most rows/max_group_rows
-    such keys exist, so the hot-key table is small by construction.
+def with_order_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``_slice``: ranges of the whole tuple of keys and order columns, of about equal rows.
+
+    The bounds come from a sample of eight tuples per slice, chosen by hashing; it is sorted in a scalar subquery.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    stats = sizes.agg(F.max("_n").alias("hottest"), F.sum("_n").alias("total")).first()
-    if (stats["hottest"] or 0) <= max_group_rows:
-        return None
-    number = F.coalesce(_order_number(df, order[0]), F.lit(float("-inf")))
-    slices = min(20_000, max(2, -(-2 * int(stats["total"]) // max_group_rows)))
-    bounds = slice_bounds(df, number, slices)
-    splits = [float("-inf"), *bounds, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_num", outputCol="_bucket", handleInvalid="keep")
-    sliced = cut.transform(df.withColumn("_num", number)).drop("_num")
-    if not keys:
-        return sliced.withColumn("_slice", F.col("_bucket").cast("int")).drop("_bucket")
-    hot = sizes.where(F.col("_n") > max_group_rows).select(*keys, F.lit(True).alias("_hot"))
-    sliced = null_safe_join(sliced, hot, keys, "left")
-    return sliced.withColumn("_slice", F.when(F.col("_hot"), F.col("_bucket")).otherwise(0.0).cast("int")).drop("_bucket", "_hot")
+    rows = df.count()
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(width, -(-2 * rows // slice_rows))
+    tuple_ = [*keys, *order]
+    place = F.struct(*tuple_)
+    every = max(1, rows // (8 * n))
+    sample = df.select(*tuple_).where(F.pmod(F.xxhash64(*tuple_), F.lit(every)) == 0).agg(F.sort_array(F.collect_list(place)).alias("s"))
+    picked = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / n).cast("int")))
+    bounds = sample.select((F.filter(picked, lambda b: b.isNotNull()) if n > 1 else F.slice("s", 1, 0)).alias("b")).scalar()
+    return df.withColumn("_bounds", bounds).withColumn("_slice", _steps(F.col("_bounds"), place, n)).drop("_bounds")
 
 
 def _slice_offsets(counts: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -117,54 +86,41 @@ def _slice_offsets(counts: DataFrame, keys: Sequence[str], measures: Sequence[st
     return numbered.where(F.col("_i") > 1).drop("_i")
 
 
-def _add_offsets(df: DataFrame, offsets: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
-    """Left join of the offsets; ``rows`` is a proven bound on their number, if there is one."""
-    small = offsets if rows is None else broadcast_if_small(offsets, rows)
-    return null_safe_join(df, small, [*keys, "_slice"], "left")
+def _add_offsets(df: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of the offsets; Spark broadcasts them if their measured size allows."""
+    return null_safe_join(df, offsets, [*keys, "_slice"], "left")
 
 
-def positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str = "pos",
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """0-based position of each row within ``keys``, ordered by ``order`` (ascending, unique)."""
     keys, order = list(keys), list(order)
-    sliced = _sliced_by_order(df, keys, order, max_group_rows)
-    if sliced is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+    sliced = with_order_slices(df, keys, order, slice_rows)
     w = Window.partitionBy(*keys, "_slice").orderBy(*order)
     ranked = sliced.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_before"))
-    out = _add_offsets(ranked, _slice_offsets(counts, keys, ["_before"]), keys, None if keys else 20_000)
+    out = _add_offsets(ranked, _slice_offsets(counts, keys, ["_before"]), keys)
     return out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_slice")
 
 
 def hash_rank(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, name: str = "rank") -> DataFrame:
     """0-based rank of each row within ``groups`` in hash order: a repeatable shuffle."""
     groups, ids = list(groups), list(ids)
-    n = hash_slices(df)
-    keyed = df.withColumn("_h", hash_key(seed, *ids)).withColumn("_slice", _hash_slice(F.col("_h"), n))
+    keyed = df.withColumn("_h", hash_key(seed, *ids)).withColumn("_slice", _hash_slice(F.col("_h"), slice_count(df)))
     w = Window.partitionBy(*groups, "_slice").orderBy("_h", *ids)
     ranked = keyed.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     counts = keyed.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_before"))
-    out = _add_offsets(ranked, _slice_offsets(counts, groups, ["_before"]), groups, n * count_groups(df, groups))
+    out = _add_offsets(ranked, _slice_offsets(counts, groups, ["_before"]), groups)
     return out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_slice", "_h")
 
 
-def hash_cut(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quota: Column, n_groups: int | None = None) -> DataFrame:
+def hash_cut(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quota: Column) -> DataFrame:
     """The hash key of the ``quota``-th smallest row of each group (one row per group).
 
     ``quota`` may use the column ``n`` (rows of the group). Two column-pruned
     passes: slice counts, then a rank inside the single slice that holds the cut.
     """
     groups, ids = list(groups), list(ids)
-    n = hash_slices(df)
-    n_groups = count_groups(df, groups) if n_groups is None else n_groups
-    keyed = df.select(*groups, *ids, hash_key(seed, *ids).alias("_h")).withColumn("_slice", _hash_slice(F.col("_h"), n))
+    keyed = df.select(*groups, *ids, hash_key(seed, *ids).alias("_h")).withColumn("_slice", _hash_slice(F.col("_h"), slice_count(df)))
     counts = keyed.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_c"))
     by_slice = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     cuts = (
@@ -174,7 +130,7 @@ def hash_cut(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quo
         .where((F.col("_q") > F.col("_upto") - F.col("_c")) & (F.col("_q") <= F.col("_upto")))
         .select(*groups, "_slice", (F.col("_q") - F.col("_upto") + F.col("_c")).alias("_k"))
     )
-    inside = null_safe_join(keyed, broadcast_if_small(cuts, n_groups), [*groups, "_slice"])
+    inside = null_safe_join(keyed, cuts, [*groups, "_slice"])
     w = Window.partitionBy(*groups, "_slice").orderBy("_h", *ids)
     return (
         inside.withColumn("_r", F.row_number().over(w))
@@ -186,16 +142,15 @@ def hash_cut(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quo
 def hash_select(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, quota: Column, name: str = "picked") -> DataFrame:
     """Flag the ``quota`` rows of each group with the smallest hash keys.
 
-    The wide rows are only compared with their group's cut-off: they are never
-    sorted, and not shuffled either while the groups can be counted as few.
+    The wide rows are only compared with their group's cut-off and never sorted; whether the cut-offs are broadcast is
+    Spark's choice by their measured size.
     """
     groups, ids = list(groups), list(ids)
-    n_groups = count_groups(df, groups)
-    cuts = hash_cut(df, groups, ids, seed, quota, n_groups)
+    cuts = hash_cut(df, groups, ids, seed, quota)
     mine = F.struct(hash_key(seed, *ids).alias("_h"), *ids)
     if not groups:
         return df.withColumn(name, F.coalesce(mine <= cuts.scalar(), F.lit(False)))
-    joined = null_safe_join(df, broadcast_if_small(cuts, n_groups), groups, "left")
+    joined = null_safe_join(df, cuts, groups, "left")
     return joined.withColumn(name, F.coalesce(mine <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 

@@ -32,7 +32,12 @@ def select_layer(df: DataFrame, layer: int = -1) -> DataFrame:
     """Rows of one layer; -1 is the highest. A layer that does not exist is an error naming those that do."""
     if layer < 0:
         return df.where(F.col("layer") == df.agg(F.max("layer")).scalar())
-    found = df.agg(F.array_sort(F.collect_set("layer")).alias("l"))
-    message = F.concat(F.lit(f"layer {layer} not found; available: "), F.array_join(found.select(F.col("l").cast("array<string>")).scalar(), ", "))
-    exists = F.array_contains(found.scalar(), layer)
-    return df.where((F.col("layer") == layer) | F.when(exists, F.lit(False)).otherwise(F.raise_error(message).cast("boolean")))
+    check_layer(df, layer)
+    return df.where(F.col("layer") == layer)  # a plain filter: it reaches the scan
+
+
+def check_layer(df: DataFrame, layer: int) -> None:
+    """Raise if no row has the layer; the layers that exist are looked up only then."""
+    if df.where(F.col("layer") == layer).isEmpty():
+        found = sorted(r[0] for r in df.select("layer").distinct().collect() if r[0] is not None)
+        raise ValueError(f"layer {layer} not found; available: {', '.join(map(str, found))}")

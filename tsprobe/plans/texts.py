@@ -267,8 +267,8 @@ def _nations(spark, sf_dir):
 
 @query("classification_qa", f"""
 WITH o AS (SELECT string_agg('[' || chr(65 + r_regionkey) || '] ' || r_name, ', ' ORDER BY r_regionkey) AS line FROM {{region}}), n AS {_REGIONS}
-SELECT idx, c AS channel, 'Classify the time series into one of the following classes:' || chr(10) || line || chr(10) || chr(10) || 'Answer using exactly this format: "The answer is [X] [CLASS_NAME]".' AS q,
- 'The answer is [' || letter || '] ' || name AS a, 'Summary: predicted class is [' || letter || '] ' || name || '.' AS summary FROM n, o, (SELECT unnest(['x', 'y']) AS c)""")
+SELECT idx, c AS channel, 'Options for this window: ' || line || chr(10) || 'Pick one and close with the line "The answer is [X] [CLASS_NAME]".' AS q,
+ 'The answer is [' || letter || '] ' || name AS a, 'Class of the window: [' || letter || '] ' || name AS summary FROM n, o, (SELECT unnest(['x', 'y']) AS c)""")
 def classification_qa(spark, sf_dir):
     out = qa.classification_qa(_nations(spark, sf_dir), "y", _region_options(spark, sf_dir), ["x", "y"])
     rows = out.select("idx", "summaries", F.explode("qa_pairs").alias("channel", "pairs"))
@@ -277,7 +277,7 @@ def classification_qa(spark, sf_dir):
 
 
 @query("stage2_class_qa", f"""
-WITH n AS {_REGIONS} SELECT idx, 'x: Summary: predicted class is [' || letter || '] ' || name || '.' || chr(10) || 'z:' AS smry, 'x: The answer is [' || letter || '] ' || name || chr(10) || 'z:' AS trend_text, name AS a FROM n""")
+WITH n AS {_REGIONS} SELECT idx, 'x: Class of the window: [' || letter || '] ' || name || chr(10) || 'z:' AS smry, 'x: The answer is [' || letter || '] ' || name || chr(10) || 'z:' AS trend_text, name AS a FROM n""")
 def stage2_class_qa(spark, sf_dir):
     q = qa.classification_qa(_nations(spark, sf_dir), "y", _region_options(spark, sf_dir), ["x", "y"])
     named = fl.attach_labels(q, "y", _region_options(spark, sf_dir))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tsprobe.functions import paths
 from tsprobe.operators.results import upsert
+from tsprobe.sources.recordings import placed_lines
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -69,9 +70,13 @@ def parse_ragged(lines: DataFrame, header: Sequence[str], text: str = "value", s
 
 
 def read_ragged_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Ragged TSV; the first line of the file names the columns."""
-    lines = spark.read.text(path)
-    return parse_ragged(lines, lines.first()["value"].split("\t"))
+    """Ragged TSV; the first line of each file names the columns, and files that name others are an error."""
+    placed = placed_lines(spark, path)
+    first = placed.groupBy("_file").agg(F.min_by("value", F.struct("_block", "_line")).alias("header"))
+    headers = sorted(r[0] for r in first.select("header").distinct().limit(2).collect())
+    if len(headers) != 1:
+        raise ValueError(f"files with different headers: {headers}" if headers else "no lines")
+    return parse_ragged(placed.select("value"), headers[0].split("\t"))
 
 
 def ragged_counts(lines: DataFrame, header: Sequence[str], text: str = "value") -> DataFrame:

@@ -8,11 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tsprobe.functions import series as fs
 from tsprobe.operators.ordering import positions
+from tsprobe.session import materialise
+
+
+#: Where a text line lies: its file, the block of the file that was read, and its place in the block.
+LINE_PLACE = ["_file", "_block", "_line"]
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with ``LINE_PLACE``; the order does not depend on which task reads which block."""
+    read = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return read.withColumn("_line", F.monotonically_increasing_id())  # grows inside a block, which one task reads
 
 
 def with_line_order(lines: DataFrame, name: str = "idx") -> DataFrame:
-    """Dense 0-based index in file order."""
-    return positions(lines.withColumn("_line", F.monotonically_increasing_id()), [], ["_line"], name).drop("_line")
+    """Dense 0-based index in order of ``LINE_PLACE``; the lines are written out first, so that every pass sees the same places."""
+    return positions(materialise(lines), [], LINE_PLACE, name).drop(*LINE_PLACE)
 
 
 def parse_ts(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -28,7 +39,7 @@ def parse_ts(lines: DataFrame, text: str = "value") -> DataFrame:
 
 def read_ts(spark: SparkSession, path: str) -> DataFrame:
     """A ``.ts`` file as ``idx``, ``x``, ``y``."""
-    body = spark.read.text(path).where(~F.trim("value").startswith("@") & (F.trim("value") != ""))
+    body = placed_lines(spark, path).where(~F.trim("value").startswith("@") & (F.trim("value") != ""))
     return parse_ts(with_line_order(body))
 
 
@@ -115,14 +126,18 @@ def read_variants(spark: SparkSession, folder: str) -> DataFrame:
 
 def rank_variants(files: DataFrame) -> DataFrame:
     """Rank by the first number in the name (files without one last), then by name."""
-    number = F.coalesce(F.regexp_extract("name", r"(\d+)", 1).try_cast("bigint"), F.lit(10**9))
-    return positions(files.withColumn("_n", number), [], ["_n", "name"], "rank").drop("_n")
+    digits = F.nullif(F.regexp_extract("name", r"(\d+)", 1), F.lit(""))
+    keyed = files.withColumn("_none", digits.isNull().cast("int")).withColumn("_n", digits.try_cast("decimal(38,0)"))
+    return positions(keyed, [], ["_none", "_n", "name"], "rank").drop("_none", "_n")
 
 
 def pair_variants(systems: DataFrame, questions: DataFrame) -> DataFrame:
-    """i-th system text with the i-th question text; the longer list is cut."""
+    """i-th system text with the i-th question text; lists of different lengths are an error."""
     left = systems.select("rank", F.col("text").alias("system"))
-    return left.join(questions.select("rank", F.col("text").alias("question")), "rank").withColumn("variant", F.col("rank") + 1)
+    both = left.join(questions.select("rank", F.col("text").alias("question")), "rank", "full_outer")
+    partner = F.col("system").isNotNull() & F.col("question").isNotNull()
+    message = F.concat(F.lit("no partner at rank "), F.col("rank").cast("string"))
+    return both.withColumn("variant", F.when(partner, F.col("rank") + 1).otherwise(F.raise_error(message).cast("bigint")))
 
 
 def trial_samples(df: DataFrame, keys: Sequence[str], order: Sequence[str], channels: Sequence[str], label: str | None = None) -> DataFrame:
