@@ -50,6 +50,41 @@ def test_logistic_gradient(spark, data):
     assert np.abs(grad).max() < 1e-3
 
 
+def test_two_classes_have_one_weight_vector(spark, data):
+    df, x, y = data
+    two = df.where("y > 0").withColumn("y", F.col("y") * 3)  # labels 3 and 6
+    out = probes.logistic_probe(two.where("idx >= 30"), two.where("idx < 30"), cs=(0.5,), folds=3)
+    assert {r["pred"] for r in out.predictions.collect()} <= {3, 6} and out.test_accuracy > 0.5
+    assert out.record()["grid"] == {"C": [0.5], "max_iter": [1000]}
+    shaped = df.where("y > 0").select((F.col("y") - 1).cast("double").alias("label"), probes.array_to_vector("vec").alias("features"))
+    keep, c = y > 0, 0.01
+    m = probes.fit_logistic(shaped, c, int(keep.sum()))
+    w, b = m.coefficientMatrix.toArray(), m.interceptVector.toArray()
+    assert w.shape == (1, 6)
+    p = 1 / (1 + np.exp(-(x[keep] @ w[0] + b[0])))
+    assert np.abs(c * (p - (y[keep] - 1)) @ x[keep] + w[0]).max() < 1e-4
+
+
+def test_ridge_keeps_digits_far_from_zero(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 3)) + 1e7
+    y = (x - 1e7) @ np.array([[1.0], [2.0], [3.0]]) + 5
+    df = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(120)], "idx long, x array<double>, y array<double>")
+    fit = probes.ridge_probe(df, "x", "y", "idx", alphas=(1e-6, 10.0))
+    assert fit.best_alpha == 1e-6 and fit.weights[:, 0] == pytest.approx([1, 2, 3], abs=1e-5) and fit.cv_mse[1e-6] < 1e-8
+
+
+def test_scaled_ridge_layers(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 4)) * [1, 10, 100, 1000]
+    y = x @ rng.normal(size=(4, 2)) * 50 + 1000
+    rows = [(i, k, "train" if i < 70 else "test", (x[i] * (1 + k)).tolist(), y[i].tolist()) for i in range(90) for k in range(2)]
+    df = spark.createDataFrame(rows, "idx long, layer int, split string, x array<double>, y array<double>")
+    out = probes.ridge_layers(df, [0, 1], "x", "y", "idx", alphas=(0.01, 1.0)).collect()
+    assert len(out) == 40 and {r["layer"] for r in out} == {0, 1}
+    assert all(r["pred"] == pytest.approx(r["y"], rel=0.01, abs=60) for r in out)
+
+
 def brute_ridge(x, y, alpha):
     xm, ym = x.mean(0), y.mean(0)
     w = np.linalg.solve((x - xm).T @ (x - xm) + alpha * np.eye(x.shape[1]), (x - xm).T @ (y - ym))

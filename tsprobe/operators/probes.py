@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,12 +19,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tsprobe.functions.series import dot
 from tsprobe.operators.metrics import classification_metrics
 from tsprobe.operators.ordering import null_safe_join, positions
+from tsprobe.operators.scaling import apply_vector_scaler, fit_vector_scaler, invert_vector_scaler
 from tsprobe.operators.splits import kfold_contiguous, kfold_stratified
 
+# The parameter grids of the probes.
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
 ALPHA_GRID = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
-#: largest moment matrix solved on the driver (features + outputs + 1)
-MAX_DIMENSION = 4096
+TIME_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
 @dataclass
@@ -31,6 +34,7 @@ class ProbeResult:
 
     layer: int
     best_c: float
+    max_iter: int
     best_cv_f1_macro: float
     test_accuracy: float
     test_f1_macro: float
@@ -39,7 +43,7 @@ class ProbeResult:
 
     def record(self) -> dict:
         return {
-            "layer": self.layer, "grid": sorted(self.cv_scores), "best_c": self.best_c, "best_cv_f1_macro": self.best_cv_f1_macro,
+            "layer": self.layer, "grid": {"C": sorted(self.cv_scores), "max_iter": [self.max_iter]}, "best_c": self.best_c, "best_cv_f1_macro": self.best_cv_f1_macro,
             "test_accuracy": self.test_accuracy, "test_f1_macro": self.test_f1_macro,
         }
 
@@ -53,9 +57,12 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
 
 
 def fit_logistic(train: DataFrame, c: float, n_fit: int, max_iter: int = 1000, weight: str | None = None) -> LogisticRegressionModel:
-    """Multinomial logistic regression minimising C * sum of losses + |w|^2 / 2 (intercept free)."""
+    """Logistic regression minimising C * sum of losses + |w|^2 / 2 (intercept free).
+
+    Labels are 0, 1, ...; two classes have one weight vector (binomial), more have one each (multinomial).
+    """
     lr = LogisticRegression(
-        featuresCol="features", labelCol="label", predictionCol="prediction", family="multinomial",
+        featuresCol="features", labelCol="label", predictionCol="prediction", family="auto",
         regParam=1.0 / (c * n_fit), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6,
     )
     return (lr.setWeightCol(weight) if weight else lr).fit(train)
@@ -66,9 +73,13 @@ def _score(model: LogisticRegressionModel, df: DataFrame) -> tuple[float, float]
     return float(m["accuracy"]), float(m["macro_f1"])
 
 
-def _predict(model: LogisticRegressionModel, df: DataFrame) -> DataFrame:
+def _predict(model: LogisticRegressionModel, df: DataFrame, labels: Sequence[int] | None = None) -> DataFrame:
+    """Truth and prediction by class number, or by the label that has the number."""
     out = model.transform(df)
-    return out.select("idx", F.col("label").cast("int").alias("gt"), F.col("prediction").cast("int").alias("pred"))
+    if labels is None:
+        return out.select("idx", F.col("label").cast("int").alias("gt"), F.col("prediction").cast("int").alias("pred"))
+    named = F.get(F.array(*map(F.lit, labels)), F.col("prediction").cast("int"))
+    return out.select("idx", F.col("y").cast("int").alias("gt"), named.cast("int").alias("pred"))
 
 
 def logistic_probe(
@@ -83,11 +94,17 @@ def logistic_probe(
 ) -> ProbeResult:
     """Grid search over C by stratified folds and macro-F1, refit on all train rows, predict test.
 
-    Inputs have ``idx``, ``y`` (0-based) and ``vec``. ``n_fit`` differs between a fold
-    and the refit, so each fit gets its own regularisation. Fits are distributed jobs;
-    a small thread pool keeps several of them in flight.
+    Inputs have ``idx``, ``y`` and ``vec``; the labels of train, in order, are the classes, and a
+    test label that train never saw counts as an error of every prediction. ``n_fit`` differs between
+    a fold and the refit, so each fit gets its own regularisation. Fits are distributed jobs; a small
+    thread pool keeps several of them in flight.
     """
-    shaped = lambda df: df.select("idx", F.col("y").cast("double").alias("label"), array_to_vector(F.col("vec")).alias("features"), *[c for c in ("fold",) if c in df.columns])
+    labels = sorted(r["y"] for r in train.select("y").distinct().collect())  # one weight vector each on the driver anyway
+    code = F.coalesce(F.array_position(F.array(*map(F.lit, labels)), F.col("y")), F.lit(0)) - 1
+
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.select("idx", "y", code.cast("double").alias("label"), array_to_vector(F.col("vec")).alias("features"), *[c for c in ("fold",) if c in df.columns])
+
     data = shaped(kfold_stratified(train, "y", "idx", folds)).persist()
     held = shaped(test)
     try:
@@ -112,51 +129,84 @@ def logistic_probe(
     finally:
         data.unpersist()
     acc, f1 = _score(model, held)
-    return ProbeResult(layer, best, cv[best], acc, f1, cv, _predict(model, held).withColumn("layer", F.lit(layer)))
+    return ProbeResult(layer, best, max_iter, cv[best], acc, f1, cv, _predict(model, held, labels).withColumn("layer", F.lit(layer)))
 
 
-def logistic_probe_layers(embeddings: DataFrame, layers: Sequence[int], **options) -> list[ProbeResult]:
-    """One probe per layer; each reads only its layer's partition."""
-    out = []
-    for layer in layers:
+def logistic_probe_layers(embeddings: DataFrame, layers: Sequence[int], at_once: int = 3, **options) -> list[ProbeResult]:
+    """One probe per layer, ``at_once`` of them in flight; each reads only its layer's partition."""
+
+    def one(layer: int) -> ProbeResult:
         rows = embeddings.where(F.col("layer") == layer)
         parts = [rows.where(F.col("split") == s).select("idx", "y", "vec") for s in ("train", "test")]
-        out.append(logistic_probe(*parts, layer=layer, **options))
-    return out
+        return logistic_probe(*parts, layer=layer, **options)
+
+    with ThreadPool(at_once) as pool:
+        return pool.map(one, layers)
+
+
+def layer_records(results: Sequence[ProbeResult], **keys: str) -> DataFrame:
+    """The best-parameter records of all layers as one table, with the run's keys (model, dataset, path ...) and the time."""
+    spark = results[0].predictions.sparkSession
+    rows = [(*keys.values(), r.layer, sorted(r.cv_scores), r.max_iter, r.best_c, r.best_cv_f1_macro, r.test_accuracy, r.test_f1_macro) for r in results]
+    names = "".join(f"{k} string, " for k in keys)
+    table = spark.createDataFrame(rows, names + "layer int, grid_c array<double>, max_iter int, best_c double, best_cv_f1_macro double, test_accuracy double, test_f1_macro double")
+    return table.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
 
 
 # --------------------------------------------------------------------------- ridge
 
 
-def moments(df: DataFrame, x: str, y: str, group: str) -> dict[int, np.ndarray]:
-    """Sum of z z' with z = (1, x, y) per ``group``: one pass, merged in the cluster, (1+D+H)^2 numbers per group.
+def centres(df: DataFrame, x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
+    """Means of both vectors, one partial sum per task."""
+    row = df.agg(*[vector_to_array(Summarizer.mean(array_to_vector(F.col(c).cast("array<double>")))).alias(c) for c in (x, y)]).first()
+    return np.array(row[x], dtype=float), np.array(row[y], dtype=float)
 
-    Each task sums its rows with one matrix product and emits one row per matrix line.
+
+def moments(df: DataFrame, x: str, y: str, group: str, shift: np.ndarray) -> DataFrame:
+    """Lines (g, i, line) of the sum of z z' with z = (1, (x, y) - shift) per ``group``, added up in the cluster.
+
+    Shifting by the means first keeps the digits that centring would lose. A task holds one matrix at a time: its rows
+    are sorted by group, summed by matrix products, and sent line by line.
     """
-    shape = df.agg(F.max(F.size(x)).alias("d"), F.max(F.size(y)).alias("h")).first()
-    size = 1 + (shape["d"] or 0) + (shape["h"] or 0)
-    if size > MAX_DIMENSION:
-        raise ValueError(f"{size} moments columns exceed {MAX_DIMENSION}: reduce the features or fit with MLlib's LinearRegression")
+    size = 1 + len(shift)
     schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("line", T.ArrayType(T.DoubleType()))])
 
+    def lines(g: int, m: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, size, 256):
+            part = m[at : at + 256]
+            yield pd.DataFrame({"g": g, "i": np.arange(at, at + len(part)), "line": list(part)})
+
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        held, m = None, None
         for frame in frames:
-            z = np.hstack([np.ones((len(frame), 1)), np.array(frame["x"].tolist(), dtype=float), np.array(frame["y"].tolist(), dtype=float)])
+            v = np.hstack([np.array(frame["x"].tolist(), dtype=float), np.array(frame["y"].tolist(), dtype=float)]) - shift
+            z = np.hstack([np.ones((len(frame), 1)), v])
             groups = frame["g"].to_numpy()
             for g in np.unique(groups):
+                if g != held:
+                    if m is not None:
+                        yield from lines(held, m)
+                    held, m = int(g), np.zeros((size, size))
                 rows = z[groups == g]
-                sums[int(g)] = sums.get(int(g), 0) + rows.T @ rows
-        for g, m in sums.items():
-            yield pd.DataFrame({"g": g, "i": np.arange(size), "line": list(m)})
+                m += rows.T @ rows
+        if m is not None:
+            yield from lines(held, m)
 
-    rows = df.select(F.col(group).cast("int").alias("g"), F.col(x).alias("x"), F.col(y).alias("y"))
-    lines = rows.mapInPandas(partial, schema)
-    summed = lines.groupBy("g", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("line"))).alias("line"))
-    out: dict[int, np.ndarray] = {}
-    for r in summed.toLocalIterator():
-        out.setdefault(r["g"], np.zeros((size, size)))[r["i"]] = r["line"]
-    return out
+    rows = df.select(F.col(group).cast("int").alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).sortWithinPartitions("g")
+    return rows.mapInPandas(partial, schema).groupBy("g", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("line"))).alias("line"))
+
+
+def each_group(summed: DataFrame, size: int) -> Iterator[np.ndarray]:
+    """The moment matrices in order of their groups; one at a time reaches the driver."""
+    held, m = None, np.zeros((size, size))
+    for r in summed.orderBy("g", "i").toLocalIterator():
+        if r["g"] != held and held is not None:
+            yield m
+            m = np.zeros((size, size))
+        held = r["g"]
+        m[r["i"]] = r["line"]
+    if held is not None:
+        yield m
 
 
 def solve_ridge(m: np.ndarray, d: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -188,30 +238,63 @@ class RidgeResult:
         return F.transform(table, lambda r: r["b"] + dot(x.cast("array<double>"), r["w"]))
 
 
-def _choose(parts: list[tuple[np.ndarray, np.ndarray]], whole: np.ndarray, d: int, alphas: Sequence[float]) -> RidgeResult:
-    cv = {a: float(np.mean([_mse(val, d, *solve_ridge(fit, d, a)) for fit, val in parts])) for a in alphas}
+def _search(df: DataFrame, x: str, y: str, group: str, alphas: Sequence[float], growing: bool) -> RidgeResult:
+    """Alpha by the folds in ``group``, refit on all rows.
+
+    A plain fold is held out of the sum of all; of growing folds each is held out of those before it. The driver holds
+    the running sum, one fold's matrix and the solver's copy: a few times (1 + D + H)^2 numbers, however many rows.
+    """
+    mean_x, mean_y = centres(df, x, y)
+    d, size = len(mean_x), 1 + len(mean_x) + len(mean_y)
+    summed = moments(df, x, y, group, np.concatenate([mean_x, mean_y])).persist(StorageLevel.DISK_ONLY)
+    try:
+        errors: dict[float, list[float]] = {a: [] for a in alphas}
+        whole = np.zeros((size, size))
+        if not growing:
+            for m in each_group(summed, size):
+                whole += m
+        for i, m in enumerate(each_group(summed, size)):
+            fit = whole if growing else whole - m
+            if not growing or i:
+                for a in alphas:
+                    errors[a].append(_mse(m, d, *solve_ridge(fit, d, a)))
+            if growing:
+                whole += m
+    finally:
+        summed.unpersist()
+    cv = {a: float(np.mean(e)) for a, e in errors.items()}
     best = min(alphas, key=lambda a: (cv[a], list(alphas).index(a)))
-    return RidgeResult(best, cv, *solve_ridge(whole, d, best))
+    w, b = solve_ridge(whole, d, best)
+    return RidgeResult(best, cv, w, b + mean_y - mean_x @ w)
 
 
 def ridge_probe(train: DataFrame, x: str, y: str, idx: str, alphas: Sequence[float] = ALPHA_GRID, folds: int = 5) -> RidgeResult:
-    """Multi-output ridge, alpha by plain contiguous folds: the whole grid search is one pass over the data."""
-    folded = kfold_contiguous(train, idx, folds)
-    by_fold = moments(folded, x, y, "fold")
-    d = train.select(F.size(x)).first()[0]
-    whole = sum(by_fold.values())
-    return _choose([(whole - m, m) for m in by_fold.values()], whole, d, alphas)
+    """Multi-output ridge, alpha by plain contiguous folds: the whole grid search is one pass over the data and one for the means."""
+    return _search(kfold_contiguous(train, idx, folds), x, y, "fold", alphas, growing=False)
 
 
-def ridge_time_probe(train: DataFrame, x: str, y: str, idx: str, alphas: Sequence[float] = (0.01, 0.1, 1.0, 10.0, 100.0), folds: int = 5) -> RidgeResult:
+def ridge_time_probe(train: DataFrame, x: str, y: str, idx: str, alphas: Sequence[float] = TIME_ALPHAS, folds: int = 5) -> RidgeResult:
     """As ``ridge_probe`` with expanding time folds: moments per time segment, training sums by prefix."""
     placed = positions(train, [], [idx], "_p").withColumn("_n", train.agg(F.count(F.lit(1))).scalar())
     step = F.floor(F.col("_n") / (folds + 1))
     segment = F.greatest(F.lit(0), F.floor((F.col("_p") - (F.col("_n") - folds * step)) / step) + 1)
-    by_segment = moments(placed.withColumn("_seg", segment), x, y, "_seg")
-    d = train.select(F.size(x)).first()[0]
-    parts, upto = [], by_segment[0]
-    for i in range(1, folds + 1):
-        parts.append((upto, by_segment[i]))
-        upto = upto + by_segment[i]
-    return _choose(parts, upto, d, alphas)
+    return _search(placed.withColumn("_seg", segment), x, y, "_seg", alphas, growing=True)
+
+
+def scaled_ridge(train: DataFrame, test: DataFrame, x: str, y: str, idx: str, alphas: Sequence[float] = TIME_ALPHAS, folds: int = 5) -> tuple[RidgeResult, DataFrame]:
+    """Ridge on standardised features and targets, both fitted on train alone; ``pred`` of test is on the scale of ``y`` again."""
+    of_x, of_y = fit_vector_scaler(train, x), fit_vector_scaler(train, y)
+    scaled = apply_vector_scaler(apply_vector_scaler(train, x, of_x), y, of_y)
+    fit = ridge_time_probe(scaled, x, y, idx, alphas, folds)
+    out = apply_vector_scaler(test.withColumn("_x", F.col(x)), "_x", of_x).withColumn("pred", fit.predict(F.col("_x"))).drop("_x")
+    return fit, invert_vector_scaler(out, "pred", of_y)
+
+
+def ridge_layers(embeddings: DataFrame, layers: Sequence[int], x: str, y: str, idx: str, **options) -> DataFrame:
+    """Predictions of a scaled ridge for each layer of a table with ``layer`` and ``split``."""
+    parts = []
+    for layer in layers:
+        rows = embeddings.where(F.col("layer") == layer)
+        fit, out = scaled_ridge(rows.where("split = 'train'"), rows.where("split = 'test'"), x, y, idx, **options)
+        parts.append(out.withColumn("layer", F.lit(layer)).withColumn("best_alpha", F.lit(fit.best_alpha)))
+    return reduce(DataFrame.unionByName, parts)

@@ -60,6 +60,12 @@ def apply_vector_scaler(df: DataFrame, vec: str, scaler: DataFrame) -> DataFrame
     return df.withColumn("_st", scaler.select("stats").scalar()).withColumn(vec, scaled).drop("_st")
 
 
+def invert_vector_scaler(df: DataFrame, vec: str, scaler: DataFrame) -> DataFrame:
+    """Back to the scale that ``apply_vector_scaler`` came from."""
+    back = F.zip_with(F.col(vec).cast("array<double>"), F.col("_st"), lambda v, s: v * s["s"] + s["m"])
+    return df.withColumn("_st", scaler.select("stats").scalar()).withColumn(vec, back).drop("_st")
+
+
 def znorm_windows(df: DataFrame, x: str, on_constant: str = "raise") -> DataFrame:
     """z-normalise each window and channel; constant windows raise, are flagged or are dropped."""
     out = df.withColumn(x, fs.znorm_channels(F.col(x)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tsprobe.functions import series as fs
 from tsprobe.functions import vectors as fv
@@ -180,7 +182,7 @@ def logistic_balanced(spark, sf_dir):
 def _forecast_rows(spark, sf_dir):
     """Lookback windows in a fixed global order."""
     pairs = windows.lookback_horizon(series(spark, sf_dir), ["user_id"], "p", "v", 24, 6)
-    return pairs.withColumn("row_id", F.col("user_id") * 1_000_000 + F.col("idx")).select("row_id", "user_id", "x", F.col("y").alias("gt"))
+    return pairs.withColumn("row_id", F.struct("user_id", "idx")).select("row_id", "user_id", "x", F.col("y").alias("gt"))
 
 
 def _errors(out):
@@ -205,3 +207,31 @@ def ridge_time_probe(spark, sf_dir):
     fit = probes.ridge_time_probe(scaling.apply_vector_scaler(train, "x", scaler), "x", "gt", "row_id")
     test = scaling.apply_vector_scaler(rows.where("user_id % 5 = 0"), "x", scaler)
     return _errors(test.withColumn("pred", fit.predict(F.col("x"))))
+
+
+@query("ridge_one_feature", """
+WITH t AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM {lineitem}),
+f AS (SELECT regr_sxy(y, x) / (regr_sxx(y, x) + 10.0) AS w, avg(x) AS mx, avg(y) AS my FROM t)
+SELECT round(w, 3) AS w, round(my - w * mx, 2) AS b FROM f""")
+def ridge_one_feature(spark, sf_dir):
+    """The normal equation of one feature, as SQL states it."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.struct("l_orderkey", "l_linenumber").alias("id"), F.array(F.col("l_quantity").cast("double")).alias("x"), F.array(F.col("l_extendedprice").cast("double")).alias("y")
+    )
+    fit = probes.ridge_probe(rows, "x", "y", "id", alphas=(10.0,))
+    out = spark.createDataFrame([(float(fit.weights[0, 0]), float(fit.intercept[0]))], "w double, b double")
+    return out.select(F.round("w", 3).alias("w"), F.round("b", 2).alias("b"))
+
+
+def _layered(spark, sf_dir):
+    """Five layers derived from the embeddings: each half the size of the one below."""
+    s = split_vectors(spark, sf_dir).select("idx", "y", "vec", "split")
+    layers = [s.withColumn("layer", F.lit(k)).withColumn("vec", F.slice("vec", 1, 64 >> k)) for k in range(5)]
+    return reduce(DataFrame.unionByName, layers)
+
+
+@query("logistic_probe_layers")
+def logistic_probe_layers(spark, sf_dir):
+    """One record per layer: grid, best parameters and scores."""
+    found = probes.logistic_probe_layers(_layered(spark, sf_dir), list(range(5)), cs=(0.1, 1.0), folds=3, max_iter=200)
+    return probes.layer_records(found, model="derived", dataset="embeddings").drop("timestamp")
