@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,13 +79,18 @@ def edited(value: str, follower: str) -> str:
 
 def ordered(block: pa.Table) -> tuple[list, list[str], str]:
     """A block's ids and texts in order, and the text that comes after its last."""
-    rows = sorted(zip(block.column("id").to_pylist(), block.column("extra").to_pylist(), strings(block, "text"), strict=True), key=lambda r: (-r[0], r[2]))
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = (unpack(t).decode() for t in strings(block, "text"))
+    rows = sorted(zip(block.column("id").to_pylist(), block.column("extra").to_pylist(), texts, strict=True), key=lambda r: (-r[0], r[2]))
     own = [r for r in rows if not r[1]]
     return [r[0] for r in own], [r[2] for r in own], next(r[2] for r in rows if r[1])
 
 
 def range_blocks(docs: DataFrame, block_bytes: int = 16 << 20) -> tuple[DataFrame, int, int]:
-    """Blocks of neighbouring ids with the text after each one's last, their number, and the number of documents."""
+    """Blocks of neighbouring ids with the text after each one's last, their number, and the number of documents.
+
+    Texts are dealt compressed, as they are most of what moves.
+    """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id")
     count, size = docs.agg(F.count("*"), F.sum(F.octet_length(text()))).first()
@@ -93,11 +99,15 @@ def range_blocks(docs: DataFrame, block_bytes: int = 16 << 20) -> tuple[DataFram
     bounds = np.unique(np.array(cuts or [], np.int64))
 
     def find(batches):
+        pack = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, batch.column(0).to_numpy()), pa.int32()), *batch.columns], names=["block", "id", "text"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = pa.array([pack(t.encode()) for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, part.column(0).to_numpy()), pa.int32()), part.column(0), texts], names=["block", "id", "text"])
 
-    rows = docs.select(key, text().alias("text")).mapInArrow(find, "block int, id long, text string")
-    ids = docs.select(key, F.lit("").alias("text")).mapInArrow(find, "block int, id long, text string")
+    rows = docs.select(key, text().alias("text")).mapInArrow(find, "block int, id long, text binary")
+    ids = docs.select(key, F.lit("").alias("text")).mapInArrow(find, "block int, id long, text binary")
     tops = [(r.block, r.id) for r in ids.groupBy("block").agg(F.max("id").alias("id")).orderBy("block").collect()]  # one row per block
     sent = [(tops[i][1], tops[(i + 1) % len(tops)][0]) for i in range(len(tops))]
     heads = spark.createDataFrame(sent, "id long, sent_to int")
