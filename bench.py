@@ -1,8 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-A query is run once to warm up and then timed (median of three when it is short,
-the first run alone when it takes over 18 seconds); every result row is
-produced, into a no-op sink.
+Every query is run once to warm up and then timed: the median of three runs when
+a run is short, one run otherwise. Every result row is produced, into a no-op sink.
 """
 
 from __future__ import annotations
@@ -39,10 +38,9 @@ def main() -> None:
     timings: dict[str, float] = {}
     for name in HEADLINE:
         try:
+            run(spark, name, sf_dir)
             runs = [run(spark, name, sf_dir)]
-            if runs[0] < 18.0:  # the first run warmed up; quick queries are noisy and repeated
-                runs = [run(spark, name, sf_dir)]
-                runs += [run(spark, name, sf_dir) for _ in range(2 if runs[0] < 0.8 else 0)]
+            runs += [run(spark, name, sf_dir) for _ in range(2 if runs[0] < 0.8 else 0)]  # quick queries are noisy
             timings[name] = round(statistics.median(runs), 3)
             print(f"{name}: {timings[name]}", file=sys.stderr, flush=True)
         except Exception as e:  # keep the line complete: a failed query is reported as null

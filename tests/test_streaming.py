@@ -40,11 +40,15 @@ def test_resume_and_repeat(spark, tmp_path):
 
 def test_log_stream(spark, tmp_path):
     (tmp_path / "in/r1").mkdir(parents=True)
-    (tmp_path / "in/r1/a.jsonl").write_text('{"run": "x", "idx": 1, "gt": 1, "pred": 1}\n{"run": "x", "idx": 2, "gt": 1, "pred": -1}\n')
+    (tmp_path / "in/r1/a.jsonl").write_text('{"run": "x", "idx": 1, "gt": 1, "pred": 1}\n{"run": "x", "idx": 2, "gt": 1, "pred": -1}\n{"run": "x", "idx": 3, "gt')
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("run", T.StringType())] + [T.StructField(n, T.IntegerType()) for n in ("idx", "gt", "pred")])
-    s = live.read_log_stream(spark, str(tmp_path / "in"), schema)
+    stream = live.read_log_stream(spark, str(tmp_path / "in"), schema)
+    torn = str(tmp_path / "torn")
+    live.run_to_end(live.torn_lines(stream).writeStream.foreachBatch(live.batch_writer(torn)), str(tmp_path / "cp-torn"))
+    assert [r["line"] for r in spark.read.parquet(torn).collect()] == ['{"run": "x", "idx": 3, "gt']
+    s = live.whole_lines(stream)
     once = live.exactly_once(s.union(s), ["run", "idx"], "ingested_at", "1 hour")
     path = str(tmp_path / "out")
     live.run_to_end(once.writeStream.foreachBatch(live.batch_writer(path)), str(tmp_path / "cp"))

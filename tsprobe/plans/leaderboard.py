@@ -126,12 +126,12 @@ def keep_latest(spark, sf_dir):
 
 
 @query("upsert_results", f"""
-WITH s AS ({SCORES_SQL}), o AS (SELECT dataset || '/' || model || '/' || layer AS pred_path, ts, accuracy, dataset IN ('ctu', 'emg') AS old, shots FROM s WHERE ts IS NOT NULL),
+WITH s AS ({SCORES_SQL}), o AS (SELECT dataset || '/' || model || '/' || layer AS pred_path, ts, accuracy, dataset IN ('ctu', 'emg') AS old, shots FROM s),
 u AS (SELECT pred_path, ts, accuracy, 0 AS gen FROM o WHERE old UNION ALL SELECT pred_path, ts, accuracy, 1 FROM o WHERE NOT old
       UNION ALL SELECT pred_path, ts, accuracy + 1, 1 FROM o WHERE old AND shots = 1)
-SELECT pred_path, CAST(max(ts) AS VARCHAR) AS ts, CAST(arg_max(gen, (ts, gen)) AS INT) AS gen FROM u GROUP BY 1""")
+SELECT pred_path, CAST(ts AS VARCHAR) AS ts, CAST(gen AS INT) AS gen FROM u QUALIFY row_number() OVER (PARTITION BY pred_path ORDER BY ts DESC NULLS LAST, gen DESC) = 1""")
 def upsert_results(spark, sf_dir):
-    s = scores(spark, sf_dir).where("ts IS NOT NULL").withColumn("pred_path", F.concat_ws("/", "dataset", "model", F.col("layer").cast("string")))
+    s = scores(spark, sf_dir).withColumn("pred_path", F.concat_ws("/", "dataset", "model", F.col("layer").cast("string")))
     s = s.select("pred_path", "ts", "accuracy", "dataset", "shots")
     is_old = F.col("dataset").isin("ctu", "emg")
     old = s.where(is_old).withColumn("gen", F.lit(0))

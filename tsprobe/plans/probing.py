@@ -29,14 +29,13 @@ def vector_mean(spark, sf_dir):
 
 
 @query("tail_patch_pool", """
-WITH p AS (SELECT vec_id // 8 AS win, vec_id % 8 AS patch, embedding AS e FROM {embeddings} WHERE vec_id < (SELECT count(*) FROM {embeddings}) // 8 * 8),
+WITH p AS (SELECT vec_id // 8 AS win, vec_id % 8 AS patch, embedding AS e FROM {embeddings}),
 k AS (SELECT * FROM p WHERE patch >= 8 - greatest(1, ceil((win * 5 % 64) / 8))), x AS (SELECT win, e, unnest(range(1, 65)) AS i FROM k),
 m AS (SELECT win, i, avg(CAST(e[i] AS DOUBLE)) AS m, count(*) AS n FROM x GROUP BY 1, 2)
 SELECT win, round(sum(m * i), 5) AS checksum, max(n)::DOUBLE AS n_patches FROM m GROUP BY 1""")
 def tail_patch_pool(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    size = F.floor(v.agg(F.count("*")).scalar() / 8) * 8
-    p = v.where(F.col("idx") < size).select(F.floor(F.col("idx") / 8).alias("win"), (F.col("idx") % 8).alias("patch"), "vec").withColumn("len", F.col("win") * 5 % 64)
+    p = v.select(F.floor(F.col("idx") / 8).alias("win"), (F.col("idx") % 8).alias("patch"), "vec").withColumn("len", F.col("win") * 5 % 64)
     out = vectors.tail_patch_pool(p, ["win"], "patch", 8, "len", "vec")
     return out.select("win", F.round(fs.position_sum(F.col("vec")), 5).alias("checksum"), F.col("weight").alias("n_patches"))
 
@@ -223,7 +222,7 @@ def ridge_one_feature(spark, sf_dir):
     return out.select(F.round("w", 3).alias("w"), F.round("b", 2).alias("b"))
 
 
-def _layered(spark, sf_dir):
+def _nested_layers(spark, sf_dir):
     """Five layers derived from the embeddings: each half the size of the one below."""
     s = split_vectors(spark, sf_dir).select("idx", "y", "vec", "split")
     layers = [s.withColumn("layer", F.lit(k)).withColumn("vec", F.slice("vec", 1, 64 >> k)) for k in range(5)]
@@ -233,5 +232,5 @@ def _layered(spark, sf_dir):
 @query("logistic_probe_layers")
 def logistic_probe_layers(spark, sf_dir):
     """One record per layer: grid, best parameters and scores."""
-    found = probes.logistic_probe_layers(_layered(spark, sf_dir), list(range(5)), cs=(0.1, 1.0), folds=3, max_iter=200)
+    found = probes.logistic_probe_layers(_nested_layers(spark, sf_dir), list(range(5)), cs=(0.1, 1.0), folds=2, max_iter=100)
     return probes.layer_records(found, model="derived", dataset="embeddings").drop("timestamp")

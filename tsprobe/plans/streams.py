@@ -66,10 +66,10 @@ def stream_count_windows(spark, sf_dir):
 
 
 @query("stream_upsert", f"""
-WITH s AS (SELECT dataset || '/' || model || '/' || layer AS pred_path, ts, id FROM ({SCORES_SQL}) WHERE ts IS NOT NULL) SELECT pred_path, CAST(max(ts) AS VARCHAR) AS ts FROM s GROUP BY 1""")
+WITH s AS (SELECT dataset || '/' || model || '/' || layer AS pred_path, ts, id FROM ({SCORES_SQL})) SELECT pred_path, CAST(max(ts) AS VARCHAR) AS ts FROM s GROUP BY 1""")
 def stream_upsert(spark, sf_dir):
     source, path = scratch_dir(spark, "scores"), scratch_dir(spark, "leaderboard")
-    rows = scores(spark, sf_dir).where("ts IS NOT NULL").select(F.concat_ws("/", "dataset", "model", F.col("layer").cast("string")).alias("pred_path"), "ts", "accuracy")
+    rows = scores(spark, sf_dir).select(F.concat_ws("/", "dataset", "model", F.col("layer").cast("string")).alias("pred_path"), "ts", "accuracy")
     rows.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(source)
     live.run_to_end(stream.writeStream.foreachBatch(live.upsert_writer(path, "pred_path", "ts")), scratch_dir(spark, "cp"))

@@ -131,13 +131,21 @@ def rank_variants(files: DataFrame) -> DataFrame:
     return positions(keyed, [], ["_none", "_n", "name"], "rank").drop("_none", "_n")
 
 
-def pair_variants(systems: DataFrame, questions: DataFrame) -> DataFrame:
-    """i-th system text with the i-th question text; lists of different lengths are an error."""
-    left = systems.select("rank", F.col("text").alias("system"))
-    both = left.join(questions.select("rank", F.col("text").alias("question")), "rank", "full_outer")
-    partner = F.col("system").isNotNull() & F.col("question").isNotNull()
-    message = F.concat(F.lit("no partner at rank "), F.col("rank").cast("string"))
-    return both.withColumn("variant", F.when(partner, F.col("rank") + 1).otherwise(F.raise_error(message).cast("bigint")))
+def zip_equal(left: DataFrame, right: DataFrame, place: str) -> DataFrame:
+    """Rows of both tables with the same ``place``; a row without a partner is an error, so equal lengths are enforced."""
+    a = left.withColumn("_a", F.lit(1))
+    b = right.withColumnRenamed(place, "_place").withColumn("_b", F.lit(1))
+    both = a.join(b, F.col(place) == F.col("_place"), "full_outer")
+    message = F.concat(F.lit("no partner at place "), F.coalesce(place, "_place").cast("string"))
+    checked = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.col(place)).otherwise(F.raise_error(message).cast(left.schema[place].dataType))
+    return both.withColumn(place, checked).drop("_a", "_b", "_place")
+
+
+def pair_variants(systems: DataFrame, questions: DataFrame, strict: bool = False) -> DataFrame:
+    """i-th system text with the i-th question text; the longer list is cut, or an error if ``strict``."""
+    left, right = systems.select("rank", F.col("text").alias("system")), questions.select("rank", F.col("text").alias("question"))
+    both = zip_equal(left, right, "rank") if strict else left.join(right, "rank")
+    return both.withColumn("variant", F.col("rank") + 1)
 
 
 def trial_samples(df: DataFrame, keys: Sequence[str], order: Sequence[str], channels: Sequence[str], label: str | None = None) -> DataFrame:

@@ -18,15 +18,32 @@ from tsprobe.operators.metrics import correct_flag
 from tsprobe.operators.results import upsert
 
 
+TORN = "_torn"
+
+
 def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
-    """JSON-lines directory as a stream with the file time as ``ingested_at``."""
-    reader = spark.readStream.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true")
+    """JSON-lines directory as a stream with the file time as ``ingested_at`` and the text of torn lines in ``_torn``.
+
+    A file source reads a file once: writers add whole files (write elsewhere, then move in) and never append to one.
+    ``whole_lines`` and ``torn_lines`` part the stream; both can be counted.
+    """
+    marked = T.StructType([*schema.fields, T.StructField(TORN, T.StringType())])
+    reader = spark.readStream.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", TORN).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     rows = reader.json(path)
     return rows.select("*", F.col("_metadata.file_modification_time").alias("ingested_at"))
 
 
+def whole_lines(stream: DataFrame) -> DataFrame:
+    return stream.where(F.col(TORN).isNull()).drop(TORN)
+
+
+def torn_lines(stream: DataFrame) -> DataFrame:
+    """The torn lines with the time of their file; a count of them belongs beside every figure of the log."""
+    return stream.where(F.col(TORN).isNotNull()).select(F.col(TORN).alias("line"), "ingested_at")
+
+
 def live_accuracy(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows seen, right answers and accuracy per run; use output mode update or complete."""
     hit = correct_flag(F.col("gt"), F.col("pred"))
@@ -57,7 +74,7 @@ def _snapshots(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("-")[1]) for n in done)
 
 
-def upsert_writer(path: str, key: str, ts: str) -> Callable[[DataFrame, int], None]:
+def upsert_writer(path: str, key: str, ts: str, tie: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink: latest row per key, as a new complete snapshot per batch.
 
     A repeated batch starts again from the snapshot before it.
@@ -67,7 +84,7 @@ def upsert_writer(path: str, key: str, ts: str) -> Callable[[DataFrame, int], No
         spark = batch.sparkSession
         older = [n for n in _snapshots(spark, path) if n < batch_id]
         base = spark.read.parquet(f"{path}/snapshot-{older[-1]}") if older else batch.limit(0)
-        upsert(base, batch, key, ts).write.mode("overwrite").parquet(f"{path}/snapshot-{batch_id}")
+        upsert(base, batch, key, ts, tie).write.mode("overwrite").parquet(f"{path}/snapshot-{batch_id}")
 
     return write
 
