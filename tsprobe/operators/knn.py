@@ -20,6 +20,8 @@ from tsprobe.operators.splits import kfold_stratified
 from tsprobe.operators.windows import majority
 
 BLOCK_BYTES = 4 << 20
+#: bytes of one distance matrix; a block pair is worked off in tiles of query rows
+TILE_BYTES = 32 << 20
 K_GRID = (1, 3, 5, 7, 9, 11, 15, 21)
 
 
@@ -68,19 +70,22 @@ def nearest(train: DataFrame, test: DataFrame, k: int, metric: str = "cosine", o
                 t = np.array([r["vec"] for r in t_rows], dtype=float)
                 t_idx = np.array([r["idx"] for r in t_rows])
                 t_y = np.array([r["y"] for r in t_rows])
-                d = np.round(_distances(q, t, metric), 9)
+                q_idx = np.array([r["idx"] for r in q_rows])
                 if other_fold:
                     qf, tf = np.array([r["fold"] for r in q_rows]), np.array([r["fold"] for r in t_rows])
-                    d[qf[:, None] == tf[None, :]] = np.inf
                 at = min(k, len(t)) - 1
-                picked = []
-                for i in range(len(q)):
-                    # everything up to the k-th smallest distance, so ties at the edge are settled by id
-                    cand = np.flatnonzero((d[i] <= np.partition(d[i], at)[at]) & np.isfinite(d[i]))
-                    picked.append(cand[np.lexsort((t_idx[cand], d[i][cand]))][:k])
-                rows, cols = np.repeat(np.arange(len(q)), [len(c) for c in picked]), np.concatenate(picked)
-                q_idx = np.array([r["idx"] for r in q_rows])
-                yield pd.DataFrame({"idx": q_idx[rows], "nb_idx": t_idx[cols], "nb_y": t_y[cols], "dist": d[rows, cols]})
+                step = max(1, TILE_BYTES // (8 * len(t)))
+                for first in range(0, len(q), step):
+                    d = np.round(_distances(q[first:first + step], t, metric), 9)
+                    if other_fold:
+                        d[qf[first:first + step, None] == tf[None, :]] = np.inf
+                    picked = []
+                    for line in d:
+                        # everything up to the k-th smallest distance, so ties at the edge are settled by id
+                        cand = np.flatnonzero((line <= np.partition(line, at)[at]) & np.isfinite(line))
+                        picked.append(cand[np.lexsort((t_idx[cand], line[cand]))][:k])
+                    rows, cols = np.repeat(np.arange(len(d)), [len(c) for c in picked]), np.concatenate(picked)
+                    yield pd.DataFrame({"idx": q_idx[first + rows], "nb_idx": t_idx[cols], "nb_y": t_y[cols], "dist": d[rows, cols]})
 
     w = Window.partitionBy("idx").orderBy("dist", "nb_idx")
     return pairs.select("qb_rows", "tb_rows").mapInPandas(best, out_schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

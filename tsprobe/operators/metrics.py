@@ -47,6 +47,12 @@ def classification_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return metrics_from_cells(confusion(df, keys), keys)
 
 
+def results_rows(predictions: DataFrame, path: str, at: Column | None = None) -> DataFrame:
+    """Scored runs as rows of a results table (accuracy, macro_f1, pred_path, timestamp), one for each prediction file."""
+    time = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd HH:mm:ss")
+    return classification_metrics(predictions, [path]).select("accuracy", "macro_f1", F.col(path).alias("pred_path"), time.alias("timestamp"))
+
+
 def with_empty_runs(scores: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Runs without rows score n = 0 and zeros."""
     out = null_safe_join(runs, scores, list(keys), "left")

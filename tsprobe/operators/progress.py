@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tsprobe.operators.ordering import null_safe_join
+from tsprobe.operators.ordering import null_safe_join, positions
 
 
 def pending_attempts(expected: DataFrame, done: DataFrame, idx: str, n: int) -> DataFrame:
@@ -24,15 +24,19 @@ def attempt_progress(log: DataFrame, keys: Sequence[str], idx: str) -> DataFrame
 
 
 def first_incomplete_batch(log: DataFrame, runs: DataFrame, keys: Sequence[str], test_len: int, batch_size: int) -> DataFrame:
-    """Per run the first batch with fewer rows than expected, or the number of batches when all are full."""
+    """Per run the first batch with fewer rows than expected, or the number of batches when all are full.
+
+    The full batches are numbered; the first whose number is not its index follows the gap.
+    """
     keys = list(keys)
     n_batches = -(-test_len // batch_size)
-    grid = runs.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch_idx"))
     seen = log.groupBy(*keys, "batch_idx").agg(F.count(F.lit(1)).alias("_seen"))
     expected = F.least(F.lit(batch_size), F.lit(test_len) - F.col("batch_idx") * batch_size)
-    joined = null_safe_join(grid, seen, [*keys, "batch_idx"], "left")
-    short = F.when(F.coalesce("_seen", F.lit(0)) < expected, F.col("batch_idx"))
-    return joined.groupBy(*keys).agg(F.coalesce(F.min(short), F.lit(n_batches)).alias("batch_start"))
+    full = seen.where(F.col("batch_idx").between(0, n_batches - 1) & (F.col("_seen") >= expected))
+    placed = positions(full, keys, ["batch_idx"], "_p")
+    gap = F.min(F.when(F.col("batch_idx") != F.col("_p"), F.col("_p")))
+    gaps = placed.groupBy(*keys).agg(F.coalesce(gap, F.count(F.lit(1))).cast("int").alias("batch_start"))
+    return null_safe_join(runs.select(*keys), gaps, keys, "left").fillna({"batch_start": 0})
 
 
 def run_completeness(log: DataFrame, keys: Sequence[str], idx: str, n: int, expected: DataFrame) -> DataFrame:

@@ -33,6 +33,16 @@ def classification_metrics(spark, sf_dir):
     return _rounded(metrics.classification_metrics(predictions(spark, sf_dir), ["run"]), "run")
 
 
+@query("scored_results", f"""
+WITH p AS ({PREDICTIONS_SQL}), q AS (SELECT 'runs/' || run || '/preds.jsonl' AS pred_path, gt, pred FROM p), {metrics_sql('q', 'pred_path')}
+SELECT round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, pred_path, '2024-03-01 12:30:00' AS timestamp FROM a JOIN m USING (pred_path)""")
+def scored_results(spark, sf_dir):
+    """From prediction rows with their path to rows of the results table."""
+    p = predictions(spark, sf_dir).withColumn("pred_path", F.concat(F.lit("runs/"), "run", F.lit("/preds.jsonl")))
+    out = metrics.results_rows(p, "pred_path", F.lit("2024-03-01 12:30:00").cast("timestamp"))
+    return out.select(F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), "pred_path", "timestamp")
+
+
 DOC_PRED_SQL = """
 SELECT source, lang, quality AS gt, CASE WHEN n_chars > 900 THEN 1 ELSE 0 END AS pred FROM {documents} JOIN {labels} USING (doc_id)"""
 
