@@ -28,11 +28,12 @@ def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, max_fi
     ``whole_lines`` and ``torn_lines`` part the stream; both can be counted.
     """
     marked = T.StructType([*schema.fields, T.StructField(TORN, T.StringType())])
-    reader = spark.readStream.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", TORN).option("recursiveFileLookup", "true")
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    rows = reader.json(path)
-    return rows.select("*", F.col("_metadata.file_modification_time").alias("ingested_at"))
+    parsed = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": TORN})
+    rows = reader.text(path).where(F.trim("value") != "").select(parsed.alias("_row"), F.col("_metadata.file_modification_time").alias("ingested_at"))
+    return rows.select("_row.*", "ingested_at")
 
 
 def whole_lines(stream: DataFrame) -> DataFrame:
