@@ -113,10 +113,6 @@ def is_all_zero(x: Column) -> Column:
     return F.forall(x, lambda row: F.forall(row, lambda v: v == 0))
 
 
-def has_nan(x: Column) -> Column:
-    return F.exists(x, lambda row: F.exists(row, lambda v: F.isnan(v)))
-
-
 def hann_power(values: Column, n: int) -> Column:
     """One-sided power of an ``n``-sample frame under a periodic Hann window: |sum w x e^(-2 pi i k t / n)|^2.
 
