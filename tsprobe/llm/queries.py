@@ -14,13 +14,14 @@ from tsprobe.llm.ngram_join import near_duplicates
 from tsprobe.llm.packing import best_fit_pack
 from tsprobe.llm.quality_model import classify, fit
 from tsprobe.llm.quality_rules import clean
+from tsprobe.llm.quality_rules_sql import RULES_SQL
 from tsprobe.llm.suffix_dedup import dedup
 from tsprobe.llm.suffix_tree import score
 from tsprobe.llm.token_counts import count_tokens
 from tsprobe.llm.warc import derive, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality_rules": RULES_SQL}
 
 
 def bpe() -> dict[str, str]:
