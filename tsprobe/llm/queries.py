@@ -11,6 +11,7 @@ from tsprobe.llm.common import table
 from tsprobe.llm.imatch import fingerprints
 from tsprobe.llm.mixing import mix
 from tsprobe.llm.ngram_join import near_duplicates
+from tsprobe.llm.ngram_join_sql import JOIN_SQL
 from tsprobe.llm.packing import best_fit_pack
 from tsprobe.llm.quality_model import classify, fit
 from tsprobe.llm.quality_rules import clean
@@ -21,7 +22,7 @@ from tsprobe.llm.token_counts import count_tokens
 from tsprobe.llm.warc import derive, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op6_quality_rules": RULES_SQL}
+ORACLES: dict[str, str] = {"op3_ngram_join": JOIN_SQL, "op6_quality_rules": RULES_SQL}
 
 
 def bpe() -> dict[str, str]:
