@@ -125,7 +125,9 @@ def fit(docs: DataFrame, train_rows: int = 10_000, dimensions: int = 1 << 17) ->
     sample = with_votes(docs.where(F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(every)) == 0))
     rows = hashed(sample.join(F.broadcast(soft), "_votes"), dimensions)
     sides = F.array(F.struct(F.lit(1.0).alias("label"), F.col("_good").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("_good")).alias("weight")))
-    train = rows.select("_x", F.explode(sides).alias("_s")).select("_x", "_s.*").where("weight > 0.0001").cache()
+    # the few training rows of all scan tasks go to as many partitions as there are cores: each iteration is a job
+    dealt = rows.select("_x", sides.alias("_s")).repartition(spark.sparkContext.defaultParallelism)
+    train = dealt.select("_x", F.explode("_s").alias("_s")).select("_x", "_s.*").where("weight > 0.0001").cache()
     try:
         return LogisticRegression(featuresCol="_x", labelCol="label", weightCol="weight", maxIter=60, regParam=1e-6, standardization=False).fit(train)
     finally:
