@@ -1,15 +1,18 @@
 """Parts of the operators by themselves, on edge cases."""
 
+import glob
 import random
 import uuid
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tsprobe.llm import mixing
 from tsprobe.llm.components import components
 from tsprobe.llm.imatch import fingerprints, likeness
 from tsprobe.llm.mixing import mix, shards, share_out, split_quotas, whole_documents
@@ -18,6 +21,7 @@ from tsprobe.llm.packing import best_fit_pack, best_fit_runs
 from tsprobe.llm.pretokens import Cache, Encoder, pieces
 from tsprobe.llm.quality_model import classify, fit, fit_votes
 from tsprobe.llm.quality_rules import clean
+from tsprobe.llm.queries import QUERIES
 from tsprobe.llm.suffix_dedup import dedup
 from tsprobe.llm.suffix_tree import score
 from tsprobe.llm.token_counts import count_tokens
@@ -336,6 +340,24 @@ def test_mix_and_shards_of_odd_texts(odd, none):
     assert whole_documents(none).collect() == []
 
 
+def test_query_deals_its_draws_to_shards(spark, sf_dir, monkeypatch):
+    made = []
+    write = mixing.write_mix
+    monkeypatch.setattr(mixing, "write_mix", lambda mixed, sources, n, path, seed: (write(mixed, sources, n, path, seed), made.append((sources, n, path, seed))))
+    a = QUERIES["op10_mix_sources"](spark, sf_dir).toPandas()
+    ((sources, n, path, seed),) = made
+    assert n > 1
+    s = spark.read.parquet(path).toPandas()
+    quotas = split_quotas([x.quota for x in sources], n, seed)
+    for i, x in enumerate(sources):
+        mine = s[s.source == x.name]
+        assert mine.number.nunique() == x.quota and (mine.groupby("number").shard.nunique() == 1).all()
+        assert mine.groupby("shard").number.nunique().reindex(range(n), fill_value=0).tolist() == quotas[:, i].tolist()
+    assert s.groupby("source").n.sum().equals(a[a.taken > 0].groupby("source").taken.sum().rename("n"))
+    files = sorted(glob.glob(f"{path.removeprefix('file://')}/shard=*/*.parquet"))
+    assert len(files) == n and all(pd.read_parquet(f).key.is_monotonic_increasing for f in files)
+
+
 def test_warc_round_trip(spark):
     page = "<html lang='de'><head><title>A &amp; B</title><script>var x='<p>no</p>'</script></head><body><p>One<br>two</p><a href='/x'>three</a><!-- gone --></body></html>"
     pages = [(1, "http://a.example/x", page), (2, None, None), (None, "http://b.example/", ""), (3, "http://a.example/\nX-Bad: 1", "plain & <b>bold</b>")]

@@ -25,7 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsprobe.llm.common import count_words, running, saved, text
+from tsprobe.llm.common import count_words, running, saved, shuffle_partitions, text
+from tsprobe.session import scratch_dir
 
 
 @dataclass(frozen=True)
@@ -146,18 +147,52 @@ def mix(docs: DataFrame, most: int = 3, seed: int = 7) -> tuple[DataFrame, list[
 
 
 def shards(mixed: DataFrame, sources: list[Source], n: int, seed: int = 7) -> DataFrame:
-    """One row per document and draw: shard, position key, doc_id, start and n words.
+    """One row per document and draw: shard, position key, doc_id, source, place of the document, start and n words.
 
-    A shard's draws of a source are one range of the numbering; order a shard by ``key`` to shuffle it.
+    A shard's draws of a source are one range of the numbering; order a shard by ``key`` to shuffle it. Ranges are found
+    by stretches of the numbering as long as a mean range, so a draw is compared with a few ranges and not with ``n``.
     """
     spark = mixed.sparkSession
     after = np.cumsum(split_quotas([s.quota for s in sources], n, seed), axis=0)
-    rows = [(s.name, h, int(after[h - 1, i]) if h else 0, int(after[h, i])) for i, s in enumerate(sources) for h in range(n)]
-    ranges = spark.createDataFrame(rows, "source string, shard int, first long, after long")
-    one = mixed.select("doc_id", "source", F.explode("draws").alias("d"))
-    on = F.col("m.source").eqNullSafe(F.col("r.source")) & (F.col("d.number") >= F.col("first")) & (F.col("d.number") < F.col("after"))
-    joined = one.alias("m").join(F.broadcast(ranges).alias("r"), on)  # one row per source and shard
-    return joined.select("shard", F.xxhash64(F.lit(seed), F.col("m.source"), "d.number").alias("key"), "doc_id", "m.source", F.col("d.block").alias("block"), F.col("d.number").alias("number"), F.col("d.start").alias("start"), F.col("d.n").alias("n"))
+    rows = []
+    for i, s in enumerate(sources):
+        long = stretch(s, n)
+        for h in range(n):
+            a, b = int(after[h - 1, i]) if h else 0, int(after[h, i])
+            rows += [(s.name, part, h, a, b) for part in range(a // long, (b - 1) // long + 1) if b > a]
+    ranges = spark.createDataFrame(rows, "source string, part long, shard int, first long, after long")
+    one = mixed.select("doc_id", "source", "place", F.explode("draws").alias("d"))
+    one = one.withColumn("part", F.floor(F.col("d.number") / by_source(sources, lambda s: F.lit(stretch(s, n)).cast("long"))))
+    on = F.col("m.source").eqNullSafe(F.col("r.source")) & (F.col("m.part") == F.col("r.part")) & (F.col("d.number") >= F.col("first")) & (F.col("d.number") < F.col("after"))
+    joined = one.alias("m").join(F.broadcast(ranges).alias("r"), on)  # about two rows per source and shard
+    return joined.select("shard", F.xxhash64(F.lit(seed), F.col("m.source"), "d.number").alias("key"), "doc_id", "m.source", "m.place", F.col("d.block").alias("block"), F.col("d.number").alias("number"), F.col("d.start").alias("start"), F.col("d.n").alias("n"))
+
+
+def stretch(source: Source, n: int) -> int:
+    """The mean length of a source's ranges when it is split among ``n`` shards."""
+    return max(1, -(-source.quota // n))
+
+
+def write_mix(mixed: DataFrame, sources: list[Source], n: int, path: str, seed: int = 7) -> None:
+    """Write the shards, each shuffled in its own task."""
+    shards(mixed, sources, n, seed).repartition(n, "shard").sortWithinPartitions("shard", "key", "place", "start").write.partitionBy("shard").parquet(path)
+
+
+def dealt(docs: DataFrame, most: int = 3, seed: int = 7, shard_words: int = 1 << 20) -> DataFrame:
+    """The documents of ``mix``, with the words that the written shards hold of each as ``taken``.
+
+    A shard has about ``shard_words`` words; a source and a place name a document that has words.
+    """
+    spark = docs.sparkSession
+    mixed, sources = mix(docs, most, seed)
+    mixed = saved(mixed)
+    n = max(shuffle_partitions(spark), -(-sum(s.quota * s.block for s in sources) // shard_words))
+    path = scratch_dir(spark, "llm")
+    write_mix(mixed, sources, n, path, seed)
+    drawn = spark.read.schema("source string, place long, n long").parquet(path)
+    took = drawn.groupBy("source", "place").agg(F.sum("n").alias("taken"))
+    on = F.col("m.source").eqNullSafe(F.col("t.source")) & (F.col("m.place") == F.col("t.place")) & (F.col("m.size") > 0)
+    return mixed.alias("m").join(took.alias("t"), on, "left").select("m.doc_id", "m.source", "same", "size", "source_size", "target", "m.place", F.coalesce("t.taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def whole_documents(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
@@ -165,7 +200,7 @@ def whole_documents(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
 
     Rows with equal doc_id, source and text are one document, which stands for the copies of all.
     """
-    mixed, _ = mix(docs, most, seed)
+    mixed = dealt(docs, most, seed)
     share = F.col("taken") / F.col("size")
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "same", F.lit("whole")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int")
@@ -173,8 +208,3 @@ def whole_documents(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
     d = docs.withColumn("_same", F.xxhash64(text())).dropDuplicates(["doc_id", "source", "_same"]).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col("d.source").eqNullSafe(F.col("w.source")) & (F.col("d._same") == F.col("w.same"))
     return d.join(wanted.alias("w"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w.copies").cast("int")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
-
-
-def write_mix(mixed: DataFrame, sources: list[Source], n: int, path: str, seed: int = 7) -> None:
-    """Write the shards, each shuffled in its own task."""
-    shards(mixed, sources, n, seed).repartition(n, "shard").sortWithinPartitions("shard", "key", "start").write.partitionBy("shard").parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tsprobe.llm.common import table
 from tsprobe.llm.imatch import fingerprints
-from tsprobe.llm.mixing import mix
+from tsprobe.llm.mixing import dealt
 from tsprobe.llm.ngram_join import near_duplicates
 from tsprobe.llm.ngram_join_sql import JOIN_SQL
 from tsprobe.llm.packing import best_fit_pack
@@ -83,5 +83,4 @@ def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, _ = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
