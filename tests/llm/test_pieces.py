@@ -3,6 +3,7 @@
 import glob
 import random
 import uuid
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tsprobe.llm import mixing
+from tsprobe.llm import mixing, ngram_join
 from tsprobe.llm.components import components
 from tsprobe.llm.imatch import fingerprints, likeness
 from tsprobe.llm.mixing import mix, shards, share_out, split_quotas, whole_documents
@@ -202,6 +203,15 @@ def test_hot_bucket_is_cut_into_tiles(spark):
     assert (a.class_id == 0).all()
 
 
+def test_empty_chunks_count_no_pair_again(spark, monkeypatch):
+    base = " ".join(f"t{i}" for i in range(60))
+    rows = [(10 * g + i, f"g{g} " + base.replace("t", f"t{g}x") + f" e{i}") for g in range(6) for i in range(2 + g)]
+    monkeypatch.setattr(ngram_join, "links", partial(ngram_join.links, chunk_bytes=200))
+    a = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert (a.class_id == a.doc_id // 10 * 10).all()
+    assert (a.n_links == a.doc_id // 10 + 1).all()
+
+
 def test_linked_matrix():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(20)]

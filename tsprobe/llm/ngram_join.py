@@ -132,26 +132,27 @@ def linked(sets: list[np.ndarray], left: np.ndarray, similarity: float, width: i
 def tile_links(similarity: float):
     """Rows of one tile after the other to link counts and forest edges."""
 
-    def one(band: int, bucket: list) -> tuple[list, list, list]:
+    def one(band: int, diagonal: bool, bucket: list) -> tuple[list, list, list]:
         ids = np.array([r[0] for r in bucket], np.int64)
         chunk = np.array([r[1] for r in bucket], bool)  # in the first chunk of the tile
         hashes = np.stack([r[2] for r in bucket])
         weight = np.array([r[4] for r in bucket], np.int64)
         sets = [np.frombuffer(r[3], np.uint64) for r in bucket]
-        both = len({bool(c) for c in chunk}) > 1
-        left = np.flatnonzero(chunk) if both else np.arange(len(ids))
+        if not diagonal and chunk.all() or not chunk.any():  # the other chunk is empty
+            return [], [], []
+        left = np.flatnonzero(chunk)
         first = np.ones((len(left), len(ids)), bool)
         for b in range(band):  # pairs that meet in an earlier band are verified there
             first &= hashes[left, b][:, None] != hashes[None, :, b]
         first &= ids[left][:, None] != ids[None, :]
-        if both:
+        if not diagonal:
             first &= ~chunk[None, :]
         if not first.any():
             return [], [], []
         link = first & linked(sets, left, similarity)
         counts = np.zeros(len(ids), np.int64)
         counts[left] += link @ weight
-        if both:
+        if not diagonal:
             counts += weight[left] @ link
         root = np.arange(len(ids))
 
@@ -174,7 +175,7 @@ def tile_links(similarity: float):
         key, rows = None, []
 
         def out():
-            ids, counts, edges = one(key[0], rows) if len(rows) > 1 else ([], [], [])
+            ids, counts, edges = one(key[0], key[2] == key[3], rows) if len(rows) > 1 else ([], [], [])
             a = ids + [x for x, _ in edges]
             b = [None] * len(ids) + [y for _, y in edges]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(counts + [0] * len(edges), pa.int64())], names=["id", "other", "n"])
