@@ -368,6 +368,22 @@ def test_query_deals_its_draws_to_shards(spark, sf_dir, monkeypatch):
     assert len(files) == n and all(pd.read_parquet(f).key.is_monotonic_increasing for f in files)
 
 
+def test_whole_documents_meet_their_targets(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randrange(999)}" for _ in range(20_000 if i % 200 < 4 else rng.randrange(20, 200))), f"s{i % 4}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed, sources = mix(docs)
+    taken = mixed.toPandas().set_index("doc_id")
+    whole = whole_documents(docs).toPandas()
+    copies = whole.doc_id.value_counts().reindex(taken.index, fill_value=0)
+    share = taken.target / taken.source_size
+    assert (copies >= np.floor(share)).all() and (copies <= np.ceil(share)).all()
+    words = (copies * taken["size"]).groupby(taken.source).sum()
+    for s in sources:
+        assert words[s.name] == pytest.approx(taken.taken[taken.source == s.name].sum(), abs=200)
+        assert words[s.name] == pytest.approx(s.target, rel=0.01)
+
+
 def test_warc_round_trip(spark):
     page = "<html lang='de'><head><title>A &amp; B</title><script>var x='<p>no</p>'</script></head><body><p>One<br>two</p><a href='/x'>three</a><!-- gone --></body></html>"
     pages = [(1, "http://a.example/x", page), (2, None, None), (None, "http://b.example/", ""), (3, "http://a.example/\nX-Bad: 1", "plain & <b>bold</b>")]

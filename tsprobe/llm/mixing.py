@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsprobe.llm.common import count_words, running, saved, shuffle_partitions, text
+from tsprobe.operators.ordering import positions, running_sums
 from tsprobe.session import scratch_dir
 
 
@@ -195,16 +196,40 @@ def dealt(docs: DataFrame, most: int = 3, seed: int = 7, shard_words: int = 1 <<
     return mixed.alias("m").join(took.alias("t"), on, "left").select("m.doc_id", "m.source", "same", "size", "source_size", "target", "m.place", F.coalesce("t.taken", F.lit(0).cast("long")).alias("taken"))
 
 
+def rounded(mixed: DataFrame, seed: int = 7) -> DataFrame:
+    """``mixed`` with ``copies``: taken / size rounded down or up, so that a source's words stay near those taken.
+
+    Documents of a source are lined up by size, and where the running sum of the shares' fractions passes a whole number
+    (from a start given by hashing) one is rounded up: each as often as its fraction says, and the words miss by less
+    than the source's largest document. Then as many others as make up for the miss, in an order given by hashing, get
+    one copy less or more, within the source's own share rounded down and up: what is still missed is at most half a
+    document no larger than the miss, as long as there are enough of them.
+    """
+    unit = 1 << 32
+    some = mixed.where("size > 0").withColumn("least", F.floor(F.col("taken") / F.col("size")))
+    some = some.withColumn("part", F.floor((F.col("taken") - F.col("least") * F.col("size")) / F.col("size") * unit))
+    lined = running_sums(positions(some, ["source"], ["size", "place"]), ["source"], "pos", {"upto": F.col("part")})
+    start = F.pmod(F.xxhash64(F.lit(seed), "source", F.lit("whole")), F.lit(unit))
+    whole = F.col("target") / F.col("source_size")
+    upto = F.col("upto").cast("long") + start
+    up = F.shiftright(upto, 32) - F.shiftright(upto - F.col("part"), 32)
+    once = saved(lined.select("doc_id", "source", "same", "size", "place", "taken", (F.col("least") + up).alias("copies"), F.floor(whole).alias("fewest"), F.ceil(whole).alias("most"), F.xxhash64(F.lit(seed), "source", "place", F.lit("turn")).alias("key")))
+    missed = once.groupBy("source").agg(F.sum(F.col("copies") * F.col("size") - F.col("taken")).alias("over"))
+    near = once.alias("a").join(missed.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "over")
+    turns = (F.col("size") <= F.abs("over")) & F.when(F.col("over") > 0, F.col("copies") > F.col("fewest")).otherwise(F.col("copies") < F.col("most"))
+    turning = running(near.where(turns), ["source"], ["key"], F.col("size"), "before")
+    turned = turning.where(2 * F.col("before") + F.col("size") <= 2 * F.abs("over")).select("source", "place", F.signum("over").cast("int").alias("less"))
+    on = F.col("a.source").eqNullSafe(F.col("t.source")) & (F.col("a.place") == F.col("t.place"))
+    return once.alias("a").join(turned.alias("t"), on, "left").select("a.doc_id", "a.source", "same", "size", "taken", (F.col("copies") - F.coalesce("less", F.lit(0))).cast("int").alias("copies"))
+
+
 def whole_documents(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them; a part of a document counts as a chance to take it whole.
+    """The rows of ``docs`` as often as the mix takes them; a part of a document is rounded to the whole of it or none.
 
     Rows with equal doc_id, source and text are one document, which stands for the copies of all.
     """
-    mixed = dealt(docs, most, seed)
-    share = F.col("taken") / F.col("size")
-    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "same", F.lit("whole")), F.lit(1 << 30)) / float(1 << 30)
-    copies = (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int")
-    wanted = mixed.where("taken > 0").select("doc_id", "source", "same", copies.alias("copies")).groupBy("doc_id", "source", "same").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    copies = rounded(dealt(docs, most, seed), seed)
+    wanted = copies.groupBy("doc_id", "source", "same").agg(F.sum("copies").alias("copies")).where("copies > 0")
     d = docs.withColumn("_same", F.xxhash64(text())).dropDuplicates(["doc_id", "source", "_same"]).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col("d.source").eqNullSafe(F.col("w.source")) & (F.col("d._same") == F.col("w.same"))
     return d.join(wanted.alias("w"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w.copies").cast("int")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
