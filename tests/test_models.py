@@ -125,3 +125,49 @@ def test_vector_mean_and_layers(rows):
     assert [r["v"] for r in vectors.select_layer(layers, -1).collect()] == [5]
     with pytest.raises(Exception, match="layer 7 not found; available: 0, 2"):
         vectors.select_layer(layers, 7).collect()
+
+
+def test_layer_query_searches_the_whole_grid(spark, sf_dir, monkeypatch):
+    from tsprobe.plans.catalogue import QUERIES
+
+    asked = []
+
+    def spy(train, test, cs=probes.C_GRID, folds=5, max_iter=1000, **others):
+        asked.append((tuple(cs), folds, max_iter))
+        return probes.ProbeResult(others["layer"], cs[0], max_iter, 0.0, 0.0, 0.0, dict.fromkeys(cs, 0.0), train)
+
+    monkeypatch.setattr(probes, "logistic_probe", spy)
+    rows = QUERIES["logistic_probe_layers"](spark, sf_dir).collect()
+    assert asked == [((0.001, 0.01, 0.1, 1.0, 10.0, 100.0), 5, 1000)] * 5
+    assert all(len(r["grid_c"]) == 6 for r in rows)
+
+
+def test_layer_records_by_brute_force(spark, data):
+    df, x, y = data
+    keep = np.flatnonzero(y > 0)[:70]
+    two = df.where(F.col("idx").isin(keep.tolist()))
+    train, test = (two.where(F.col("idx").isin(k.tolist())) for k in (keep[20:], keep[:20]))
+    layers = [s.withColumn("split", F.lit(n)).withColumn("layer", F.lit(k)).withColumn("vec", F.slice("vec", 1, 6 >> k)) for k in (0, 1) for n, s in (("train", train), ("test", test))]
+    found = probes.logistic_probe_layers(layers[0].union(layers[1]).union(layers[2]).union(layers[3]), [0, 1])
+    fold = {r["idx"]: r["fold"] for r in probes.kfold_stratified(train, "y", "idx", 5).collect()}
+
+    def fit(a, t, c):
+        a, w = np.c_[a, np.ones(len(a))], np.zeros(a.shape[1] + 1)
+        ridge = np.diag([1 / c] * (len(w) - 1) + [0])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-a @ w))
+            w = w - np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - t) + ridge @ w)
+        return w
+
+    def f1(w, a, t):
+        p = (np.c_[a, np.ones(len(a))] @ w > 0).astype(int)
+        return np.mean([2 * ((p == k) & (t == k)).sum() / max(1, (p == k).sum() + (t == k).sum()) for k in (0, 1)])
+
+    f = np.array([fold[i] for i in keep[20:].tolist()])
+    for layer, r in enumerate(found):
+        a, t = x[keep][:, : 6 >> layer], y[keep] - 1
+        own, mine = a[20:], t[20:]
+        cv = {c: np.mean([f1(fit(own[f != k], mine[f != k], c), own[f == k], mine[f == k]) for k in range(5)]) for c in probes.C_GRID}
+        assert r.cv_scores == pytest.approx(cv)
+        assert cv[r.best_c] == pytest.approx(max(cv.values())) and r.max_iter == 1000
+        assert r.test_f1_macro == pytest.approx(f1(fit(own, mine, r.best_c), a[:20], t[:20]))

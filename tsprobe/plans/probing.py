@@ -232,5 +232,5 @@ def _nested_layers(spark, sf_dir):
 @query("logistic_probe_layers")
 def logistic_probe_layers(spark, sf_dir):
     """One record per layer: grid, best parameters and scores."""
-    found = probes.logistic_probe_layers(_nested_layers(spark, sf_dir), list(range(5)), cs=(1.0,), folds=2, max_iter=25)
+    found = probes.logistic_probe_layers(_nested_layers(spark, sf_dir), list(range(5)))
     return probes.layer_records(found, model="derived", dataset="embeddings").drop("timestamp")
