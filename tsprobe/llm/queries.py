@@ -16,6 +16,7 @@ from tsprobe.llm.packing import best_fit_pack
 from tsprobe.llm.quality_model import classify, fit
 from tsprobe.llm.quality_rules import clean
 from tsprobe.llm.quality_rules_sql import RULES_SQL
+from tsprobe.llm.simhash import near_documents
 from tsprobe.llm.suffix_dedup import dedup
 from tsprobe.llm.suffix_tree import score
 from tsprobe.llm.token_counts import count_tokens
@@ -84,3 +85,8 @@ def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query
+def op11_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(table(spark, sf_dir, "documents"))
