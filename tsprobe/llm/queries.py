@@ -13,6 +13,8 @@ from tsprobe.llm.mixing import dealt
 from tsprobe.llm.ngram_join import near_duplicates
 from tsprobe.llm.ngram_join_sql import JOIN_SQL
 from tsprobe.llm.packing import best_fit_pack
+from tsprobe.llm.prefix_trie import prefix_trie, shared_starts
+from tsprobe.llm.prefix_trie_sql import TRIE_SQL
 from tsprobe.llm.quality_model import classify, fit
 from tsprobe.llm.quality_rules import clean
 from tsprobe.llm.quality_rules_sql import RULES_SQL
@@ -20,10 +22,12 @@ from tsprobe.llm.simhash import near_documents
 from tsprobe.llm.suffix_dedup import dedup
 from tsprobe.llm.suffix_tree import score
 from tsprobe.llm.token_counts import count_tokens
+from tsprobe.llm.treap_search import ranked_search
+from tsprobe.llm.treap_search_sql import SEARCH_SQL
 from tsprobe.llm.warc import derive, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op3_ngram_join": JOIN_SQL, "op6_quality_rules": RULES_SQL}
+ORACLES: dict[str, str] = {"op3_ngram_join": JOIN_SQL, "op6_quality_rules": RULES_SQL, "op12_prefix_trie": TRIE_SQL, "op13_treap_search": SEARCH_SQL}
 
 
 def bpe() -> dict[str, str]:
@@ -90,3 +94,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), shared_starts).drop("key", "parent_key")
+
+
+@query
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
