@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 
 from tsprobe.llm.common import saved, text
 
-NOT_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of terms, A-Z lower-cased, and a space for every other byte.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 INDEX = "n_docs int, terms binary, dfs binary, docs binary, height int, sizes array<int>, quadrants binary, maxima binary"
@@ -60,9 +58,17 @@ def weight(df: int, n_docs: int) -> int:
 
 def totals(docs: DataFrame) -> tuple[int, int]:
     """Documents with terms, and all their terms."""
-    n = F.regexp_count(text(), F.lit(TERM)).cast("long")
-    row = docs.select(n.alias("n")).where("n > 0").agg(F.count("*"), F.sum("n")).first()
-    return row[0], row[1] or 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_docs = n_terms = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                sizes = [len(terms_of(t)) for t in batch.column(0)[at : at + 64].to_pylist()]
+                n_docs, n_terms = n_docs + sum(map(bool, sizes)), n_terms + sum(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array([n_docs], pa.int64()), pa.array([n_terms], pa.int64())], names=["n_docs", "n_terms"])
+
+    row = docs.select(text().alias("text")).mapInArrow(count, "n_docs long, n_terms long").agg(F.sum("n_docs"), F.sum("n_terms")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def spread(x: np.ndarray) -> np.ndarray:
