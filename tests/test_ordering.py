@@ -19,22 +19,34 @@ def same(a, b, cols):
     return sorted(map(key, a.select(*cols).collect())) == sorted(map(key, b.select(*cols).collect()))
 
 
-@pytest.mark.parametrize("limit", [5, 40, 10_000])
+@pytest.fixture
+def slices(spark):
+    """slices(n): shuffles have n partitions for the rest of the test."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    yield lambda n: spark.conf.set(name, n)
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("n", [1, 7, 60])
 @pytest.mark.parametrize("keys,order", [(["user_id"], ["ts", "event_id"]), ([], ["ts", "event_id"]), (["event_type"], ["value", "event_id"]), (["user_id"], ["event_type", "event_id"])])
-def test_positions(events, keys, order, limit):
+def test_positions(events, slices, keys, order, n):
+    slices(n)
     w = Window.partitionBy(*keys).orderBy(*order)
     plain = events.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
-    assert same(o.positions(events, keys, order, "pos", limit), plain, ["event_id", "pos"])
+    assert same(o.positions(events, keys, order, "pos"), plain, ["event_id", "pos"])
 
 
 @pytest.mark.parametrize("place", ["concat('data/sample/with/a/long/common/prefix/', lpad(id, 6, '0'))", "cast(id % 2 AS int)", "id"])
-def test_slices_follow_the_whole_tuple(spark, place):
+def test_bounds_follow_the_whole_tuple(spark, slices, place):
+    slices(20)
     df = spark.range(1000).selectExpr(f"{place} AS a", "id AS b")
-    sliced = o.with_order_slices(df, [], ["a", "b"], 100)
-    sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
-    assert len(sizes) == 20 and max(sizes) < 150
+    bounds = [tuple(r.b) for r in o.slice_bounds(df, ["a", "b"]).orderBy("b").collect()]
+    ordered = sorted(tuple(r) for r in df.collect())
+    cuts = [0, *[ordered.index(b) for b in bounds], len(ordered)]
+    assert len(bounds) == 19 and max(y - x for x, y in zip(cuts, cuts[1:])) < 150
     w = Window.orderBy("a", "b")
-    assert same(o.positions(df, [], ["a", "b"], "pos", 100), df.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")), ["b", "pos"])
+    assert same(o.positions(df, [], ["a", "b"], "pos"), df.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")), ["b", "pos"])
 
 
 def test_positions_of_no_rows(spark):
@@ -43,7 +55,7 @@ def test_positions_of_no_rows(spark):
 
 def test_null_order_and_null_keys(rows):
     df = rows("k string, v double, id int", [(None, None, 1), (None, 2.0, 2), ("a", None, 3), ("a", 1.0, 4), (None, 1.0, 5), ("a", float("nan"), 6)])
-    got = {r["id"]: r["pos"] for r in o.positions(df, ["k"], ["v", "id"], "pos", 1).collect()}
+    got = {r["id"]: r["pos"] for r in o.positions(df, ["k"], ["v", "id"], "pos").collect()}
     assert got == {1: 0, 5: 1, 2: 2, 3: 0, 4: 1, 6: 2}
 
 
@@ -76,21 +88,38 @@ def test_neighbours_and_running_sums(events, chunk):
     assert same(got, p.withColumn("s", F.sum("event_id").over(w)), ["event_id", "s"])
 
 
-@pytest.mark.parametrize("limit", [7, 10_000])
-def test_exact_quantiles(events, limit, monkeypatch):
-    monkeypatch.setattr(o, "CHUNK", 8)
-    got = o.exact_quantiles(events, ["event_type"], "value", {"q1": 0.25, "m": 0.5, "hi": 0.975})
-    want = events.groupBy("event_type").agg(*[F.percentile("value", p).alias(n) for n, p in (("q1", 0.25), ("m", 0.5), ("hi", 0.975))])
-    a = {r["event_type"]: r for r in got.collect()}
-    for r in want.collect():
-        assert [a[r["event_type"]][c] for c in ("q1", "m", "hi")] == pytest.approx([r["q1"], r["m"], r["hi"]])
+@pytest.mark.parametrize("bins,levels", [(2, 1), (3, 4), (1024, 2)])
+@pytest.mark.parametrize("keys", [["event_type"], [], ["event_type", "third"]])
+def test_exact_quantiles(events, bins, levels, keys):
+    probs = {"q1": 0.25, "m": 0.5, "hi": 0.975, "least": 0.0, "most": 1.0}
+    df = events.withColumn("third", F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3))
+    got = o.exact_quantiles(df, keys, "value", probs, bins, levels)
+    want = df.groupBy(*keys).agg(*[F.percentile("value", p).alias(n) for n, p in probs.items()])
+    a = {tuple(r[k] for k in keys): r for r in got.collect()}
+    rows = want.collect()
+    assert len(a) == len(rows)
+    for r in rows:
+        assert [a[tuple(r[k] for k in keys)][c] for c in probs] == pytest.approx([r[c] for c in probs])
+
+
+def test_quantiles_of_ties_infinities_and_no_rows(rows):
+    inf, nan = float("inf"), float("nan")
+    data = [("a", v) for v in (1e308, -1e308, inf, -inf, nan, 0.0, 0.0)] + [("b", 5.0)] * 9 + [("c", None), (None, 2.0), (None, 4.0), ("d", nan)]
+    df = rows("k string, v double", data)
+    got = {r["k"]: r for r in o.exact_quantiles(df, ["k"], "v", {"p0": 0.0, "p2": 2 / 6, "m": 0.5, "p5": 5 / 6, "p6": 1.0}, bins=2).collect()}
+    assert tuple(got["a"])[1:4] == (-inf, 0.0, 0.0) and got["a"]["p5"] == inf and got["a"]["p6"] != got["a"]["p6"]
+    assert tuple(got["b"])[1:] == (5.0,) * 5 and got[None]["m"] == 3.0 and "c" not in got
+    assert got["d"]["m"] != got["d"]["m"]
+    assert o.exact_quantiles(df.where("false"), ["k"], "v", {"m": 0.5}).count() == 0
 
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.floats(-5, 5)), min_size=1, max_size=30), st.integers(1, 6))
-def test_positions_property(spark, data, limit):
+def test_positions_property(spark, data, n):
+    spark.conf.set("spark.sql.shuffle.partitions", n)
     df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(data)], "k int, v double, id int")
-    got = {r["id"]: r["pos"] for r in o.positions(df, ["k"], ["v", "id"], "pos", limit).collect()}
+    got = {r["id"]: r["pos"] for r in o.positions(df, ["k"], ["v", "id"], "pos").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
     for k in {k for k, _ in data}:
         order = sorted((v + 0.0, i) for i, (kk, v) in enumerate(data) if kk == k)
         assert [got[i] for _, i in order] == list(range(len(order)))

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tsprobe.functions.hashing import HASH_RANGE, hash_key
 
-#: rows that a single task sorts, about
-SLICE_ROWS = 5_000_000
+#: sampled rows per slice
+SAMPLE = 16
 #: positions per chunk for neighbour and running-total operators
 CHUNK = 1 << 16
 
@@ -33,10 +33,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def slice_count(df: DataFrame, slice_rows: int = SLICE_ROWS) -> int:
-    """Slices for the rows of ``df`` (a count without columns), as many as the shuffle is wide at least."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(width, -(-2 * df.count() // slice_rows))
+def slice_count(df: DataFrame) -> int:
+    """Slices of a table: as many as its shuffles have partitions, which the session sizes for its data."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _hash_slice(h: Column, n: int) -> Column:
@@ -57,21 +56,18 @@ def _steps(bounds: Column, place: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), start, half, lambda state: state["lo"])
 
 
-def with_order_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add ``_slice``: ranges of the whole tuple of keys and order columns, of about equal rows.
+def slice_bounds(df: DataFrame, place: Sequence[str]) -> DataFrame:
+    """Tuples ``b`` that cut the rows, ordered by ``place``, into slices of about equal size: fewer than there are slices.
 
-    The bounds come from a sample of eight tuples per slice, chosen by hashing; it is sorted in a scalar subquery.
+    They come from a uniform sample of ``SAMPLE`` tuples per slice, those with the least hashes: each task keeps its
+    least ones, so that the input is read once and what reaches one task depends on the number of slices alone.
     """
-    rows = df.count()
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(width, -(-2 * rows // slice_rows))
-    tuple_ = [*keys, *order]
-    place = F.struct(*tuple_)
-    every = max(1, rows // (8 * n))
-    sample = df.select(*tuple_).where(F.pmod(F.xxhash64(*tuple_), F.lit(every)) == 0).agg(F.sort_array(F.collect_list(place)).alias("s"))
-    picked = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / n).cast("int")))
-    bounds = sample.select((F.filter(picked, lambda b: b.isNotNull()) if n > 1 else F.slice("s", 1, 0)).alias("b")).scalar()
-    return df.withColumn("_bounds", bounds).withColumn("_slice", _steps(F.col("_bounds"), place, n)).drop("_bounds")
+    n = slice_count(df)
+    tuples = df.select(F.struct(*place).alias("t"))
+    sample = tuples.orderBy(F.xxhash64("t")).limit(SAMPLE * n).agg(F.sort_array(F.collect_list("t")).alias("s")).first()["s"]
+    cuts = [sample[i * len(sample) // n] for i in range(1, n)] if sample else []
+    cuts = [b for i, b in enumerate(cuts) if i == 0 or b != cuts[i - 1]]
+    return df.sparkSession.createDataFrame([(b,) for b in cuts], tuples.select(F.col("t").alias("b")).schema)
 
 
 def _slice_offsets(counts: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -91,14 +87,28 @@ def _add_offsets(df: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> Data
     return null_safe_join(df, offsets, [*keys, "_slice"], "left")
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """0-based position of each row within ``keys``, ordered by ``order`` (ascending, unique)."""
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
+    """0-based position of each row within ``keys``, ordered by ``order`` (ascending, unique).
+
+    The input is read for a sample, for the rows, and, in its key and order columns alone, for the sizes of slices of
+    those groups that a bound cuts: at most one group per bound, so the offsets are a small table at any size.
+    """
     keys, order = list(keys), list(order)
-    sliced = with_order_slices(df, keys, order, slice_rows)
+    place = [*keys, *order]
+    cuts = slice_bounds(df, place)
+    bounds = cuts.agg(F.sort_array(F.collect_list("b")).alias("s")).scalar()
+    tuple_ = F.struct(*place)
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_bounds", bounds).withColumn("_slice", _steps(F.col("_bounds"), tuple_, slice_count(df))).drop("_bounds")
+
     w = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    ranked = sliced.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_before"))
-    out = _add_offsets(ranked, _slice_offsets(counts, keys, ["_before"]), keys)
+    ranked = sliced(df).withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+    cut = df.select(*place)
+    if keys:
+        cut = null_safe_join(cut, F.broadcast(cuts.select(*[F.col(f"b.{k}").alias(k) for k in keys]).distinct()), keys, "left_semi")
+    counts = sliced(cut).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_before"))
+    out = null_safe_join(ranked, F.broadcast(_slice_offsets(counts, keys, ["_before"])), [*keys, "_slice"], "left")
     return out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_slice")
 
 
@@ -195,31 +205,49 @@ def running_sums(df: DataFrame, keys: Sequence[str], pos: str, sums: Mapping[str
     return out.drop("_slice", *[f"_l_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles per group from value counts.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], bins: int = 1024, levels: int = 2) -> DataFrame:
+    """Linear-interpolation quantiles per group by rank selection: no ranking of all rows, all probabilities at once.
 
-    Equal values are merged before any ordering, and the running count over the
-    distinct values is sliced, so no group is held in one aggregation buffer.
+    Equal values are merged first. A histogram of the group's range says in which bin each wanted rank lies; the bin's
+    own least and greatest value are the range of the next histogram, of that bin's rows alone. After ``levels`` of
+    them about one of ``bins ** levels`` values is left per rank to be put in order. Bins are the same at every size,
+    and a bin that stays full because values crowd there only costs more ordering. Nulls don't count; infinities and
+    NaN (the greatest) have bins of their own.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = positions(counts, keys, [value], "_p")
-    upto = running_sums(ranked, keys, "_p", {"_upto": F.col("_c")})
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    if keys:
-        upto = null_safe_join(upto, totals, keys)
-    else:
-        upto = upto.withColumn("_n", totals.scalar())
+    x = F.col("_x")
+    merged = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = merged.withColumn("_x", F.col("_v").cast("double"))
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    stats = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(F.when(finite, x)).alias("_lo"), F.max(F.when(finite, x)).alias("_hi"))
+    at = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    ranks = F.array_distinct(F.array(*[f(a).cast("bigint") for a in at.values() for f in (F.floor, F.ceil)]))
+    # halves, so that the width of a range cannot overflow
+    share = (x / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    inside = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    bin_ = F.when(finite, inside).when(x == float("-inf"), F.lit(-1)).when(x == float("inf"), F.lit(bins)).otherwise(F.lit(bins + 1))
+
+    def histogram(rows: DataFrame, by: list[str]) -> DataFrame:
+        filled = rows.groupBy(*by, bin_.cast("int").alias("_bin")).agg(F.sum("_c").alias("_c"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        return filled.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        return null_safe_join(rows, groups, keys) if keys else rows.join(F.broadcast(groups))  # one row, or one per rank
+
+    mine = (F.col("_r") >= F.col("_upto") - F.col("_c")) & (F.col("_r") < F.col("_upto"))
+    first = with_groups(histogram(with_groups(counts, stats.drop("_n")), keys), stats.select(*keys, ranks.alias("_ranks")))
+    found = first.withColumn("_r", F.explode("_ranks")).where(mine).select(*keys, "_r", (F.col("_upto") - F.col("_c")).alias("_below"), "_lo", "_hi")
+    for _ in range(levels - 1):
+        rows = with_groups(counts, found).where(x.between(F.col("_lo"), F.col("_hi")))
+        next_ = histogram(rows, [*keys, "_r", "_below"]).withColumn("_upto", F.col("_upto") + F.col("_below"))
+        found = next_.where(mine).select(*keys, "_r", (F.col("_upto") - F.col("_c")).alias("_below"), "_lo", "_hi")
+    left = with_groups(counts, found).where(x.between(F.col("_lo"), F.col("_hi")))
+    order = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    picked = left.withColumn("_upto", F.sum("_c").over(order) + F.col("_below")).where(mine)
+    values = with_groups(picked.select(*keys, "_r", "_v"), stats.select(*keys, "_n"))
     aggs = []
-    for name, p in probs.items():
-        at = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(at), F.ceil(at)
-
-        def holds(r):
-            return (F.col("_upto") - F.col("_c") <= r) & (r < F.col("_upto"))
-
-        low = F.max(F.when(holds(lo), F.col(value)))
-        high = F.max(F.when(holds(hi), F.col(value)))
-        frac = F.max(at - F.floor(at))
-        aggs.append((low + (high - low) * frac).alias(name))
-    return upto.groupBy(*keys).agg(*aggs)
+    for name, a in at.items():
+        low, high = (F.max(F.when(F.col("_r") == f(a), F.col("_v"))) for f in (F.floor, F.ceil))
+        between = F.max(a - F.floor(a))
+        aggs.append(F.when(between == 0, low).otherwise(low + (high - low) * between).alias(name))
+    return values.groupBy(*keys).agg(*aggs)
