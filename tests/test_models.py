@@ -18,7 +18,7 @@ def data(spark):
 def test_knn_blocks(spark, data, monkeypatch):
     df, x, y = data
     train, test = df.where("idx >= 40"), df.where("idx < 40")
-    monkeypatch.setattr(knn, "BLOCK_BYTES", 4 * 6 * 7)  # many blocks
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 8 * 6 * 7)  # cells in chunks, queries in parts
     for metric in ("cosine", "euclidean", "manhattan"):
         got = {(r["idx"], r["rank"]): r["nb_idx"] for r in knn.nearest(train, test, 4, metric).collect()}
         for i in range(0, 40, 9):
@@ -26,6 +26,42 @@ def test_knn_blocks(spark, data, monkeypatch):
             assert [got[(i, r)] for r in range(1, 5)] == (np.lexsort((np.arange(110), d))[:4] + 40).tolist()
 
 
+def test_knn_prunes_what_is_too_far(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PIVOT_ROWS", 20)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8)) * 40
+    x = centres[rng.integers(0, 12, 400)] + rng.normal(size=(400, 8))
+    x[7] = x[390] = 0  # no direction
+    df = spark.createDataFrame([(i, 0, x[i].tolist()) for i in range(400)], "idx long, y int, vec array<double>").cache()
+    train, test = df.where("idx >= 60"), df.where("idx < 60")
+    for metric in ("cosine", "euclidean", "manhattan"):
+        got = {(r["idx"], r["rank"]): r["nb_idx"] for r in knn.nearest(train, test, 3, metric).collect()}
+        d = np.round(knn._distances(x[:60], x[60:], metric), 9)
+        assert got == {(i, r + 1): int(j) + 60 for i in range(60) for r, j in enumerate(np.lexsort((np.arange(340), d[i]))[:3])}
+        work = knn.visited_pairs(train, test, 3, metric).first()
+        assert work["product"] == 60 * 340 and work["pairs"] < 0.5 * work["product"]
+
+
+def test_knn_of_few_rows_and_none(spark):
+    df = spark.createDataFrame([(i, i, [float(i), 1.0]) for i in range(4)], "idx long, y int, vec array<double>")
+    got = knn.nearest(df.where("idx < 2"), df.where("idx >= 2"), 5, "euclidean").collect()
+    assert sorted((r["idx"], r["rank"], r["nb_idx"]) for r in got) == [(2, 1, 1), (2, 2, 0), (3, 1, 1), (3, 2, 0)]
+    assert knn.nearest(df.where("false"), df, 3).count() == 0 and knn.nearest(df, df.where("false"), 3).count() == 0
+    with pytest.raises(ValueError, match="unknown metric"):
+        knn.nearest(df, df, 1, "chebyshev")
+
+
+def test_approximate_neighbours(spark, data, monkeypatch):
+    df, x, y = data
+    train, test = df.where("idx >= 40"), df.where("idx < 40")
+    exact = knn.nearest(train, test, 5)
+    share = {p: knn.recall(exact, knn.nearest_approximate(train, test, 5, probes=p)).first() for p in (1, 12, 64)}
+    assert share[64]["recall"] == 1 and share[64]["n"] == 200
+    assert share[1]["recall"] <= share[12]["recall"] and share[12]["recall"] >= 0.9
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 8 * 6)  # cells in chunks
+    assert knn.recall(exact, knn.nearest_approximate(train, test, 5, probes=12)).first() == share[12]
+
+
 def test_knn_hot_duplicates(spark):
     # a third of all vectors are the same one: ties at the edge are settled by id
     rows = [(i, i % 2, [1.0, 0.0] if i % 3 == 0 else [float(i), 1.0]) for i in range(60)]

@@ -137,6 +137,18 @@ def knn_neighbours(spark, sf_dir):
     return nn.select("idx", "nb_idx", F.round("dist", 6).alias("dist"), "rank")
 
 
+@query("knn_recall", f"""
+WITH {_VECS} SELECT 10 AS k, (SELECT count(*) FROM s WHERE split = 'test') AS n_queries, count(*) AS n_exact, true AS reached
+FROM (SELECT a.idx FROM s a JOIN s b ON a.split = 'test' AND b.split = 'train' QUALIFY row_number() OVER (PARTITION BY a.idx ORDER BY round({_DIST['cosine']}, 9), b.idx) <= 10)""")
+def knn_recall(spark, sf_dir):
+    """Approximate neighbours of all test rows against the exact ones: 0.9 of them at least are found."""
+    s = split_vectors(spark, sf_dir)
+    train, test = s.where("split = 'train'"), s.where("split = 'test'")
+    share = knn.recall(knn.nearest(train, test, 10), knn.nearest_approximate(train, test, 10, probes=24))
+    n_queries = test.agg(F.count("*")).scalar()
+    return share.select(F.lit(10).alias("k"), n_queries.alias("n_queries"), F.col("n").alias("n_exact"), (F.col("recall") >= 0.9).alias("reached"))
+
+
 _GRID = f"""
 {_VECS}, t AS (SELECT idx, y, v FROM s WHERE split = 'train'),
 cl AS (SELECT y, count(*) AS n, min(idx) AS f FROM t GROUP BY 1), o AS (SELECT y, row_number() OVER (ORDER BY f) AS code FROM cl),
