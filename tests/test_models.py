@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tsprobe.operators import knn, probes, vectors
 
@@ -70,35 +70,70 @@ def test_knn_hot_duplicates(spark):
     assert [r["nb_idx"] for r in got] == [3, 6, 9, 12, 15]
 
 
-def test_logistic_gradient(spark, data):
+def mllib(df, c, n):
+    """The same objective by MLlib."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    shaped = df.select(F.dense_rank().over(Window.orderBy("y")).alias("label"), array_to_vector("vec").alias("features")).withColumn("label", F.col("label") - 1.0)
+    return LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-12).fit(shaped)
+
+
+def test_logistic_optimum(spark, data):
     df, x, y = data
     out = probes.logistic_probe(df.where("idx >= 30"), df.where("idx < 30"), cs=(0.1, 1.0), folds=3)
     assert set(out.cv_scores) == {0.1, 1.0} and out.best_cv_f1_macro == max(out.cv_scores.values())
     assert out.predictions.count() == 30 and 0 <= out.test_f1_macro <= 1 and out.record()["best_c"] == out.best_c
-    c = 1.0
-    shaped = df.select("idx", F.col("y").cast("double").alias("label"), probes.array_to_vector("vec").alias("features"))
-    m = probes.fit_logistic(shaped, c, 150)
-    w, b = m.coefficientMatrix.toArray(), m.interceptVector.toArray()
-    z = x @ w.T + b
+    w, b, c = out.weights[:, :-1], out.weights[:, -1], out.best_c
+    z = x[30:] @ w.T + b
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    grad = c * (p - np.eye(3)[y]).T @ x + w
-    assert np.abs(grad).max() < 1e-3
+    grad = c * (p - np.eye(3)[y[30:]]).T @ x[30:] + w
+    assert np.abs(grad).max() < 1e-3 * max(1, c)
+    m = mllib(df.where("idx >= 30"), c, 120)
+    theirs = m.coefficientMatrix.toArray()
+    assert w - w.mean(axis=0) == pytest.approx(theirs - theirs.mean(axis=0), abs=1e-3)
+    assert {r["idx"]: r["pred"] for r in out.predictions.collect()} == dict(enumerate(((x[:30] @ w.T + b).argmax(axis=1)).tolist()))
+
+
+def test_balanced_weights_are_those_of_the_rows_seen(spark, data):
+    df, x, y = data
+    few = df.where("y > 0 and (y = 1 or idx % 5 = 0)").cache()
+    out = probes.logistic_probe(few, df.where("y > 0"), cs=(0.5,), folds=3, balanced=True)
+    keep = np.array([r["idx"] for r in few.orderBy("idx").collect()])
+    t = y[keep] - 1
+    n = np.bincount(t)
+    weight = len(t) / (2 * n[t])
+    w = out.weights[0]
+    p = 1 / (1 + np.exp(-(x[keep] @ w[:-1] + w[-1])))
+    assert np.abs(0.5 * (weight * (p - t)) @ x[keep] + w[:-1]).max() < 1e-3
+    assert abs((weight * (p - t)).sum()) < 1e-2
 
 
 def test_two_classes_have_one_weight_vector(spark, data):
     df, x, y = data
     two = df.where("y > 0").withColumn("y", F.col("y") * 3)  # labels 3 and 6
-    out = probes.logistic_probe(two.where("idx >= 30"), two.where("idx < 30"), cs=(0.5,), folds=3)
+    out = probes.logistic_probe(two.where("idx >= 30"), two.where("idx < 30"), cs=(0.01,), folds=3)
     assert {r["pred"] for r in out.predictions.collect()} <= {3, 6} and out.test_accuracy > 0.5
-    assert out.record()["grid"] == {"C": [0.5], "max_iter": [1000]}
-    shaped = df.where("y > 0").select((F.col("y") - 1).cast("double").alias("label"), probes.array_to_vector("vec").alias("features"))
-    keep, c = y > 0, 0.01
-    m = probes.fit_logistic(shaped, c, int(keep.sum()))
-    w, b = m.coefficientMatrix.toArray(), m.interceptVector.toArray()
-    assert w.shape == (1, 6)
-    p = 1 / (1 + np.exp(-(x[keep] @ w[0] + b[0])))
-    assert np.abs(c * (p - (y[keep] - 1)) @ x[keep] + w[0]).max() < 1e-4
+    assert out.record()["grid"] == {"C": [0.01], "max_iter": [1000]} and out.weights.shape == (1, 7)
+    keep = np.flatnonzero((y > 0) & (np.arange(150) >= 30))
+    w, b = out.weights[0, :-1], out.weights[0, -1]
+    p = 1 / (1 + np.exp(-(x[keep] @ w + b)))
+    assert np.abs(0.01 * (p - (y[keep] - 1)) @ x[keep] + w).max() < 1e-4
+    assert w == pytest.approx(mllib(two.where("idx >= 30"), 0.01, len(keep)).coefficientMatrix.toArray()[0], abs=1e-4)
+
+
+def test_layers_in_several_rounds_are_the_same(spark, data, monkeypatch):
+    df, x, y = data
+    split = F.when(F.col("idx") < 30, "test").otherwise("train")
+    layered = [df.select(F.lit(k).alias("layer"), split.alias("split"), "idx", "y", F.slice("vec", 1, 6 - k).alias("vec")) for k in (0, 1, 2)]
+    table = layered[0].union(layered[1]).union(layered[2])
+    once = probes.logistic_probe_layers(table, [0, 1, 2], cs=(0.1, 10.0), folds=3)
+    monkeypatch.setattr(probes, "STATE_BYTES", 1)
+    monkeypatch.setattr(probes.logistic, "SCORES", 100)
+    monkeypatch.setattr(probes.logistic, "PART_BYTES", 1000)
+    for a, b in zip(once, probes.logistic_probe_layers(table, [0, 1, 2], cs=(0.1, 10.0), folds=3)):
+        assert a.record() == b.record() and a.cv_scores == pytest.approx(b.cv_scores) and a.weights == pytest.approx(b.weights, abs=1e-3)
 
 
 def test_ridge_keeps_digits_far_from_zero(spark):
@@ -166,16 +201,12 @@ def test_vector_mean_and_layers(rows):
 def test_layer_query_searches_the_whole_grid(spark, sf_dir, monkeypatch):
     from tsprobe.plans.catalogue import QUERIES
 
-    asked = []
-
-    def spy(train, test, cs=probes.C_GRID, folds=5, max_iter=1000, **others):
-        asked.append((tuple(cs), folds, max_iter))
-        return probes.ProbeResult(others["layer"], cs[0], max_iter, 0.0, 0.0, 0.0, dict.fromkeys(cs, 0.0), train)
-
-    monkeypatch.setattr(probes, "logistic_probe", spy)
+    asked, solve = [], probes.logistic.solve
+    monkeypatch.setattr(probes.logistic, "solve", lambda rdd, fits, *others: asked.append((list(fits), others[-1])) or solve(rdd, fits, *others))
     rows = QUERIES["logistic_probe_layers"](spark, sf_dir).collect()
-    assert asked == [((0.001, 0.01, 0.1, 1.0, 10.0, 100.0), 5, 1000)] * 5
-    assert all(len(r["grid_c"]) == 6 for r in rows)
+    (grid, steps), (refits, _) = asked
+    assert steps == 1000 and {(f.layer, f.c, f.held) for f in grid} == {(k, c, f) for k in range(5) for c in (0.001, 0.01, 0.1, 1.0, 10.0, 100.0) for f in range(5)}
+    assert [f.held for f in refits] == [-1] * 5 and all(len(r["grid_c"]) == 6 for r in rows)
 
 
 def test_layer_records_by_brute_force(spark, data):

@@ -1,4 +1,4 @@
-"""Linear probes: logistic regression (MLlib) and ridge from one pass of moments."""
+"""Linear probes: logistic regressions that descend together, and ridge from one pass of moments."""
 
 from __future__ import annotations
 
@@ -6,21 +6,21 @@ import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tsprobe.functions.series import dot
-from tsprobe.operators.metrics import classification_metrics
-from tsprobe.operators.ordering import null_safe_join, positions
+from tsprobe.operators import logistic
+from tsprobe.operators.metrics import classification_metrics, metrics_from_cells
+from tsprobe.operators.ordering import positions
 from tsprobe.operators.scaling import apply_vector_scaler, fit_vector_scaler, invert_vector_scaler
 from tsprobe.operators.splits import kfold_contiguous, kfold_stratified
+from tsprobe.session import materialise
 
 # The parameter grids of the probes.
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
@@ -40,6 +40,7 @@ class ProbeResult:
     test_f1_macro: float
     cv_scores: dict = field(default_factory=dict)
     predictions: DataFrame | None = None
+    weights: np.ndarray | None = None  # one line per class (one for two classes), the intercept last
 
     def record(self) -> dict:
         return {
@@ -48,100 +49,84 @@ class ProbeResult:
         }
 
 
-def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """n / (classes * rows of the class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    whole = counts.agg(F.struct(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
-    out = null_safe_join(df, counts, [label]).withColumn("_t", whole)
-    return out.withColumn(name, F.col("_t.n") / (F.col("_t.k") * F.col("_c"))).drop("_c", "_t")
+#: bytes of L-BFGS state on the driver at once; more layers than fit are fitted in several rounds
+STATE_BYTES = 512 << 20
 
 
-def fit_logistic(train: DataFrame, c: float, n_fit: int, max_iter: int = 1000, weight: str | None = None) -> LogisticRegressionModel:
-    """Logistic regression minimising C * sum of losses + |w|^2 / 2 (intercept free).
+def logistic_probe_layers(
+    embeddings: DataFrame, layers: Sequence[int], cs: Sequence[float] = C_GRID, folds: int = 5, max_iter: int = 1000, balanced: bool = False
+) -> list[ProbeResult]:
+    """Grid search over C by stratified folds and macro-F1, refit on all train rows, predictions of test: for every layer.
 
-    Labels are 0, 1, ...; two classes have one weight vector (binomial), more have one each (multinomial).
+    ``embeddings`` has ``layer``, ``split`` (train, test), ``idx``, ``y`` and ``vec``. The labels of a layer's train rows, in
+    order, are its classes; two of them have one weight vector, more have one each. A test label that train never saw is
+    an error of every prediction. Fits minimise C * sum of losses + |w|^2 / 2 (intercept free), with ``balanced`` class
+    weights n / (classes * rows of the class) of the rows that a fit sees. All layers, C and folds descend together
+    (``operators/logistic.py``); the refits start from the mean of the chosen folds' models.
     """
-    lr = LogisticRegression(
-        featuresCol="features", labelCol="label", predictionCol="prediction", family="auto",
-        regParam=1.0 / (c * n_fit), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6,
-    )
-    return (lr.setWeightCol(weight) if weight else lr).fit(train)
-
-
-def _score(model: LogisticRegressionModel, df: DataFrame) -> tuple[float, float]:
-    m = classification_metrics(_predict(model, df).select("gt", "pred"), []).first()
-    return float(m["accuracy"]), float(m["macro_f1"])
-
-
-def _predict(model: LogisticRegressionModel, df: DataFrame, labels: Sequence[int] | None = None) -> DataFrame:
-    """Truth and prediction by class number, or by the label that has the number."""
-    out = model.transform(df)
-    if labels is None:
-        return out.select("idx", F.col("label").cast("int").alias("gt"), F.col("prediction").cast("int").alias("pred"))
-    named = F.get(F.array(*map(F.lit, labels)), F.col("prediction").cast("int"))
-    return out.select("idx", F.col("y").cast("int").alias("gt"), named.cast("int").alias("pred"))
-
-
-def logistic_probe(
-    train: DataFrame,
-    test: DataFrame,
-    cs: Sequence[float] = C_GRID,
-    folds: int = 5,
-    max_iter: int = 1000,
-    balanced: bool = False,
-    layer: int = 0,
-    parallelism: int = 4,
-) -> ProbeResult:
-    """Grid search over C by stratified folds and macro-F1, refit on all train rows, predict test.
-
-    Inputs have ``idx``, ``y`` and ``vec``; the labels of train, in order, are the classes, and a
-    test label that train never saw counts as an error of every prediction. ``n_fit`` differs between
-    a fold and the refit, so each fit gets its own regularisation. Fits are distributed jobs; a small
-    thread pool keeps several of them in flight.
-    """
-    labels = sorted(r["y"] for r in train.select("y").distinct().collect())  # one weight vector each on the driver anyway
-    code = F.coalesce(F.array_position(F.array(*map(F.lit, labels)), F.col("y")), F.lit(0)) - 1
-
-    def shaped(df: DataFrame) -> DataFrame:
-        return df.select("idx", "y", code.cast("double").alias("label"), array_to_vector(F.col("vec")).alias("features"), *[c for c in ("fold",) if c in df.columns])
-
-    data = shaped(kfold_stratified(train, "y", "idx", folds)).persist()
-    held = shaped(test)
+    train = embeddings.where((F.col("split") == "train") & F.col("layer").isin(list(layers))).select("layer", "idx", "y", "vec")
+    folded = materialise(kfold_stratified(train, "y", "idx", folds, keys=["layer"]))
+    counts = folded.groupBy("layer", "fold", "y").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).collect()
+    d_of = {layer: max(r["d"] for r in counts if r["layer"] == layer) for layer in layers}
+    labels = {layer: sorted({r["y"] for r in counts if r["layer"] == layer}) for layer in layers}
+    width = {layer: 1 if len(labels[layer]) <= 2 else len(labels[layer]) for layer in layers}
+    state = {layer: 8 * (2 * logistic.HISTORY + 6) * width[layer] * (d_of[layer] + 1) * (len(cs) * folds + 1) for layer in layers}
+    out: dict[int, ProbeResult] = {}
+    left = list(layers)
+    while left:
+        group = [left.pop(0)]
+        while left and sum(state[x] for x in [*group, left[0]]) <= STATE_BYTES:
+            group.append(left.pop(0))
+        out |= _probe_group(embeddings, folded, counts, group, labels, {x: (width[x], d_of[x] + 1) for x in group}, cs, max_iter, balanced)
+    return [out[layer] for layer in layers]
+
+
+def _probe_group(embeddings, folded, counts, group, labels, shapes, cs, max_iter, balanced) -> dict[int, ProbeResult]:
+    def fit(layer: int, c: float, held: int) -> tuple[logistic.Fit, int]:
+        n = {y: sum(r["n"] for r in counts if (r["layer"], r["y"]) == (layer, y) and r["fold"] != held) for y in labels[layer]}
+        seen, present = sum(n.values()), sum(v > 0 for v in n.values())
+        weights = [seen / (present * n[y]) if balanced and n[y] else 1.0 for y in labels[layer]]
+        return logistic.Fit(layer, c, held, tuple([*weights, 1.0] if len(weights) == 1 else weights)), max(1, seen)
+
+    code = reduce(lambda other, layer: F.when(F.col("layer") == layer, F.array_position(F.array(*map(F.lit, labels[layer])), F.col("y"))).otherwise(other), group, F.lit(None))
+    coded = folded.where(F.col("layer").isin(group)).withColumn("label", code - 1)
+    rdd = logistic.blocks(coded, sum(8 * r["n"] * r["d"] for r in counts if r["layer"] in group))
     try:
-        sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n_all = sum(sizes.values())
-
-        def fit(rows: DataFrame, c: float, n: int) -> LogisticRegressionModel:
-            if balanced:
-                return fit_logistic(balanced_weights(rows, "label"), c, n, max_iter, "weight")
-            return fit_logistic(rows, c, n, max_iter)
-
-        def job(item: tuple[float, int]) -> tuple[float, float]:
-            c, f = item
-            model = fit(data.where(F.col("fold") != f), c, n_all - sizes[f])
-            return c, _score(model, data.where(F.col("fold") == f))[1]
-
-        with ThreadPool(parallelism) as pool:
-            scored = pool.map(job, [(c, f) for c in cs for f in sorted(sizes)])
-        cv = {c: float(np.mean([s for k, s in scored if k == c])) for c in cs}
-        best = max(cs, key=lambda c: (cv[c], -list(cs).index(c)))
-        model = fit(data, best, n_all)
+        seen_folds = {layer: sorted({r["fold"] for r in counts if r["layer"] == layer}) for layer in group}
+        tried = [fit(layer, c, f) for layer in group for c in cs for f in seen_folds[layer]]
+        fits, sizes = [t[0] for t in tried], [t[1] for t in tried]
+        states = logistic.solve(rdd, fits, [np.zeros(shapes[t.layer]) for t in fits], sizes, max_iter)
+        cells = logistic.held_out_cells(rdd, fits, [s.x for s in states])
+        rows = [(i, int(a), int(b), int(n)) for i, m in enumerate(cells) for (a, b), n in np.ndenumerate(m) if n]
+        spark = embeddings.sparkSession
+        scored = metrics_from_cells(spark.createDataFrame(rows, "fit int, gt int, pred int, cnt long"), ["fit"]).collect()
+        f1 = {r["fit"]: r["macro_f1"] for r in scored}
+        cv = {layer: {c: float(np.mean([f1[i] for i, t in enumerate(fits) if (t.layer, t.c) == (layer, c)])) for c in cs} for layer in group}
+        best = {layer: max(cs, key=lambda c: (cv[layer][c], -list(cs).index(c))) for layer in group}
+        starts = [np.mean([s.x for s, t in zip(states, fits, strict=True) if (t.layer, t.c) == (layer, best[layer])], axis=0) for layer in group]
+        whole = [fit(layer, best[layer], -1) for layer in group]
+        final = logistic.solve(rdd, [t[0] for t in whole], starts, [t[1] for t in whole], max_iter)
     finally:
-        data.unpersist()
-    acc, f1 = _score(model, held)
-    return ProbeResult(layer, best, max_iter, cv[best], acc, f1, cv, _predict(model, held, labels).withColumn("layer", F.lit(layer)))
+        rdd.unpersist()
+    points = {layer: s.x for layer, s in zip(group, final, strict=True)}
+    test = embeddings.where((F.col("split") == "test") & F.col("layer").isin(group))
+    predictions = logistic.predicted(test, points, labels)
+    scores = {r["layer"]: r for r in classification_metrics(predictions.select("layer", "gt", "pred"), ["layer"]).collect()}
 
+    def result(layer: int) -> ProbeResult:
+        score = scores.get(layer) or {"accuracy": 0.0, "macro_f1": 0.0}
+        mine = predictions.where(F.col("layer") == layer)
+        return ProbeResult(layer, best[layer], max_iter, cv[layer][best[layer]], float(score["accuracy"]), float(score["macro_f1"]), cv[layer], mine, points[layer])
 
-def logistic_probe_layers(embeddings: DataFrame, layers: Sequence[int], at_once: int = 3, **options) -> list[ProbeResult]:
-    """One probe per layer, ``at_once`` of them in flight; each reads only its layer's partition."""
+    return {layer: result(layer) for layer in group}
 
-    def one(layer: int) -> ProbeResult:
-        rows = embeddings.where(F.col("layer") == layer)
-        parts = [rows.where(F.col("split") == s).select("idx", "y", "vec") for s in ("train", "test")]
-        return logistic_probe(*parts, layer=layer, **options)
 
-    with ThreadPool(at_once) as pool:
-        return pool.map(one, layers)
+def logistic_probe(
+    train: DataFrame, test: DataFrame, cs: Sequence[float] = C_GRID, folds: int = 5, max_iter: int = 1000, balanced: bool = False, layer: int = 0
+) -> ProbeResult:
+    """``logistic_probe_layers`` of one table of train rows and one of test rows (``idx``, ``y``, ``vec``)."""
+    parts = [df.select(F.lit(layer).alias("layer"), F.lit(split).alias("split"), "idx", "y", "vec") for df, split in ((train, "train"), (test, "test"))]
+    return logistic_probe_layers(parts[0].unionByName(parts[1]), [layer], cs, folds, max_iter, balanced)[0]
 
 
 def layer_records(results: Sequence[ProbeResult], **keys: str) -> DataFrame:

@@ -115,16 +115,17 @@ def kfold_contiguous(df: DataFrame, idx: str, k: int, name: str = "fold") -> Dat
     return out.withColumn(name, fold.cast("int")).drop("_p", "_n")
 
 
-def kfold_stratified(df: DataFrame, label: str, idx: str, k: int, name: str = "fold") -> DataFrame:
-    """Unshuffled stratified folds.
+def kfold_stratified(df: DataFrame, label: str, idx: str, k: int, name: str = "fold", keys: Sequence[str] = ()) -> DataFrame:
+    """Unshuffled stratified folds, of each group of ``keys`` on its own.
 
     Classes are laid end to end in order of first appearance; a class gets as many
     rows in fold i as it has places j with j mod k = i, handed out in index order.
     """
-    classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min(idx).alias("_first"))
-    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)  # one row per class
+    own = [*keys, label]
+    classes = df.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.min(idx).alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)  # one row per class
     layout = classes.withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_first")
-    out = null_safe_join(positions(df, [label], [idx], "_p"), layout, [label])
+    out = null_safe_join(positions(df, own, [idx], "_p"), layout, own)
     s, n = F.col("_s"), F.col("_n")
     upto, fold = F.lit(0), F.lit(0)
     for i in range(k - 1):

@@ -187,7 +187,7 @@ def logistic_probe(spark, sf_dir):
 def logistic_balanced(spark, sf_dir):
     """Balanced class weights on the flattened series."""
     s = split_vectors(spark, sf_dir).select("idx", "y", F.flatten(fs.reshape(F.col("vec"), 4)).alias("vec"), "split")
-    return probes.logistic_probe(s.where("split = 'train'"), s.where("split = 'test'"), cs=(0.1, 1.0), balanced=True).predictions
+    return probes.logistic_probe(s.where("split = 'train'"), s.where("split = 'test'"), balanced=True).predictions
 
 
 def _forecast_rows(spark, sf_dir):
