@@ -153,6 +153,12 @@ def test_scaled_ridge_layers(spark):
     df = spark.createDataFrame(rows, "idx long, layer int, split string, x array<double>, y array<double>")
     out = probes.ridge_layers(df, [0, 1], "x", "y", "idx", alphas=(0.01, 1.0)).collect()
     assert len(out) == 40 and {r["layer"] for r in out} == {0, 1}
+    for k in (0, 1):  # the layers at once are the layers one by one
+        mine = df.where(F.col("layer") == k)
+        fit, alone = probes.scaled_ridge(mine.where("split = 'train'"), mine.where("split = 'test'"), "x", "y", "idx", alphas=(0.01, 1.0))
+        want = {r["idx"]: r["pred"] for r in alone.collect()}
+        assert {r["best_alpha"] for r in out if r["layer"] == k} == {fit.best_alpha}
+        assert all(r["pred"] == pytest.approx(want[r["idx"]], rel=1e-8) for r in out if r["layer"] == k)
     assert all(r["pred"] == pytest.approx(r["y"], rel=0.01, abs=60) for r in out)
 
 

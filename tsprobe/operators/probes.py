@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -147,33 +147,32 @@ def centres(df: DataFrame, x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(row[x], dtype=float), np.array(row[y], dtype=float)
 
 
-def moments(df: DataFrame, x: str, y: str, group: str, shift: np.ndarray) -> DataFrame:
-    """Lines (g, i, line) of the sum of z z' with z = (1, (x, y) - shift) per ``group``, added up in the cluster.
+def moments(df: DataFrame, x: str, y: str, group: str, shift: Callable[[int], np.ndarray]) -> DataFrame:
+    """Lines (g, i, line) of the sum of z z' with z = (1, (x, y) - shift(g)) per ``group``, added up in the cluster.
 
     Shifting by the means first keeps the digits that centring would lose. A task holds one matrix at a time: its rows
     are sorted by group, summed by matrix products, and sent line by line.
     """
-    size = 1 + len(shift)
     schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("line", T.ArrayType(T.DoubleType()))])
 
     def lines(g: int, m: np.ndarray) -> Iterator[pd.DataFrame]:
-        for at in range(0, size, 256):
+        for at in range(0, len(m), 256):
             part = m[at : at + 256]
             yield pd.DataFrame({"g": g, "i": np.arange(at, at + len(part)), "line": list(part)})
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, m = None, None
         for frame in frames:
-            v = np.hstack([np.array(frame["x"].tolist(), dtype=float), np.array(frame["y"].tolist(), dtype=float)]) - shift
-            z = np.hstack([np.ones((len(frame), 1)), v])
             groups = frame["g"].to_numpy()
             for g in np.unique(groups):
+                mine = frame[groups == g]
+                v = np.hstack([np.array(mine["x"].tolist(), dtype=float), np.array(mine["y"].tolist(), dtype=float)]) - shift(int(g))
+                z = np.hstack([np.ones((len(mine), 1)), v])
                 if g != held:
                     if m is not None:
                         yield from lines(held, m)
-                    held, m = int(g), np.zeros((size, size))
-                rows = z[groups == g]
-                m += rows.T @ rows
+                    held, m = int(g), np.zeros((z.shape[1], z.shape[1]))
+                m += z.T @ z
         if m is not None:
             yield from lines(held, m)
 
@@ -229,9 +228,10 @@ def _search(df: DataFrame, x: str, y: str, group: str, alphas: Sequence[float],
     A plain fold is held out of the sum of all; of growing folds each is held out of those before it. The driver holds
     the running sum, one fold's matrix and the solver's copy: a few times (1 + D + H)^2 numbers, however many rows.
     """
+    df = materialise(df.select(x, y, group))  # read for the means and for the moments
     mean_x, mean_y = centres(df, x, y)
     d, size = len(mean_x), 1 + len(mean_x) + len(mean_y)
-    summed = moments(df, x, y, group, np.concatenate([mean_x, mean_y])).persist(StorageLevel.DISK_ONLY)
+    summed = moments(df, x, y, group, lambda _, both=np.concatenate([mean_x, mean_y]): both).persist(StorageLevel.DISK_ONLY)
     try:
         errors: dict[float, list[float]] = {a: [] for a in alphas}
         whole = np.zeros((size, size))
@@ -275,11 +275,70 @@ def scaled_ridge(train: DataFrame, test: DataFrame, x: str, y: str, idx: str, al
     return fit, invert_vector_scaler(out, "pred", of_y)
 
 
-def ridge_layers(embeddings: DataFrame, layers: Sequence[int], x: str, y: str, idx: str, **options) -> DataFrame:
-    """Predictions of a scaled ridge for each layer of a table with ``layer`` and ``split``."""
-    parts = []
-    for layer in layers:
-        rows = embeddings.where(F.col("layer") == layer)
-        fit, out = scaled_ridge(rows.where("split = 'train'"), rows.where("split = 'test'"), x, y, idx, **options)
-        parts.append(out.withColumn("layer", F.lit(layer)).withColumn("best_alpha", F.lit(fit.best_alpha)))
-    return reduce(DataFrame.unionByName, parts)
+def layer_search(matrices: Iterator[np.ndarray], d: int, mean: np.ndarray, alphas: Sequence[float]) -> RidgeResult:
+    """The standardised ridge of one layer from the moments of its time segments, in order, shifted by ``mean``.
+
+    Standardising is done on the moments; weights and intercept are those of the unscaled vectors. The error of an alpha
+    is in units of the scaled targets.
+    """
+    segments = list(matrices)
+    whole = sum(segments)
+    spread = np.sqrt(np.maximum(0, np.diag(whole)[1:] / whole[0, 0] - (whole[0, 1:] / whole[0, 0]) ** 2))
+    spread = np.where(spread == 0, 1, spread)
+    scale = np.append(1, 1 / spread)
+    before, errors = np.zeros_like(whole), {a: [] for a in alphas}
+    for i, m in enumerate(segments):
+        m = m * scale[:, None] * scale[None, :]
+        if i:
+            for a in alphas:
+                errors[a].append(_mse(m, d, *solve_ridge(before, d, a)))
+        before += m
+    cv = {a: float(np.mean(e)) if e else 0.0 for a, e in errors.items()}
+    best = min(alphas, key=lambda a: (cv[a], list(alphas).index(a)))
+    w, b = solve_ridge(before, d, best)
+    w = w / spread[:d, None] * spread[None, d:]
+    return RidgeResult(best, cv, w, b * spread[d:] + mean[d:] - mean[:d] @ w)
+
+
+def ridge_layers(embeddings: DataFrame, layers: Sequence[int], x: str, y: str, idx: str, alphas: Sequence[float] = TIME_ALPHAS, folds: int = 5) -> DataFrame:
+    """Test rows of every layer with ``pred`` (on the scale of ``y``) and ``best_alpha`` of the layer's scaled ridge.
+
+    ``embeddings`` has ``layer`` and ``split`` (train, test). Positions, means and moments of all layers come from one pass
+    each; a task then searches the alphas of one layer, from as many matrices of (1 + features + targets)^2 numbers as
+    there are time segments. The driver gets the fitted weights.
+    """
+    place = {layer: i for i, layer in enumerate(layers)}
+    train = embeddings.where((F.col("split") == "train") & F.col("layer").isin(list(layers))).select("layer", idx, x, y)
+    numbered = materialise(positions(train, ["layer"], [idx], "_p"))
+    vectors = [vector_to_array(Summarizer.mean(array_to_vector(F.col(c).cast("array<double>")))).alias(f"_{i}") for i, c in enumerate((x, y))]
+    known = {r["layer"]: r for r in numbered.groupBy("layer").agg(F.count(F.lit(1)).alias("_n"), *vectors).collect()}
+    means = [np.array([*known[layer]["_0"], *known[layer]["_1"]]) for layer in layers]
+    dims = [len(known[layer]["_0"]) for layer in layers]
+    n = F.get(F.array(*[F.lit(known[layer]["_n"]) for layer in layers]), F.col("_l"))
+    step = F.floor(n / (folds + 1))
+    segment = F.greatest(F.lit(0), F.floor((F.col("_p") - (n - folds * step)) / step) + 1)
+    of_layer = reduce(lambda other, layer: F.when(F.col("layer") == layer, F.lit(place[layer])).otherwise(other), layers, F.lit(None))
+    grouped = numbered.withColumn("_l", of_layer).withColumn("_g", F.col("_l") * (folds + 1) + F.coalesce(segment, F.lit(0)))
+    summed = moments(grouped, x, y, "_g", lambda g: means[g // (folds + 1)])
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["g", "i"])
+        at = int(frame["g"].iloc[0]) // (folds + 1)
+        fit = layer_search((np.array(m["line"].tolist()) for _, m in frame.groupby("g")), dims[at], means[at], alphas)
+        return pd.DataFrame({"l": [at], "best_alpha": [fit.best_alpha], "w": [fit.weights.ravel()], "b": [fit.intercept]})
+
+    fitted = summed.groupBy(F.floor(F.col("g") / (folds + 1)).alias("layer")).applyInPandas(search, "l int, best_alpha double, w array<double>, b array<double>")
+    models = {r["l"]: (r["best_alpha"], np.array(r["w"]).reshape(dims[r["l"]], -1), np.array(r["b"])) for r in fitted.collect()}
+
+    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            pred, best = [], []
+            for layer, v in zip(frame["layer"], frame[x], strict=True):
+                alpha, w, b = models[place[layer]]
+                pred.append(np.asarray(v, float) @ w + b)
+                best.append(alpha)
+            yield frame.assign(pred=pred, best_alpha=best)
+
+    test = embeddings.where((F.col("split") == "test") & F.col("layer").isin(list(layers)))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in test.schema)
+    return test.mapInPandas(predict, f"{fields}, pred array<double>, best_alpha double")

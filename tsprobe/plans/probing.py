@@ -12,6 +12,7 @@ from tsprobe.operators import checks, knn, metrics, probes, scaling, vectors, wi
 from tsprobe.plans.evaluation import metrics_sql
 from tsprobe.plans.inputs import SPLIT_SQL, series, split_vectors
 from tsprobe.plans.registry import query, table
+from tsprobe.session import materialise
 
 
 def _vecs(spark, sf_dir):
@@ -193,7 +194,7 @@ def logistic_balanced(spark, sf_dir):
 def _forecast_rows(spark, sf_dir):
     """Lookback windows in a fixed global order."""
     pairs = windows.lookback_horizon(series(spark, sf_dir), ["user_id"], "p", "v", 24, 6)
-    return pairs.withColumn("row_id", F.struct("user_id", "idx")).select("row_id", "user_id", "x", F.col("y").alias("gt"))
+    return materialise(pairs.withColumn("row_id", F.struct("user_id", "idx")).select("row_id", "user_id", "x", F.col("y").alias("gt")))
 
 
 def _errors(out):
@@ -234,6 +235,22 @@ def ridge_one_feature(spark, sf_dir):
     return out.select(F.round("w", 3).alias("w"), F.round("b", 2).alias("b"))
 
 
+@query("ridge_layers", """
+WITH r AS (SELECT l_orderkey, l_linenumber, l_orderkey % 5 = 0 AS test, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d, CAST(l_tax AS DOUBLE) AS t, CAST(l_extendedprice AS DOUBLE) AS y FROM {lineitem}),
+x AS (SELECT l_orderkey, l_linenumber, test, 0 AS layer, q AS a, d AS b, y FROM r UNION ALL SELECT l_orderkey, l_linenumber, test, 1, q * t, CAST(l_linenumber AS DOUBLE), y FROM r),
+f AS (SELECT layer, count(*) AS n, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(y) AS my, stddev_pop(y) AS sy, corr(a, b) AS ab, corr(a, y) AS ay, corr(b, y) AS by_ FROM x WHERE NOT test GROUP BY 1),
+w AS (SELECT *, (n * ay * (n + 10.0) - n * by_ * n * ab) / (power(n + 10.0, 2) - power(n * ab, 2)) AS wa, (n * by_ * (n + 10.0) - n * ay * n * ab) / (power(n + 10.0, 2) - power(n * ab, 2)) AS wb FROM f)
+SELECT layer, l_orderkey, l_linenumber, round(my + sy * (wa * (a - ma) / sa + wb * (b - mb) / sb), 2) AS pred, 10.0::DOUBLE AS best_alpha FROM x JOIN w USING (layer) WHERE test""")
+def ridge_layers(spark, sf_dir):
+    """Two layers of two features each: standardised ridge of both in one pass, predictions on the scale of the price."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.col(f"l_{c}").cast("double").alias(c) for c in ("quantity", "discount", "tax", "extendedprice")])
+    split = F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train").alias("split")
+    pairs = [("quantity", "discount"), (F.col("quantity") * F.col("tax"), F.col("l_linenumber").cast("double"))]
+    layers = [rows.select(F.lit(i).alias("layer"), split, "l_orderkey", "l_linenumber", F.struct("l_orderkey", "l_linenumber").alias("id"), F.array(*p).alias("x"), F.array("extendedprice").alias("y")) for i, p in enumerate(pairs)]
+    out = probes.ridge_layers(layers[0].unionByName(layers[1]), [0, 1], "x", "y", "id", alphas=(10.0,))
+    return out.select("layer", "l_orderkey", "l_linenumber", F.round(F.col("pred")[0], 2).alias("pred"), "best_alpha")
+
+
 def _nested_layers(spark, sf_dir):
     """Five layers derived from the embeddings: each half the size of the one below."""
     s = split_vectors(spark, sf_dir).select("idx", "y", "vec", "split")
