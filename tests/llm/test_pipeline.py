@@ -36,7 +36,28 @@ def test_stages(spark, sf_dir):
     assert packed.groupby("doc_id").ngroups == mixed.doc_id.nunique()
 
 
+def test_odd_tables_go_through_all_stages(spark):
+    clashing = ["quality", "rules", "clean_text", "_t", "_w", "_mark", "mark", "_same", "same", "_copy", "row", "_tokens", "repeats"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clashing)
+    body = "The council met in the town hall on Monday and agreed on a plan for the new bridge over the river. "
+    texts = [body + f"Number {i} of the plan is that the road to the {w} is closed for the summer." for i, w in enumerate(["mill", "port", "school"] * 4)]
+    rows = [(i, t, "en", s) for i, (t, s) in enumerate(zip(texts, ["a", "b", None] * 4))]
+    rows += [(20, None, "en", "a"), (21, "", "en", "a"), (None, texts[0], None, None), (3, texts[3], "en", "a"), (22, "### $$$ !!! " * 40, "en", "b"), (23, body * 400, "en", "b")]
+    docs = spark.createDataFrame([(*r, 1, *clashing) for r in rows], schema)
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES:
+        seen = saved(stage(spark, seen, ""))
+        if name != "best-fit packing":
+            assert seen.columns == docs.columns and seen.schema == docs.schema
+            assert all(tuple(r)[5:] == tuple(clashing) for r in seen.collect())
+    assert seen.count() > 0
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = saved(stage(spark, empty, ""))
+        assert empty.count() == 0
+
+
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
     assert len(corpus_pipeline.STAGES) == 5

@@ -230,6 +230,6 @@ def whole_documents(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
     """
     copies = rounded(dealt(docs, most, seed), seed)
     wanted = copies.groupBy("doc_id", "source", "same").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    d = docs.withColumn("_same", F.xxhash64(text())).dropDuplicates(["doc_id", "source", "_same"]).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col("d.source").eqNullSafe(F.col("w.source")) & (F.col("d._same") == F.col("w.same"))
-    return d.join(wanted.alias("w"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w.copies").cast("int")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    d = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64(text()).alias("same")).dropDuplicates(["doc_id", "source", "same"]).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col("d.source").eqNullSafe(F.col("w.source")) & (F.col("d.same") == F.col("w.same"))
+    return d.join(wanted.alias("w"), on).select("row", F.explode(F.sequence(F.lit(1), F.col("w.copies").cast("int")))).select("row.*")

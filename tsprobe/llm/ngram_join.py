@@ -248,6 +248,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     """The rows of ``docs``, one of each group: the text with the least id (by digest, among texts with none)."""
     _, texts = grouped(docs, similarity, recall)
     first = texts.groupBy("root").agg(F.min(F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "mark")).alias("f")).select("f.copy_id", "f.mark")
-    of = docs.withColumn("_mark", F.sha2(text(), 256)).alias("d")
-    on = (F.col("d._mark") == F.col("f.mark")) & F.col("d.doc_id").eqNullSafe(F.col("f.copy_id"))
-    return of.join(first.alias("f"), on, "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    of = docs.select(F.struct("*").alias("row"), "doc_id", F.sha2(text(), 256).alias("mark")).alias("d")
+    on = (F.col("d.mark") == F.col("f.mark")) & F.col("d.doc_id").eqNullSafe(F.col("f.copy_id"))
+    return of.join(first.alias("f"), on, "left_semi").dropDuplicates(["doc_id", "mark"]).select("row.*")

@@ -9,7 +9,8 @@ words, word endings and a mark for each word that repeats its predecessor; every
 
 A null text is empty; a text without words gets no votes, score 0 and is not kept. Repeated rows are judged alike. A null
 id changes nothing but that it is one value to the hash that draws the training rows. An empty table gives no rows.
-Words of the whole text count, however long. Columns of the input pass through; ``quality`` is one struct.
+Words of the whole text count, however long. Columns of the input pass through whatever their names; ``quality`` is one
+struct, and takes the place of an input column of that name.
 """
 
 from __future__ import annotations
@@ -73,8 +74,8 @@ N_LABELLERS = 8
 
 
 def with_votes(docs: DataFrame) -> DataFrame:
-    """Rows with ``_w`` (words) and ``_votes``, a letter for each labeller."""
-    seen = docs.withColumn("_t", text()).withColumn("_w", words(F.col("_t")))
+    """``_w`` (words) and ``_votes``, a letter for each labeller, of the texts of all rows."""
+    seen = docs.select(text().alias("_t")).withColumn("_w", words(F.col("_t")))
     return seen.withColumn("_m", measures()).withColumn("_votes", F.when(F.size("_w") == 0, F.lit(NONE * N_LABELLERS)).otherwise(F.concat(*labellers())))
 
 
@@ -112,7 +113,7 @@ def hashed(df: DataFrame, dimensions: int) -> DataFrame:
     return Normalizer(p=2.0, inputCol="_tf", outputCol="_x").transform(counted)
 
 
-def fit(docs: DataFrame, train_rows: int = 10_000, dimensions: int = 1 << 17) -> LogisticRegressionModel | None:
+def fit(docs: DataFrame, train_rows: int = 10_000, dimensions: int = 1 << 15) -> LogisticRegressionModel | None:
     """EM over all documents' votes, then the scorer on about ``train_rows`` of them; None without any words."""
     patterns = {r["_votes"]: r["n"] for r in with_votes(docs).groupBy("_votes").agg(F.count("*").alias("n")).collect()}
     patterns.pop(NONE * N_LABELLERS, None)
@@ -134,14 +135,18 @@ def fit(docs: DataFrame, train_rows: int = 10_000, dimensions: int = 1 << 17) ->
         train.unpersist()
 
 
-def classify(docs: DataFrame, model: LogisticRegressionModel | None, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with ``quality``: n_words, score (probability of good) and kept."""
+def judged(docs: DataFrame, model: LogisticRegressionModel | None, least: float = 0.5) -> DataFrame:
+    """``row`` (a struct of the whole input row) and ``quality``: n_words, score (probability of good) and kept."""
     if model is None:
         quality = F.struct(F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-        return docs.select("*", quality.alias("quality"))
-    rows = hashed(docs.withColumn("_w", words(text())), model.numFeatures)
+        return docs.select(F.struct("*").alias("row"), quality.alias("quality"))
+    rows = hashed(docs.select(F.struct("*").alias("row"), words(text()).alias("_w")), model.numFeatures)
     out = model.setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("").transform(rows)
     n = F.size("_w").cast("long")
     score = F.when(n > 0, vector_to_array("_p")[1]).otherwise(0.0)
-    quality = F.struct(n.alias("n_words"), score.alias("score"), ((n > 0) & (score >= least)).alias("kept"))
-    return out.select(*docs.columns, quality.alias("quality"))
+    return out.select("row", F.struct(n.alias("n_words"), score.alias("score"), ((n > 0) & (score >= least)).alias("kept")).alias("quality"))
+
+
+def classify(docs: DataFrame, model: LogisticRegressionModel | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with ``quality``, in place of a column of that name."""
+    return judged(docs, model, least).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "quality"], "quality")

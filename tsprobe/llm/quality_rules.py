@@ -74,11 +74,11 @@ def line_verdict(line: Column) -> Column:
 def clean(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     """All rows with ``rules``: the base counts, lines failed by rule, base_failed, kept; and ``clean_text``.
 
-    ``rules`` is one struct so that no column of ``docs`` can clash with it.
+    Columns of ``docs`` pass through whatever their names; those two take the place of columns so named.
     """
     t = F.col("_t")
     chars = lambda x: F.length(x) - F.regexp_count(x, F.lit(f"[{SPACES}]"))
-    judged = docs.withColumn("_t", text()).withColumn("_judged", F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), line_verdict(x).alias("failed"))))
+    judged = docs.select(F.struct("*").alias("row"), text().alias("_t")).withColumn("_judged", F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), line_verdict(x).alias("failed"))))
     lines = lambda keep: F.transform(F.filter("_judged", keep), lambda x: x["line"])
     count = lambda rule: F.size(F.filter("_judged", lambda x: x["failed"] == rule)).cast("long")
     failed = F.aggregate(lines(lambda x: x["failed"].isNotNull()), F.lit(0), lambda a, x: a + chars(x))
@@ -97,4 +97,4 @@ def clean(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
         F.col("_r.base.n_words").alias("n_words"), F.col("_r.base.n_repeat_words").alias("n_repeat_words"), *[F.col(f"_r.{c}").alias(c) for c in names],
         base_failed.alias("base_failed"), (~base_failed & (F.col("_r.lost_chars") <= most_lost * F.col("_r.word_chars"))).alias("kept"),
     )
-    return judged.withColumn("_r", rules).select(*docs.columns, out.alias("rules"), F.array_join(lines(lambda x: x["failed"].isNull()), "\n").alias("clean_text"))
+    return judged.withColumn("_r", rules).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("rules", "clean_text")], out.alias("rules"), F.array_join(lines(lambda x: x["failed"].isNull()), "\n").alias("clean_text"))
