@@ -18,13 +18,13 @@ from tsprobe.llm.common import WORD, saved, table
 from tsprobe.llm.mixing import whole_documents
 from tsprobe.llm.ngram_join import keep_one
 from tsprobe.llm.packing import best_fit_pack
-from tsprobe.llm.quality_model import classify, fit
+from tsprobe.llm.quality_model import fit, judged
 from tsprobe.llm.suffix_dedup import dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
-    return classify(docs, fit(docs)).where("quality.kept").select(*docs.columns)
+    return judged(docs, fit(docs)).where("quality.kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that a document with a smaller id has; one of which no word is left goes."""
-    done = dedup(docs, docs.columns, with_text=True)
-    left = F.when(F.col("repeats.n_removed") > 0, F.col("repeats.kept_text")).otherwise(F.col("text"))
-    cut = done.withColumn("_left", left).where((F.col("repeats.n_removed") == 0) | F.col("_left").rlike(WORD))
-    new = {"text": F.col("_left"), "n_chars": F.when(F.col("repeats.n_removed") > 0, F.length("_left").cast("long")).otherwise(F.col("n_chars"))}
-    return cut.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    new = {c: c if c in ("doc_id", "text") else f"in_{i}" for i, c in enumerate(docs.columns)}  # no name can clash with a result
+    done = dedup(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), list(new.values()), with_text=True)
+    changed = F.col("repeats.n_removed") > 0
+    cut = done.withColumn("cut", F.when(changed, F.col("repeats.kept_text")).otherwise(F.col("text"))).where(~changed | F.col("cut").rlike(WORD))
+    made = {"text": F.col("cut")} | ({"n_chars": F.when(changed, F.length("cut").cast("long")).otherwise(F.col(new["n_chars"]))} if "n_chars" in new else {})
+    return cut.select(*[made.get(c, F.col(n)).alias(c) for c, n in new.items()])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
