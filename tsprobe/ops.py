@@ -71,5 +71,5 @@ from tsprobe.operators.probes import logistic_probe, logistic_probe_layers, ridg
 
 # streams
 from tsprobe.streaming.live import (  # noqa: F401
-    batch_writer, exactly_once, latest_snapshot, live_accuracy, read_log_stream, run_to_end, stream_windows, upsert_writer,
+    batch_writer, exactly_once, latest_rows, live_accuracy, read_log_stream, run_to_end, stream_windows, upsert_writer,
 )

@@ -48,7 +48,7 @@ def stream_exactly_once(spark, sf_dir):
     once = _as_predictions(_orders_stream(spark, sf_dir))
     twice = once.union(once)
     path = scratch_dir(spark, "attempts")
-    kept = live.exactly_once(twice, ["run", "idx"], "ingested_at", "7000 days")
+    kept = live.exactly_once(twice, ["run", "idx"], "ingested_at", "1 day")
     live.run_to_end(kept.writeStream.foreachBatch(live.batch_writer(path)), scratch_dir(spark, "cp"))
     return live.live_accuracy(spark.read.parquet(path), ["run"]).withColumn("accuracy", F.round("accuracy", 6))
 
@@ -57,9 +57,10 @@ def stream_exactly_once(spark, sf_dir):
 WITH {WINDOW_CTES} SELECT user_id, win * {STRIDE} AS start, round(sum(v * (p - win * {STRIDE} + 1)), 3) AS checksum, max(CASE WHEN p = win * {STRIDE} + {WIDTH - 1} THEN label END) AS last_label FROM wrows GROUP BY 1, 2""")
 def stream_count_windows(spark, sf_dir):
     source, path = scratch_dir(spark, "samples"), scratch_dir(spark, "windows")
-    series(spark, sf_dir).select("user_id", "p", "v", "label").write.parquet(source)
-    samples = spark.readStream.schema("user_id bigint, p bigint, v double, label string").option("maxFilesPerTrigger", "2").parquet(source)
-    out = live.stream_windows(samples, ["user_id"], "p", "v", "label", WIDTH, STRIDE)
+    samples = series(spark, sf_dir).select("user_id", "p", "v", "label", "ts")
+    samples.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(source)
+    stream = spark.readStream.schema(samples.schema).parquet(source)
+    out = live.stream_windows(stream, ["user_id"], "p", "v", "label", WIDTH, STRIDE, "ts", "1 hour")
     live.run_to_end(out.writeStream.foreachBatch(live.batch_writer(path)), scratch_dir(spark, "cp"))
     w = spark.read.parquet(path)
     return w.select("user_id", "start", F.round(fs.position_sum(F.col("values")), 3).alias("checksum"), F.element_at("labels", -1).alias("last_label"))
@@ -73,4 +74,4 @@ def stream_upsert(spark, sf_dir):
     rows.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(source)
     live.run_to_end(stream.writeStream.foreachBatch(live.upsert_writer(path, "pred_path", "ts")), scratch_dir(spark, "cp"))
-    return live.latest_snapshot(spark, path).select("pred_path", F.col("ts").cast("string").alias("ts"))
+    return live.latest_rows(spark, path, rows.schema).select("pred_path", F.col("ts").cast("string").alias("ts"))
