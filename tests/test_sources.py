@@ -108,3 +108,46 @@ def test_qa_documents(spark, tmp_path):
     meta = spark.createDataFrame([("d", 2, ["a"])], "dataset string, n_channels int, names array<string>")
     with pytest.raises(Exception, match="channel names"):
         datasets.check_channels(meta).select(F.size("names")).collect()
+
+
+def test_scans_of_runs_and_variants(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(n, T.IntegerType()) for n in ("idx", "gt", "pred")])
+    runs = tmp_path / "sample_generations"
+    files = {
+        "alder/har/logistic_regression/vis_ust_2-shot_CoT/layer7.jsonl": [(1, 0, 1), (2, 1, 1)],
+        "alder/har/visual_prompting/ts-ust_1-shot_Direct.jsonl": [(3, 1, 0)],
+        "birch/emg/random/prior.jsonl": [(4, 0, 0)],
+        "birch/emg/knn/vis_ust/best_params/grid.jsonl": [(9, 9, 9)],
+    }
+    for name, lines in files.items():
+        (runs / name).parent.mkdir(parents=True, exist_ok=True)
+        (runs / name).write_text("".join(json.dumps(dict(zip(("idx", "gt", "pred"), x))) + "\n" for x in lines) + '{"idx": 5, "gt"')
+    got = logs.scan_predictions(spark, str(runs), schema).select("idx", "model", "dataset", "method", "embedding_type", "style", "shots", "variant", "layer").collect()
+    assert sorted(map(tuple, got)) == [
+        (1, "alder", "har", "logistic_regression", "vis_ust_2_shot_ust", "CoT", None, None, 7), (2, "alder", "har", "logistic_regression", "vis_ust_2_shot_ust", "CoT", None, None, 7),
+        (3, "alder", "har", "visual_prompting", "ts_ust", "Direct", 1, None, None), (4, "birch", "emg", "random", "prior", None, None, "prior", None),
+    ]
+    (tmp_path / "variants").mkdir()
+    (tmp_path / "variants/sys003_gq003_ts-ust_cot1.jsonl").write_text('{"idx": 1, "gt": 1, "pred": 1}\n')
+    (tmp_path / "variants/sys012_gq012_vis_cot.jsonl").write_text('{"idx": 2, "gt": 1, "pred": 0}\n')
+    got = logs.scan_variants(spark, str(tmp_path / "variants"), schema).select("idx", "variant", "kinds", "cot").collect()
+    assert sorted(map(tuple, got)) == [(1, 3, "ts-ust", 1), (2, 12, "vis", 0)]
+    (tmp_path / "variants/sys001_gq002_vis_cot.jsonl").write_text('{"idx": 3, "gt": 1, "pred": 0}\n')
+    with pytest.raises(Exception, match="sys/gq mismatch"):
+        logs.scan_variants(spark, str(tmp_path / "variants"), schema).collect()
+
+
+def test_pairs_by_place_and_one_series(spark, rows, tmp_path):
+    left = rows("rank long, text string", [(0, "s0"), (1, "s1")])
+    right = rows("rank long, text string", [(0, "q0"), (1, "q1"), (2, "q2")])
+    cut = recordings.pair_variants(left, right)
+    assert sorted((r["system"], r["question"]) for r in cut.collect()) == [("s0", "q0"), ("s1", "q1")]
+    with pytest.raises(Exception, match="no partner at place 2"):
+        recordings.pair_variants(left, right, strict=True).collect()
+    both = recordings.zip_equal(left.withColumnRenamed("text", "a"), right.where("rank < 2").withColumnRenamed("text", "b"), "rank")
+    assert sorted(map(tuple, both.select("rank", "a", "b").collect())) == [(0, "s0", "q0"), (1, "s1", "q1")]
+    (tmp_path / "one.csv").write_text("when,value\n2024-01-02,5\n2024-01-01,3.5\n2024-01-03,x\n")
+    series = recordings.read_series_csv(spark, str(tmp_path / "one.csv"), "when string, value string", "when", "value")
+    assert [(r["pos"], r["v"]) for r in series.where("pos < 2").orderBy("pos").collect()] == [(0, 3.5), (1, 5.0)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tsprobe.operators.ordering import null_safe_join
+
 #: The kinds of input a run may name.
 INPUT_KINDS = ["ust", "vis", "ts", "lets"]
 
@@ -70,12 +72,20 @@ def cross_dataset(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     return both.withColumn("dataset", F.lit(name))
 
 
-def dataset_statistics(df: DataFrame, split: str, label: str, x: str) -> DataFrame:
-    """Rows, series length, classes and the class histogram (JSON text) per split."""
-    per_class = df.groupBy(split, label).agg(F.count(F.lit(1)).alias("_c"), F.max(F.size(x)).alias("_t"))
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(label).alias("l"), F.col("_c").alias("c"))))
-    text = F.transform(pairs, lambda p: F.concat(F.lit('"'), p["l"].cast("string"), F.lit('":'), p["c"].cast("string")))
-    return per_class.groupBy(split).agg(
-        F.sum("_c").alias("n_rows"), F.max("_t").alias("n_steps"), F.count(label).alias("n_classes"),
-        F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}")).alias("histogram"),
+def dataset_statistics(df: DataFrame, split: str, label: str, x: str, subject: str | None = None) -> DataFrame:
+    """Rows, sample sizes, shapes, subjects, classes and the class histogram (JSON text) per split.
+
+    ``x`` is an array of values (one channel) or an array of channels. ``n_steps`` is the longest sample, ``n_shapes`` the number
+    of different (channels, steps). Rows are counted per (class, subject, shape) first; what is distinct is counted on those.
+    """
+    nested = df.schema[x].dataType.elementType.typeName() == "array"
+    steps, channels = (F.size(F.col(x)[0]), F.size(x)) if nested else (F.size(x), F.lit(1))
+    cells = df.groupBy(split, F.col(label).alias("_l"), (F.col(subject) if subject else F.lit(None).cast("int")).alias("_s"), steps.alias("_t"), channels.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = cells.groupBy(split).agg(
+        F.sum("_c").alias("n_rows"), F.min("_t").alias("least_steps"), (F.sum(F.col("_t") * F.col("_c")) / F.sum("_c")).alias("mean_steps"), F.max("_t").alias("n_steps"),
+        F.countDistinct("_t", "_k").alias("n_shapes"), F.max("_k").alias("n_channels"), F.countDistinct("_s").alias("n_subjects"),
     )
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("_l").alias("l"), F.col("_c").alias("c"))))
+    text = F.transform(pairs, lambda p: F.concat(F.lit('"'), p["l"].cast("string"), F.lit('":'), p["c"].cast("string")))
+    classes = cells.groupBy(split, "_l").agg(F.sum("_c").alias("_c")).groupBy(split).agg(F.count("_l").alias("n_classes"), F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}")).alias("histogram"))
+    return null_safe_join(sizes, classes, [split])

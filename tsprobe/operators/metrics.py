@@ -72,11 +72,12 @@ def running_accuracy(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
 
 
 def running_mae(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
-    """Mean absolute error over all points so far, ``gt`` and ``pred`` being arrays."""
+    """Mean absolute error over all points so far, ``gt`` and ``pred`` being arrays; rows without a valid forecast add none (NULL before the first)."""
+    valid = F.col("gt").isNotNull() & F.col("pred").isNotNull() & (F.size("gt") == F.size("pred"))
     errors = F.zip_with("gt", "pred", lambda g, p: F.abs(g - p))
-    total = F.aggregate(errors, F.lit(0.0), lambda a, e: a + e)
-    out = running_sums(df, keys, pos, {"points": F.size("gt").cast("bigint"), "abs_error": total})
-    return out.withColumn("running_mae", F.col("abs_error") / F.col("points"))
+    total = F.when(valid, F.aggregate(errors, F.lit(0.0), lambda a, e: a + e)).otherwise(0.0)
+    out = running_sums(df, keys, pos, {"points": F.when(valid, F.size("gt")).otherwise(0).cast("bigint"), "abs_error": total})
+    return out.withColumn("running_mae", F.try_divide("abs_error", "points"))
 
 
 def pass_at_k_value(n: Column, c: Column, k: int) -> Column:

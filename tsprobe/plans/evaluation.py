@@ -139,6 +139,16 @@ def majority_vote(spark, sf_dir):
     return out.select("idx", "gt", "master_pred", "correct", text.alias("tally"), "n_votes")
 
 
+@query("vote_list", f"""
+WITH {_VOTES}, win AS (SELECT idx, pred FROM tally QUALIFY row_number() OVER (PARTITION BY idx ORDER BY c DESC, f) = 1)
+SELECT v.idx, win.pred AS master_pred, string_agg(attempt || ':' || v.pred, ',' ORDER BY attempt) AS votes FROM v JOIN win USING (idx) GROUP BY 1, 2""")
+def vote_list(spark, sf_dir):
+    """Every vote of an id beside what they come to."""
+    out = metrics.vote_list(attempts(spark, sf_dir).where("attempt < 7"), ["idx"], "attempt")
+    text = F.array_join(F.transform("votes", lambda v: F.concat_ws(":", v["attempt"].cast("string"), v["pred"].cast("string"))), ",")
+    return out.select("idx", "master_pred", text.alias("votes"))
+
+
 @query("vote_metrics", f"""
 WITH {_VOTES}, win AS (SELECT idx, gt, pred, 1 AS run FROM tally QUALIFY row_number() OVER (PARTITION BY idx ORDER BY c DESC, f) = 1), {metrics_sql('win', 'run')}
 SELECT n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM a_ JOIN m USING (run)""".replace("a AS (SELECT run, count", "a_ AS (SELECT run, count"))
@@ -189,10 +199,10 @@ def forecast_error_pooled(spark, sf_dir):
 
 
 @query("running_mae", f"""
-WITH {_PAIRS}, r AS (SELECT user_id, idx, sum(abs(gt - last_v)) AS e FROM steps WHERE user_id % 7 <> 0 AND user_id % 11 <> 0 GROUP BY 1, 2)
-SELECT user_id, idx, round(sum(e) OVER w / (6 * count(*) OVER w), 8) AS running_mae FROM r WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING)""")
+WITH {_PAIRS}, r AS (SELECT user_id, idx, CASE WHEN user_id % 7 <> 0 AND user_id % 11 <> 0 THEN sum(abs(gt - last_v)) END AS e FROM steps GROUP BY 1, 2)
+SELECT user_id, idx, round(sum(e) OVER w / (6 * count(e) OVER w), 8) AS running_mae FROM r WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING)""")
 def running_mae(spark, sf_dir):
-    f = _naive_forecasts(spark, sf_dir).where("user_id % 7 <> 0 AND user_id % 11 <> 0")
+    f = _naive_forecasts(spark, sf_dir)
     return metrics.running_mae(f, ["user_id"], "idx").select("user_id", "idx", F.round("running_mae", 8).alias("running_mae"))
 
 

@@ -174,11 +174,13 @@ def train_prior(spark, sf_dir):
     return splits.prior(train, "y").select("y", "n", F.round("p", 6).alias("p"))
 
 
-@query("unseen_labels", "SELECT DISTINCT p_brand AS y FROM {part} WHERE p_size > 45 AND p_brand NOT IN (SELECT p_brand FROM {part} WHERE p_size <= 45 AND p_partkey % 3 = 0 AND p_brand < 'Brand#2')")
+_KIND = "p_brand || ' ' || p_type || ' ' || p_name"
+
+
+@query("unseen_labels", f"SELECT DISTINCT {_KIND} AS y FROM {{part}} WHERE p_size > 45 AND {_KIND} NOT IN (SELECT {_KIND} FROM {{part}} WHERE p_size <= 45)")
 def unseen_labels(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("y"), "p_size", "p_partkey")
-    train = p.where("p_size <= 45 AND p_partkey % 3 = 0 AND y < 'Brand#2'")
-    return splits.unseen_labels(train, p.where("p_size > 45"), "y")
+    p = table(spark, sf_dir, "part").select(F.expr(_KIND).alias("y"), "p_size")
+    return splits.unseen_labels(p.where("p_size <= 45"), p.where("p_size > 45"), "y")
 
 
 @query("class_histogram", f"WITH s AS ({SPLIT_SQL}) SELECT split, y, count(*) AS n FROM s GROUP BY 1, 2")
@@ -187,11 +189,17 @@ def class_histogram(spark, sf_dir):
 
 
 @query("dataset_statistics", f"""
-WITH s AS ({SPLIT_SQL}) SELECT split, count(*) AS n_rows, 64 AS n_steps, count(DISTINCT y) AS n_classes,
+WITH s AS (SELECT *, 8 + idx % 5 AS n FROM ({SPLIT_SQL})) SELECT split, count(*) AS n_rows, CAST(min(n) AS INT) AS least_steps, round(avg(n), 6) AS mean_steps, CAST(max(n) AS INT) AS n_steps,
+ count(DISTINCT n || '/' || (1 + idx % 2)) AS n_shapes, CAST(max(1 + idx % 2) AS INT) AS n_channels, count(DISTINCT idx % 17) AS n_subjects, count(DISTINCT y) AS n_classes,
  (SELECT '{{' || string_agg('"' || y || '":' || c, ',' ORDER BY y) || '}}' FROM (SELECT split AS sp, y, count(*) AS c FROM s GROUP BY 1, 2) WHERE sp = s.split) AS histogram FROM s GROUP BY 1""")
 def dataset_statistics(spark, sf_dir):
-    s = split_vectors(spark, sf_dir)
-    return checks.dataset_statistics(s, "split", "y", "vec")
+    """Samples of 8 to 12 steps and one or two channels, of 17 subjects, cut from the vectors."""
+    i = F.col("idx").cast("int")
+    cut = lambda first: F.slice("vec", F.lit(first), 8 + i % 5)
+    s = split_vectors(spark, sf_dir).withColumn("subject", i % 17)
+    s = s.withColumn("x", F.slice(F.array(cut(1), cut(20)), F.lit(1), 1 + i % 2))
+    out = checks.dataset_statistics(s, "split", "y", "x", "subject")
+    return out.withColumn("mean_steps", F.round("mean_steps", 6))
 
 
 @query("label_remap", """
@@ -271,11 +279,11 @@ def class_coverage(spark, sf_dir):
 
 
 @query("row_alignment", """
-SELECT count(*) AS n_rows, 0::BIGINT AS only_left, 0::BIGINT AS only_right, 1::BIGINT AS n_dims, 0::BIGINT AS label_mismatch FROM {embeddings}""")
+SELECT count(CASE WHEN doc_id IS NOT NULL AND vec_id IS NOT NULL THEN 1 END) AS n_rows, count(CASE WHEN vec_id IS NULL THEN 1 END) AS only_left, count(CASE WHEN doc_id IS NULL THEN 1 END) AS only_right,
+ count(DISTINCT len(embedding)) AS n_dims, count(CASE WHEN quality <> label THEN 1 END) AS label_mismatch FROM {labels} FULL OUTER JOIN {embeddings} ON doc_id = vec_id""")
 def row_alignment(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    rows = e.select(F.col("vec_id").alias("idx"), F.col("label").alias("y"))
-    vecs = e.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"), F.col("label").alias("y"))
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), F.col("quality").alias("y"))
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"), F.col("label").alias("y"))
     return checks.row_alignment(rows, vecs, "idx", "vec", "y")
 
 

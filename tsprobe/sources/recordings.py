@@ -113,9 +113,9 @@ def unlabelled(recordings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def read_series_csv(spark: SparkSession, path: str, schema: T.StructType, time: str, value: str) -> DataFrame:
-    """One series from a CSV: ``pos`` by time order and ``v``."""
+    """One series from a CSV: ``pos`` by time order and ``v`` (NULL where the text is no number)."""
     rows = spark.read.schema(schema).option("header", "true").csv(path)
-    return positions(rows.select(F.col(time).alias("time"), F.col(value).cast("double").alias("v")), [], ["time"])
+    return positions(rows.select(F.col(time).alias("time"), F.col(value).cast("string").try_cast("double").alias("v")), [], ["time"])
 
 
 def read_variants(spark: SparkSession, folder: str) -> DataFrame:

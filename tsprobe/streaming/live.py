@@ -147,10 +147,10 @@ def stream_windows(
     keys = list(keys)
     size = stride * max(1, -(-max(min_chunk, 4 * width) // stride))
     p = F.col(pos)
-    first = F.greatest(F.lit(0), F.floor((p - max(0, width - stride)) / size))
-    spread = stream.withWatermark(time, delay).select(
-        *keys, p.alias("p"), F.col(value).cast("double").alias("v"), F.col(label).cast("string").alias("label"), F.col(time).alias("at"),
-        F.explode(F.sequence(first, F.floor(p / size))).alias("chunk"),
+    timed = stream.select(*keys, p.alias("p"), F.col(value).cast("double").alias("v"), F.col(label).cast("string").alias("label"), F.col(time).cast("timestamp").alias("at"))
+    p, first = F.col("p"), F.greatest(F.lit(0), F.floor((F.col("p") - max(0, width - stride)) / size))
+    spread = timed.withWatermark("at", delay).select(
+        "*", F.explode(F.sequence(first, F.floor(p / size))).alias("chunk"),
     )
     out = T.StructType(
         [spread.schema[k] for k in keys]
