@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from tsprobe.llm import mixing, ngram_join
 from tsprobe.llm.components import components
+from tsprobe.llm import imatch
 from tsprobe.llm.imatch import fingerprints, likeness
 from tsprobe.llm.mixing import mix, shards, share_out, split_quotas, whole_documents
 from tsprobe.llm.ngram_join import bands_for, linked, near_duplicates
@@ -324,6 +325,34 @@ def test_near_copies_are_alike(spark):
     assert likeness(a.fingerprint[1001], a.fingerprint[9]) < 0.2
 
 
+def test_near_copies_of_a_hot_group_are_alike(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(20_000)]
+    base = rng.sample(words, 300)
+    rows = [(i, " ".join(rng.sample(words, 300))) for i in range(600)]
+    for i in range(300):
+        copy = list(base)
+        copy[rng.randrange(300)] = rng.choice(words)
+        rows.append((1000 + i, " ".join(copy)))
+    a = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    inside = a.near_next[a.index > 1000]
+    assert inside.mean() > 0.85 and (inside > 0.5).all()
+    assert a.near_next[(a.index < 600) & (a.index > 0)].max() < 0.3
+
+
+def test_places_are_those_of_the_ranks():
+    terms = np.random.default_rng(0).integers(0, 1 << 63, 400).astype(np.uint64)
+    got = imatch.places(terms).reshape(imatch.RATES, imatch.EACH)
+    for e in range(imatch.EACH):
+        hashes = imatch.mixed(terms ^ imatch.SEEDS[e])
+        for r in range(imatch.RATES):
+            members = terms[[int(h).bit_length() <= 64 - r for h in hashes]]
+            assert (got[r, e] == 0) == (len(members) == 0)
+            alone = imatch.places(members).reshape(imatch.RATES, imatch.EACH)[r, e]
+            assert got[r, e] == alone  # terms outside the lexicon change nothing
+    assert (imatch.places(terms[::-1]) == got.ravel()).all() and not imatch.places(terms[:0]).any()
+
+
 def test_share_out():
     assert share_out([100, 100, 100], [1, 2, 3], 3) == pytest.approx([50, 100, 150])
     assert share_out([10, 1000, 10], [1, 1, 4], 3) == pytest.approx([30, 960, 30])

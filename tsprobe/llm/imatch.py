@@ -2,11 +2,13 @@
 
 The lexicon is all words (in lower case) that ``least`` documents or more have, but no more than ``most_share`` of all;
 that is a band of inverse document frequencies. A sub-lexicon takes each word of it with one of ten rates (1, 1/2, ...
-1/512) by hashing; there are twelve of each rate. A document's fingerprint holds, for each sub-lexicon, a 16-bit hash of
-its sorted distinct terms in it, or 0 if it has none; so it stays the same in most places under a small edit and in a few
+1/512) by hashing; there are twelve of each rate, and those of one seed lie in each other. A document's fingerprint holds,
+for each sub-lexicon, a 16-bit hash of the set of its distinct terms in it, or 0 if it has none; so it stays the same in most places under a small edit and in a few
 under a large one. The likeness of two fingerprints is the share of equal places among those that are not 0 in both, over
-the smallest sub-lexicons, from the lowest rate up until twelve such places are found. A document with no term in the
-band has the hash of all its distinct terms (or of its text) instead; two such are alike only if equal.
+the smallest sub-lexicons, from the lowest rate up until twelve such places are found. A document with fewer than
+``fewest`` terms in the band, such as one of a large group of near copies, whose own words all are frequent, takes those
+of its terms above the band that are least frequent as well, up to that number and ties. One without any term that
+``least`` documents have has the hash of all its distinct terms (or of its text) instead; two such are alike only if equal.
 
 Document frequencies are counted over all documents by blocks that ask buckets; nothing of them is broadcast. Blocks
 are ranges of doc_id, so that each document meets the next one (descending doc_id, after the last the first) in its
@@ -40,19 +42,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-SEEDS = mixed(np.arange(1, RATES * EACH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-BOUNDS = (np.uint64(0xFFFFFFFFFFFFFFFF) >> np.repeat(np.arange(RATES, dtype=np.uint64), EACH))[:, None]
+SEEDS = mixed(np.arange(1, EACH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
 def places(terms: np.ndarray) -> np.ndarray:
-    """A 16-bit hash of the sorted terms of each sub-lexicon, 0 where there are none."""
-    out = np.zeros(RATES * EACH, np.uint16)
-    if len(terms):
-        terms = np.sort(terms)
-        drawn = mixed(terms[None, :] ^ SEEDS) <= BOUNDS
-        for k in np.flatnonzero(drawn.any(axis=1)):
-            out[k] = int.from_bytes(hashlib.blake2b(terms[drawn[k]].tobytes(), digest_size=2).digest(), "big") | 1
-    return out
+    """A 16-bit hash of the set of terms in each sub-lexicon, 0 where there are none; rates in rows, from 1 down.
+
+    A term's rank under a seed, the leading zeros of its mixed hash, says to which of the seed's lexicons it belongs: to
+    those of the rates down to 2^-rank. The hashes of a rank are summed, so that a set has one sum in whatever order,
+    and the sums of a rate are those of all ranks from it on.
+    """
+    if not len(terms):
+        return np.zeros(RATES * EACH, np.uint16)
+    drawn = mixed(terms[None, :] ^ SEEDS)
+    rank = np.minimum(64 - np.frexp(drawn.astype(np.float64))[1], RATES - 1).clip(0)
+    cell = (rank * EACH + np.arange(EACH)[:, None]).ravel()
+    sums, held = np.zeros(RATES * EACH, np.uint64), np.bincount(cell, minlength=RATES * EACH)
+    np.add.at(sums, cell, np.tile(mixed(terms + np.uint64(0x632BE59BD9B4E019)), EACH))
+    up = lambda x: np.cumsum(x.reshape(RATES, EACH)[::-1], axis=0, dtype=x.dtype)[::-1].ravel()
+    sums, held = up(sums), up(held)
+    short = (mixed(sums ^ (held.astype(np.uint64) << np.uint64(40))) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    return np.where(held > 0, short, np.uint16(0))
 
 
 def likeness(a: str, b: str) -> float:
@@ -115,7 +125,7 @@ def range_blocks(docs: DataFrame, block_bytes: int = 16 << 20) -> tuple[DataFram
     return rows.select("block", "id", "text", F.lit(False).alias("extra")).union(extra).repartition(n, "block"), n, count
 
 
-def fingerprints(docs: DataFrame, least: int = 2, most_share: float = 0.05, block_bytes: int = 16 << 20) -> DataFrame:
+def fingerprints(docs: DataFrame, least: int = 2, most_share: float = 0.05, fewest: int = 32, block_bytes: int = 16 << 20) -> DataFrame:
     """Fingerprint of each document and of its edited text, and their likenesses."""
     blocks, n, count = range_blocks(docs, block_bytes)
     most = max(least, most_share * count)
@@ -144,10 +154,13 @@ def fingerprints(docs: DataFrame, least: int = 2, most_share: float = 0.05, bloc
         hashes = seen.hashes()
         distinct, where = np.unique(hashes, return_inverse=True)
         found = answers(distinct, replies, n, np.int64)[where]
-        inside = (found >= least) & (found <= most)
 
         def mark(terms: np.ndarray, value: str) -> str:
-            kept = hashes[terms[inside[terms]]]
+            n_docs = found[terms]
+            some = terms[n_docs >= least]
+            n_docs = n_docs[n_docs >= least]
+            upper = max(most, np.partition(n_docs, fewest - 1)[fewest - 1]) if len(n_docs) >= fewest else np.inf
+            kept = hashes[some[n_docs <= upper]]
             if len(kept):
                 return "f" + places(kept).astype(">u2").tobytes().hex()
             every = np.sort(hashes[terms]).tobytes() if len(terms) else value.encode()
