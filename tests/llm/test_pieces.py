@@ -3,6 +3,7 @@
 import glob
 import random
 import uuid
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -11,11 +12,12 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tsprobe.llm import mixing, ngram_join
+from tsprobe.llm import imatch, mixing, ngram_join
+from tsprobe.llm.common import saved
 from tsprobe.llm.components import components
-from tsprobe.llm import imatch
 from tsprobe.llm.imatch import fingerprints, likeness
 from tsprobe.llm.mixing import mix, shards, share_out, split_quotas, whole_documents
 from tsprobe.llm.ngram_join import bands_for, linked, near_duplicates
@@ -325,6 +327,49 @@ def test_near_copies_are_alike(spark):
     assert likeness(a.fingerprint[1001], a.fingerprint[9]) < 0.2
 
 
+def test_links_of_dense_groups(spark):
+    """Near copies in a group larger than a chunk: exact counts and classes, with strays and copies among them."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    base, other = rng.sample(words, 160), rng.sample(words, 120)
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 1, 2, 3, 4])):
+            copy[rng.randrange(160)] = rng.choice(words)
+        texts.append(" ".join(copy))
+    for i in range(25):
+        copy = list(other)
+        copy[rng.randrange(120)] = rng.choice(words)
+        texts.append(" ".join(copy))
+    texts += [" ".join(rng.sample(words, 100)) for _ in range(10)] + texts[:5] + [texts[70]] * 3
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = [[j for j in range(len(texts)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = ngram_join.signed(df, *ngram_join.bands_for())
+    classes = saved(own.groupBy("mark").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")).withColumn("id", F.xxhash64("mark")))
+    id_of = {r["copy_id"]: r["id"] for r in classes.collect()}
+    for chunk_rows in (4, 16, 128):
+        rows = ngram_join.links(df, classes, chunk_rows=chunk_rows).collect()
+        n, root = Counter(), {i: i for i in id_of.values()}
+
+        def find(x):
+            return x if root[x] == x else find(root[x])
+
+        for r in rows:
+            if r["other"] is None:
+                n[r["id"]] += r["n"]
+            else:
+                root[find(r["id"])] = find(r["other"])
+        copies = Counter(texts)
+        for c, i in id_of.items():
+            assert n[i] == len(near[c]) - (copies[texts[c]] - 1)
+            assert all((find(i) == find(id_of[j])) for j in near[c] if j in id_of)
+        assert len({find(i) for i in id_of.values()}) >= 11
+    dense = ngram_join.dense(saved(ngram_join.buckets(classes)), saved(ngram_join.full_sets(df, classes.select("id", "mark", "copy_id"))), 0.8, 16).collect()
+    assert len(dense) > 40 and len({r["core"] for r in dense}) <= 4
+
+
 def test_near_copies_of_a_hot_group_are_alike(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(20_000)]

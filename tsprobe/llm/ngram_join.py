@@ -5,7 +5,13 @@ five consecutive words (a text with fewer words is one n-gram; one without words
 hashes. Representatives are shuffled by band hash; only those that meet another bring their full sets, so the shuffle of
 sets follows the candidates. A bucket is cut into chunks by hashing, as many as its members and their bytes need, and each pair of chunks is compared in one task: bucket size never decides what a task holds. A pair
 is verified where it first shares a band, with its full sets; sets of all pairs of a tile are intersected at once in
-bounded slices. No pair leaves the tile: it returns the number of links of each member and a spanning forest of the
+bounded slices.
+
+Large groups of near copies need no pair by pair check, because the Jaccard distance is a metric: of a bucket with more than
+one chunk the n-grams that most of a sample have are its consensus, and members within half the allowed distance of one
+and the same consensus are all linked to each other. They are counted by their number, as one star; only what
+is further off meets all others in tiles. The tiles then grow with the members of a bucket, times the few that stray.
+ No pair leaves the tile: it returns the number of links of each member and a spanning forest of the
 links, from which groups (connected components) are found by repeated joins.
 
 Result: one row per document: doc_id, class_id (least id of its group), copy_id (least id with the same text) and
@@ -24,11 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsprobe.llm.common import saved, text
 from tsprobe.llm.components import components
+from tsprobe.llm.simhash import by_share
 
 N_WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.99999, 128
 
@@ -134,6 +141,8 @@ def tile_links(similarity: float):
 
     def one(band: int, diagonal: bool, bucket: list) -> tuple[list, list, list]:
         ids = np.array([r[0] for r in bucket], np.int64)
+        known = np.array([r[5] is not None for r in bucket], bool)  # in a dense group, whose links are counted elsewhere
+        core = np.array([r[5] or 0 for r in bucket], np.int64)
         chunk = np.array([r[1] for r in bucket], bool)  # in the first chunk of the tile
         hashes = np.stack([r[2] for r in bucket])
         weight = np.array([r[4] for r in bucket], np.int64)
@@ -145,6 +154,7 @@ def tile_links(similarity: float):
         for b in range(band):  # pairs that meet in an earlier band are verified there
             first &= hashes[left, b][:, None] != hashes[None, :, b]
         first &= ids[left][:, None] != ids[None, :]
+        first &= ~(known[left][:, None] & known[None, :] & (core[left][:, None] == core[None, :]))
         if not diagonal:
             first &= ~chunk[None, :]
         if not first.any():
@@ -188,7 +198,7 @@ def tile_links(similarity: float):
                     if len(rows) > 1:
                         yield out()
                     key, rows = k, []
-                rows.append((batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), np.array(batch.column(6)[i].as_py(), np.int64), batch.column(7)[i].as_py(), batch.column(8)[i].as_py()))
+                rows.append((batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), np.array(batch.column(6)[i].as_py(), np.int64), batch.column(7)[i].as_py(), batch.column(8)[i].as_py(), batch.column(9)[i].as_py()))
         if len(rows) > 1:
             yield out()
 
@@ -206,23 +216,87 @@ def buckets(classes: DataFrame) -> DataFrame:
     return met.join(one, ["band", "bucket"])
 
 
+def consensus(rows: pa.Table) -> pa.Table:
+    """The n-grams that more than half of a bucket's sample have, and a hash that names them."""
+    grams, n = np.unique(np.concatenate([np.frombuffer(g, np.uint64) for g in rows.column("grams").to_pylist()]), return_counts=True)
+    most = grams[2 * n > len(rows)].tobytes()
+    one = {name: rows.column(name)[:1] for name in ("band", "bucket", "members")}
+    return pa.table({**one, "core": pa.array([xxhash.xxh3_64_intdigest(most)], pa.uint64()).view(pa.int64()), "grams": pa.array([most], pa.binary())})
+
+
+def within(least: float):
+    """Sorted rows of buckets, their consensus first, to the members with a similarity of ``least`` to it: id, core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, shared = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            ids, cores = [], []
+            for turn, id_, grams in zip(*(batch.column(i) for i in (3, 4, 5)), strict=True):
+                mine = np.frombuffer(grams.as_py(), np.uint64)
+                if turn.as_py() == 0:
+                    core, shared = id_.as_py(), mine
+                else:
+                    both = len(np.intersect1d(mine, shared, assume_unique=True))
+                    if both >= least * (len(mine) + len(shared) - both):
+                        ids.append(id_.as_py())
+                        cores.append(core)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cores, pa.int64())], names=["id", "core"])
+
+    return run
+
+
+def dense(met: DataFrame, held: DataFrame, similarity: float, chunk_rows: int, sample_rows: int = 64, part_rows: int = 1000) -> DataFrame:
+    """id and core of the members of large buckets that are so near to a consensus that those of one core are all linked.
+
+    A member is compared with the consensus of its largest bucket. Buckets of one group of near copies mostly have the very
+    same consensus, and so one core. A bucket is compared in parts of about ``part_rows`` members.
+    """
+    key = ["band", "bucket"]
+    large = met.where(F.col("members") > chunk_rows)
+    turn = Window.partitionBy(*key).orderBy(F.xxhash64("id", F.lit("sample")), "id")
+    sample = large.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample_rows).join(held.select("id", "grams"), "id")
+    agreed = sample.groupBy(*key).applyInArrow(consensus, "band int, bucket long, members long, core long, grams binary")
+    parts = F.ceil(F.col("members") / part_rows).cast("int")
+    given = agreed.select(*key, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("turn"), F.col("core").alias("id"), "grams")
+    choice = large.groupBy("id").agg(F.max(F.struct("members", (-F.col("band")).alias("b"), "bucket", "band")).alias("c")).select("id", "c.*").drop("b")
+    part = F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("int").alias("part")
+    asked = choice.join(held.select("id", "grams"), "id").select(*key, part, F.lit(1).alias("turn"), "id", "grams")
+    sorted_ = asked.union(given).repartition(*key, "part").sortWithinPartitions(*key, "part", "turn")
+    return sorted_.mapInArrow(within(1 - (1 - similarity) / 2), "id long, core long")
+
+
 def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, chunk_rows: int = 128, chunk_bytes: int = 1 << 20) -> DataFrame:
-    """id, other, n: link counts (other is null), and the edges of a spanning forest of each tile.
+    """id, other, n: link counts (other is null), and the edges of a spanning forest of each tile and of each dense group.
 
     ``classes`` has id, mark, copy_id, copies and bands.
     """
+    key = ["band", "bucket"]
     met = saved(buckets(classes))
     held = full_sets(docs, classes.join(met.select("id").distinct(), "id").select("id", "mark", "copy_id"))
     held = saved(held.join(classes.select("id", "bands", "copies"), "id"))
-    sized = met.join(held.select("id", F.octet_length("grams").alias("size")), "id")
-    chunks = F.greatest(F.ceil(F.count("*") / chunk_rows), F.ceil(F.sum("size") / chunk_bytes)).cast("int")
-    mine = met.join(sized.groupBy("band", "bucket").agg(chunks.alias("chunks")), ["band", "bucket"])
-    chunk = F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks")).cast("int")
-    tiles = mine.withColumn("c", chunk).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    places = tiles.select("id", "band", "bucket", F.least("c", "k").alias("i"), F.greatest("c", "k").alias("j"), (F.col("c") <= F.col("k")).alias("first"))
-    rows = places.join(held, "id").select("band", "bucket", "i", "j", "id", "first", "bands", "grams", "copies")
-    dealt = rows.repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "id")
-    return dealt.mapInArrow(tile_links(similarity), "id long, other long, n long")
+    core = saved(dense(met, held, similarity, chunk_rows))
+    sized = met.join(held.select("id", F.octet_length("grams").alias("size")), "id").join(core, "id", "left")
+    counted = sized.where("core is not null").groupBy(*key, "core").agg(F.count("*").alias("n"))
+    most = counted.groupBy(*key).agg(F.max_by("core", F.struct("n", "core")).alias("top"))
+    in_top = F.coalesce(F.col("core") == F.col("top"), F.lit(False))
+    member = sized.join(most, key, "left").withColumn("dense", in_top)
+    chunks = lambda of: F.greatest(F.ceil(F.count_if(of) / chunk_rows), F.ceil(F.sum(F.when(of, F.col("size")).otherwise(0)) / chunk_bytes)).cast("int")
+    shape = member.groupBy(*key).agg(chunks(~F.col("dense")).alias("apart"), chunks(F.col("dense")).alias("together")).where("apart > 0")
+    mine = member.select("id", *key, "dense", "core").join(shape, key)
+    # chunks of members apart come first; they meet all chunks, those of the dense group only these
+    h = F.xxhash64("id", F.lit("chunk"))
+    chunk = F.when(F.col("dense"), F.col("apart") + F.pmod(h, F.greatest("together", F.lit(1)))).otherwise(F.pmod(h, F.col("apart"))).cast("int")
+    meets = F.when(F.col("dense"), F.col("apart")).otherwise(F.col("apart") + F.col("together"))
+    tiles = mine.withColumn("c", chunk).withColumn("k", F.explode(F.sequence(F.lit(0), meets - 1)))
+    places = tiles.select("id", *key, F.least("c", "k").alias("i"), F.greatest("c", "k").alias("j"), (F.col("c") <= F.col("k")).alias("first"), "core")
+    rows = places.join(held, "id").select(*key, "i", "j", "id", "first", "bands", "grams", "copies", "core")
+    dealt = rows.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j", "id")
+    verified = dealt.mapInArrow(tile_links(similarity), "id long, other long, n long")
+    own = core.join(held.select("id", F.col("copies").alias("own")), "id")
+    groups = own.groupBy("core").agg(F.sum("own").alias("all"), F.min("id").alias("lead"), F.count("*").alias("copies"))
+    star = by_share(own, groups, "core", core.count())
+    inside = star.select("id", F.explode(F.array(F.struct(F.lit(None).cast("long").alias("other"), (F.col("all") - F.col("own")).alias("n")), F.struct(F.col("lead").alias("other"), F.lit(0).cast("long").alias("n")))).alias("e")).select("id", "e.*")
+    return verified.union(inside.where("other is null or other <> id"))
 
 
 def grouped(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
