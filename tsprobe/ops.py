@@ -38,7 +38,7 @@ from tsprobe.operators.checks import class_coverage, cross_dataset, dataset_stat
 # evaluation
 from tsprobe.operators.metrics import (  # noqa: F401
     classification_metrics, confusion, correct_flag, fill_forecast, forecast_error_pooled, forecast_error_rows, forecast_pairs,
-    metrics_from_cells, next_lookback, pass_at_k, running_accuracy, running_mae, vote, with_empty_runs,
+    metrics_from_cells, next_lookback, pass_at_k, running_accuracy, running_mae, vote, vote_list, with_empty_runs,
 )
 from tsprobe.operators.bootstrap import bootstrap_ci, bootstrap_hash_scores, bootstrap_scores, interval  # noqa: F401
 from tsprobe.operators.progress import (  # noqa: F401
@@ -66,8 +66,8 @@ from tsprobe.operators.qa import (  # noqa: F401
 # vectors and probes
 from tsprobe.functions.vectors import cosine_distance, euclidean_distance, l2_normalise, manhattan_distance  # noqa: F401
 from tsprobe.operators.vectors import masked_mean_pool, select_layer, tail_patch_pool, vector_mean  # noqa: F401
-from tsprobe.operators.knn import knn_cv, knn_grid, knn_predict, nearest  # noqa: F401
-from tsprobe.operators.probes import logistic_probe, logistic_probe_layers, ridge_probe, ridge_time_probe  # noqa: F401
+from tsprobe.operators.knn import knn_cv, knn_grid, knn_predict, nearest, nearest_approximate, recall, visited_pairs  # noqa: F401
+from tsprobe.operators.probes import logistic_probe, logistic_probe_layers, ridge_layers, ridge_probe, ridge_time_probe  # noqa: F401
 
 # streams
 from tsprobe.streaming.live import (  # noqa: F401
