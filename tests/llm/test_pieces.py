@@ -368,6 +368,23 @@ def test_links_of_dense_groups(spark):
         assert len({find(i) for i in id_of.values()}) >= 11
     dense = ngram_join.dense(saved(ngram_join.buckets(classes)), saved(ngram_join.full_sets(df, classes.select("id", "mark", "copy_id"))), 0.8, 16).collect()
     assert len(dense) > 40 and len({r["core"] for r in dense}) <= 4
+    met = saved(ngram_join.buckets(classes))
+    held = saved(ngram_join.full_sets(df, classes.select("id", "mark", "copy_id")))
+    meeting, spots = ngram_join.places_of(met, saved(ngram_join.agreed_on(met, held, 16)))
+    rows = meeting.toPandas()
+    joint, spots = rows[rows.band == -1], spots.toPandas()
+    assert len(joint) >= 50 and not rows.duplicated().any() and len(rows) < met.count()
+    assert sorted((r.id, x) for r in spots.itertuples() for x in r.spots) == sorted(zip(joint.id, joint.bucket, strict=True))
+
+
+def test_buckets_of_a_shared_passage_stay_apart(spark):
+    """One consensus over buckets that share few members: joining them would make more rows, so each is a place of its own."""
+    met = spark.createDataFrame([(100 * b + i, b, 7, 20) for b in range(4) for i in range(20)] + [(900 + i, b, 8, 20) for b in range(4) for i in range(20)], "id long, band int, bucket long, members long")
+    agreed = spark.createDataFrame([(b, 7, 20, 1, b"a") for b in range(4)] + [(b, 8, 20, 2, b"b") for b in range(4)], "band int, bucket long, members long, core long, grams binary")
+    meeting, spots = ngram_join.places_of(met, agreed)
+    rows = meeting.toPandas()
+    assert sorted(rows[rows.band == -1].id) == [900 + i for i in range(20)] and (rows[rows.band == -1].bucket == 2).all()
+    assert len(rows) == 100 and spots.count() == 20
 
 
 def test_near_copies_of_a_hot_group_are_alike(spark):

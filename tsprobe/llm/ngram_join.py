@@ -10,9 +10,11 @@ bounded slices.
 Large groups of near copies need no pair by pair check, because the Jaccard distance is a metric: of a bucket with more than
 one chunk the n-grams that most of a sample have are its consensus, and members within half the allowed distance of one
 and the same consensus are all linked to each other. They are counted by their number, as one star; only what
-is further off meets all others in tiles. The tiles then grow with the members of a bucket, times the few that stray.
- No pair leaves the tile: it returns the number of links of each member and a spanning forest of the
-links, from which groups (connected components) are found by repeated joins.
+is further off meets all others in tiles. One group of near copies fills a large bucket in many bands, with mostly the
+same members: large buckets of one consensus are one place, with each member once, wherever that makes fewer rows than the
+buckets apart. The tiles then grow with the members of a place, times those that stray. No pair leaves the tile: it
+returns the number of links of each member and a spanning forest of the links, from which groups (connected components)
+are found by repeated joins.
 
 Result: one row per document: doc_id, class_id (least id of its group), copy_id (least id with the same text) and
 n_links, the number of other documents that it is linked to: its own copies, and every copy of a linked text.
@@ -139,7 +141,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, similarity: float, width: i
 def tile_links(similarity: float):
     """Rows of one tile after the other to link counts and forest edges."""
 
-    def one(band: int, diagonal: bool, bucket: list) -> tuple[list, list, list]:
+    def one(band: int, bucket_id: int, diagonal: bool, bucket: list) -> tuple[list, list, list]:
         ids = np.array([r[0] for r in bucket], np.int64)
         known = np.array([r[5] is not None for r in bucket], bool)  # in a dense group, whose links are counted elsewhere
         core = np.array([r[5] or 0 for r in bucket], np.int64)
@@ -151,8 +153,13 @@ def tile_links(similarity: float):
             return [], [], []
         left = np.flatnonzero(chunk)
         first = np.ones((len(left), len(ids)), bool)
-        for b in range(band):  # pairs that meet in an earlier band are verified there
+        for b in range(max(band, 0)):  # pairs that meet in an earlier band are verified there
             first &= hashes[left, b][:, None] != hashes[None, :, b]
+        for place in sorted({x for r in bucket for x in r[6]}):  # and so are pairs that meet in an earlier place
+            if band < 0 and place >= bucket_id:
+                break
+            here = np.array([place in r[6] for r in bucket], bool)
+            first &= ~(here[left][:, None] & here[None, :])
         first &= ids[left][:, None] != ids[None, :]
         first &= ~(known[left][:, None] & known[None, :] & (core[left][:, None] == core[None, :]))
         if not diagonal:
@@ -185,7 +192,7 @@ def tile_links(similarity: float):
         key, rows = None, []
 
         def out():
-            ids, counts, edges = one(key[0], key[2] == key[3], rows) if len(rows) > 1 else ([], [], [])
+            ids, counts, edges = one(key[0], key[1], key[2] == key[3], rows) if len(rows) > 1 else ([], [], [])
             a = ids + [x for x, _ in edges]
             b = [None] * len(ids) + [y for _, y in edges]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(counts + [0] * len(edges), pa.int64())], names=["id", "other", "n"])
@@ -198,7 +205,7 @@ def tile_links(similarity: float):
                     if len(rows) > 1:
                         yield out()
                     key, rows = k, []
-                rows.append((batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), np.array(batch.column(6)[i].as_py(), np.int64), batch.column(7)[i].as_py(), batch.column(8)[i].as_py(), batch.column(9)[i].as_py()))
+                rows.append((batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), np.array(batch.column(6)[i].as_py(), np.int64), batch.column(7)[i].as_py(), batch.column(8)[i].as_py(), batch.column(9)[i].as_py(), batch.column(10)[i].as_py()))
         if len(rows) > 1:
             yield out()
 
@@ -217,11 +224,12 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def consensus(rows: pa.Table) -> pa.Table:
-    """The n-grams that more than half of a bucket's sample have, and a hash that names them."""
+    """The n-grams that more than half of a bucket's sample have, and a hash that names them (or the bucket, if there are none)."""
     grams, n = np.unique(np.concatenate([np.frombuffer(g, np.uint64) for g in rows.column("grams").to_pylist()]), return_counts=True)
     most = grams[2 * n > len(rows)].tobytes()
+    named = most or b"%d %d" % (rows.column("band")[0].as_py(), rows.column("bucket")[0].as_py())
     one = {name: rows.column(name)[:1] for name in ("band", "bucket", "members")}
-    return pa.table({**one, "core": pa.array([xxhash.xxh3_64_intdigest(most)], pa.uint64()).view(pa.int64()), "grams": pa.array([most], pa.binary())})
+    return pa.table({**one, "core": pa.array([xxhash.xxh3_64_intdigest(named)], pa.uint64()).view(pa.int64()), "grams": pa.array([most], pa.binary())})
 
 
 def within(least: float):
@@ -245,7 +253,15 @@ def within(least: float):
     return run
 
 
-def dense(met: DataFrame, held: DataFrame, similarity: float, chunk_rows: int, sample_rows: int = 64, part_rows: int = 1000) -> DataFrame:
+def agreed_on(met: DataFrame, held: DataFrame, chunk_rows: int, sample_rows: int = 64) -> DataFrame:
+    """band, bucket, members, core and grams: the consensus of each bucket of more than ``chunk_rows`` members."""
+    key = ["band", "bucket"]
+    turn = Window.partitionBy(*key).orderBy(F.xxhash64("id", F.lit("sample")), "id")
+    sample = met.where(F.col("members") > chunk_rows).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample_rows)
+    return sample.join(held.select("id", "grams"), "id").groupBy(*key).applyInArrow(consensus, "band int, bucket long, members long, core long, grams binary")
+
+
+def dense(met: DataFrame, held: DataFrame, similarity: float, chunk_rows: int, agreed: DataFrame | None = None, part_rows: int = 1000) -> DataFrame:
     """id and core of the members of large buckets that are so near to a consensus that those of one core are all linked.
 
     A member is compared with the consensus of its largest bucket. Buckets of one group of near copies mostly have the very
@@ -253,9 +269,7 @@ def dense(met: DataFrame, held: DataFrame, similarity: float, chunk_rows: int, s
     """
     key = ["band", "bucket"]
     large = met.where(F.col("members") > chunk_rows)
-    turn = Window.partitionBy(*key).orderBy(F.xxhash64("id", F.lit("sample")), "id")
-    sample = large.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample_rows).join(held.select("id", "grams"), "id")
-    agreed = sample.groupBy(*key).applyInArrow(consensus, "band int, bucket long, members long, core long, grams binary")
+    agreed = agreed_on(met, held, chunk_rows) if agreed is None else agreed
     parts = F.ceil(F.col("members") / part_rows).cast("int")
     given = agreed.select(*key, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("turn"), F.col("core").alias("id"), "grams")
     choice = large.groupBy("id").agg(F.max(F.struct("members", (-F.col("band")).alias("b"), "bucket", "band")).alias("c")).select("id", "c.*").drop("b")
@@ -265,6 +279,24 @@ def dense(met: DataFrame, held: DataFrame, similarity: float, chunk_rows: int, s
     return sorted_.mapInArrow(within(1 - (1 - similarity) / 2), "id long, core long")
 
 
+def places_of(met: DataFrame, agreed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where members meet: id, band, bucket; and id, spots: the joint places of a member, in order.
+
+    A joint place stands for all large buckets of one core; its band is -1 and its bucket the core. Buckets are joined where
+    the square of their distinct members is at most the sum of the squares of their members.
+    """
+    key = ["band", "bucket"]
+    of_core = met.join(agreed.select(*key, "core"), key)
+    distinct = of_core.select("core", "id").distinct()
+    size = distinct.groupBy("core").agg(F.count("*").cast("double").alias("distinct"))
+    apart = agreed.groupBy("core").agg(F.sum(F.col("members").cast("double") * F.col("members")).alias("squares"))
+    joint = saved(size.join(apart, "core").where(F.col("distinct") * F.col("distinct") <= F.col("squares")).select("core"))
+    inside = saved(distinct.join(joint, "core"))
+    rest = met.join(agreed.join(joint, "core").select(*key), key, "left_anti").select("id", *key)
+    spots = inside.groupBy("id").agg(F.sort_array(F.collect_list("core")).alias("spots"))
+    return rest.union(inside.select("id", F.lit(-1).alias("band"), F.col("core").alias("bucket"))), spots
+
+
 def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, chunk_rows: int = 128, chunk_bytes: int = 1 << 20) -> DataFrame:
     """id, other, n: link counts (other is null), and the edges of a spanning forest of each tile and of each dense group.
 
@@ -274,8 +306,11 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, c
     met = saved(buckets(classes))
     held = full_sets(docs, classes.join(met.select("id").distinct(), "id").select("id", "mark", "copy_id"))
     held = saved(held.join(classes.select("id", "bands", "copies"), "id"))
-    core = saved(dense(met, held, similarity, chunk_rows))
-    sized = met.join(held.select("id", F.octet_length("grams").alias("size")), "id").join(core, "id", "left")
+    agreed = saved(agreed_on(met, held, chunk_rows))
+    core = saved(dense(met, held, similarity, chunk_rows, agreed))
+    meeting, spots = places_of(met, agreed)
+    held = saved(held.join(spots, "id", "left").withColumn("spots", F.coalesce("spots", F.array().cast("array<long>"))))
+    sized = meeting.join(held.select("id", F.octet_length("grams").alias("size")), "id").join(core, "id", "left")
     counted = sized.where("core is not null").groupBy(*key, "core").agg(F.count("*").alias("n"))
     most = counted.groupBy(*key).agg(F.max_by("core", F.struct("n", "core")).alias("top"))
     in_top = F.coalesce(F.col("core") == F.col("top"), F.lit(False))
@@ -289,7 +324,7 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, c
     meets = F.when(F.col("dense"), F.col("apart")).otherwise(F.col("apart") + F.col("together"))
     tiles = mine.withColumn("c", chunk).withColumn("k", F.explode(F.sequence(F.lit(0), meets - 1)))
     places = tiles.select("id", *key, F.least("c", "k").alias("i"), F.greatest("c", "k").alias("j"), (F.col("c") <= F.col("k")).alias("first"), "core")
-    rows = places.join(held, "id").select(*key, "i", "j", "id", "first", "bands", "grams", "copies", "core")
+    rows = places.join(held, "id").select(*key, "i", "j", "id", "first", "bands", "grams", "copies", "core", "spots")
     dealt = rows.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j", "id")
     verified = dealt.mapInArrow(tile_links(similarity), "id long, other long, n long")
     own = core.join(held.select("id", F.col("copies").alias("own")), "id")
