@@ -1,8 +1,10 @@
 """Parts of the operators by themselves, on edge cases."""
 
 import glob
+import gzip
 import random
 import uuid
+import zlib
 from collections import Counter
 from functools import partial
 
@@ -10,6 +12,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ from tsprobe.llm.suffix_dedup import dedup
 from tsprobe.llm.suffix_tree import score
 from tsprobe.llm.token_counts import count_tokens
 from tsprobe.llm.two_stage import common_prefixes, least_owners, suffix_array
-from tsprobe.llm.warc import derive, parse_records, plain_text, responses
+from tsprobe.llm.warc import RESPONSE, derive, digest, parse_records, plain_text, responses
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, id long, bands string, size string, quality int"
 LONG = " ".join(f"word{i % 997}x{i % 31}" for i in range(30_000))
@@ -496,3 +499,49 @@ def test_warc_round_trip(spark):
     assert headers["WARC-Concurrent-To"] == names["metadata"].record_id
     assert block.decode() == "A & B\nOne\ntwo\nthree" == plain_text(page)
     assert b"title: A & B\r\n" in bytes(names["metadata"].record_bytes)
+
+
+def test_warc_keeps_status_and_headers_and_decodes_entities(spark):
+    """Responses as servers send them: statuses, charsets, chunks and content codings, whole, cut and broken."""
+    page = "<title>caf\u00e9</title><p>one &amp; caf\u00e9</p>"
+    want, utf8 = "caf\u00e9\none & caf\u00e9", page.encode()
+    flat = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = flat.compress(utf8) + flat.flush()
+    chunked = b"5;x=y\r\n" + utf8[:5] + b"\r\n" + b"%X\r\n" % len(utf8[5:]) + utf8[5:] + b"\r\n0\r\nTrailer: t\r\n\r\n"
+    zipped = gzip.compress(utf8)
+    cases = [
+        (b"404 Not Found", b"Content-Type: text/html; charset=ISO-8859-1\r\nServer: s/1", page.encode("latin-1"), want, "true"),
+        (b"200 OK", b"Content-Type: text/html\r\nContent-Encoding: gzip", zipped[:], want, "true"),
+        (b"200 OK", b"content-encoding: GZIP\r\ntransfer-encoding: chunked", b"%x\r\n" % len(zipped) + zipped + b"\r\n0\r\n\r\n", want, "true"),
+        (b"200 OK", b"Content-Encoding: x-gzip", gzip.compress(utf8[:9]) + gzip.compress(utf8[9:]), want, "true"),
+        (b"200 OK", b"Transfer-Encoding: chunked", chunked, want, "true"),
+        (b"200 OK", b"Transfer-Encoding: chunked", chunked[: chunked.index(b"0\r\nTrailer")], want, "false"),
+        (b"200 OK", b"Content-Encoding: deflate", zlib.compress(utf8), want, "true"),
+        (b"200 OK", b"Content-Encoding: deflate", raw, want, "true"),
+        (b"200 OK", b"Content-Encoding: deflate, gzip", gzip.compress(raw), want, "true"),
+        (b"200 OK", b"Content-Encoding: zstd", zstandard.compress(utf8), want, "true"),
+        (b"200 OK", b"Content-Encoding: br", b"\x8b\x02\x80ab\x03", "", "false"),
+        (b"200 OK", b"Content-Encoding: gzip", b"no gzip", "", "false"),
+        (b"200 OK", b"Content-Type: text/html", b"<meta charset='windows-1252'>" + page.encode("cp1252"), want, "true"),
+        (b"200 OK", b"Content-Type: text/html; charset=no-such", b"\xff\xfe" + page.encode("utf-16-le"), want, "true"),
+        (b"200 OK", b"Content-Type: text/html; charset=no-such", utf8, want, "true"),
+        (b"200 OK", b"Content-Type: text/plain", b"a <b>\r\nc", "a <b>\nc", "true"),
+        (b"200 OK", b"Content-Type: image/png", b"\x89PNG", "", "true"),
+        (b"204 No Content", b"X-Long: a\r\n b\r\nX-Long: c", b"", "", "true"),
+    ]
+    rows = []
+    for i, (status, head, payload, _, _) in enumerate(cases):
+        block = b"HTTP/1.1 " + status + b"\r\n" + head + b"\r\n\r\n" + payload
+        rows.append((i, f"<urn:{i}>", None, None, None, bytearray(block), digest(block), digest(payload), [("WARC-IP-Address", "192.0.2.1"), (None, "x")]))
+    rows += [(98, "<urn:98>", None, None, None, bytearray(b"<p>bare</p>"), None, None, None), (99, None, None, None, None, None, None, None, None)]
+    archive = spark.createDataFrame(rows, RESPONSE + ", source_headers array<struct<name: string, value: string>>")
+    got = {(r.page_id, r.record_type): next(parse_records(bytes(r.record_bytes)))[1].decode() for r in derive(archive).collect()}
+    assert len(got) == 2 * len(rows)
+    for i, (status, head, _, text, whole) in enumerate(cases):
+        about = got[i, "metadata"].splitlines()
+        assert got[i, "conversion"] == text, i
+        assert f"httpStatus: {status.decode()}" in about and f"entityDecoded: {whole}" in about
+        assert [x for x in about if x.startswith("httpHeader: ")] == [f"httpHeader: {x}" for x in head.decode().replace("\r\n ", " ").split("\r\n")]
+        assert "payloadMatchesDigest: true" in about and "sourceRecordHeader: WARC-IP-Address: 192.0.2.1" in about
+    assert got[98, "conversion"] == "bare" and "httpStatus" not in got[98, "metadata"]
+    assert got[99, "conversion"] == ""

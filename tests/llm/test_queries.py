@@ -1,6 +1,8 @@
 """Contract queries on a small table against plain Python."""
 
+import base64
 import hashlib
+import html
 import math
 import re
 import zlib
@@ -13,6 +15,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tsprobe.llm.queries import QUERIES
+from tsprobe.llm.warc import parse_records
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -184,3 +187,24 @@ def test_mix(got, docs):
         assert g.taken.sum() == pytest.approx(target[s], rel=0.01)
     assert (a.taken <= 3 * a["size"]).all()
     assert a.equals(got("op10_mix_sources"))
+
+
+def test_warc_derivatives(spark, sf_dir):
+    """Every page gives one metadata and one conversion record that refer to its response."""
+    rows = QUERIES["op7_warc_derivatives"](spark, sf_dir).toPandas()
+    pages = pd.read_parquet(f"{sf_dir}/pages.parquet").set_index("page_id")
+    assert sorted(zip(rows.page_id, rows.record_type)) == sorted((i, k) for i in pages.index for k in ("conversion", "metadata"))
+    assert rows.record_id.is_unique and (rows.groupby("page_id").refers_to.nunique() == 1).all()
+    tag, drop = re.compile(r"<[^>]*>"), re.compile(r"<!--.*?-->|<script.*?</script>|<style.*?</style>", re.S)
+    for r in rows.itertuples():
+        page = pages.loc[r.page_id]
+        ((headers, block),) = parse_records(bytes(r.record_bytes))
+        sha = "sha1:" + base64.b32encode(hashlib.sha1(page.html.encode()).digest()).decode()
+        assert headers["WARC-Refers-To"] == r.refers_to and headers["WARC-Target-URI"] == page.url and len(block) == r.content_length
+        assert r.source_payload_digest == headers["WARC-Source-Payload-Digest"] == sha
+        assert headers["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        if r.record_type == "conversion":
+            assert "".join(block.decode().split()) == "".join(html.unescape(tag.sub(" ", drop.sub(" ", page.html))).split())
+        else:
+            assert b"httpStatus: 200 OK\r\nhttpHeader: Content-Type: text/html; charset=utf-8\r\n" in block
+            assert b"payloadMatchesDigest: true" in block and b"entityDecoded: true" in block

@@ -5,7 +5,15 @@ Both keep the response's target, date and digests; ``WARC-Refers-To`` is the res
 names its metadata sibling as concurrent. Record ids are name-based UUIDs of what the record holds and refers to, so
 reruns and retries give the same ids. ``record_bytes`` has the whole record; ``parse_records`` reads such bytes back.
 
-A null page is an empty payload; a null url leaves the target header out; a null page_id stays null. Repeated pages give
+The metadata keeps what the source said: its HTTP status and every HTTP header in order, and the headers of the source
+record where the archive has a column ``source_headers`` (array of name and value). The text is made of the entity that a reader
+sees: chunks are joined, gzip, deflate and zstd undone, and the characters decoded by the byte order mark, the charset of the
+Content-Type header, that of a meta element, or UTF-8, with U+FFFD for bytes that no character has. HTML and unnamed types lose
+their markup, other text types stay as they are, and types that are no text give an empty conversion. A coding that is broken or
+unknown gives an empty conversion and ``entityDecoded: false``; a payload that ends early keeps what can be decoded, and
+says so too.
+
+A null block or page is an empty payload; a null url leaves the target header out; a null page_id stays null. Repeated pages give
 the same records again. Other columns are not read. Payloads of any length are converted whole. An empty table gives none.
 """
 
@@ -16,9 +24,12 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +42,10 @@ TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
 BLANKS = re.compile(r"[ \t\r\f\v ]+")
 TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
 LANGUAGE = re.compile(r"<html[^>]*\blang=[\"']?([A-Za-z-]+)", re.I)
+META_CHARSET = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
+CHARSET = re.compile(r"\bcharset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+MARKUP = {"", "text/html", "application/xhtml+xml", "text/xml", "application/xml"}
 LINK = re.compile(r"<a\b[^>]*\bhref=", re.I)
 
 
@@ -96,10 +111,109 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def payload_of(block: bytes) -> bytes:
-    """The payload of an HTTP response; a block without its headers is all payload."""
-    head, found, body = block.partition(b"\r\n\r\n")
-    return body if found and head.startswith(b"HTTP/") else block
+class Response(NamedTuple):
+    """An HTTP response: status (None for a block that is all payload), headers in order, payload as it was sent."""
+
+    status: str | None
+    headers: list[tuple[str, str]]
+    payload: bytes
+
+    def header(self, name: str) -> str:
+        """The values of a header, joined by commas; empty if there is none."""
+        return ", ".join(v for k, v in self.headers if k.lower() == name)
+
+
+def response_of(block: bytes) -> Response:
+    """Status line, headers and payload of a block; one without an HTTP status line is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return Response(None, [], block)
+    end = re.search(rb"\r?\n\r?\n", block)
+    head, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    first, *lines = re.split(r"\r?\n", re.sub(r"\r?\n[ \t]+", " ", head.decode("latin-1")))
+    named = [line.partition(":") for line in lines if ":" in line]
+    return Response(first.partition(" ")[2].strip(), [(k.strip(), v.strip()) for k, _, v in named], payload)
+
+
+def joined_chunks(data: bytes) -> tuple[bytes, bool]:
+    """The chunks of a chunked payload in one, and whether it is whole."""
+    parts, at = [], 0
+    while (end := data.find(b"\n", at)) >= 0:
+        size = data[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            break
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(parts), True
+        parts.append(data[end + 1 : end + 1 + n])
+        at = end + 1 + n
+        if at > len(data):
+            break
+        at += 2 if data[at : at + 2] == b"\r\n" else 1
+    return b"".join(parts), False
+
+
+def unpacked(data: bytes, coding: str) -> tuple[bytes, bool]:
+    """``data`` without one content coding, as far as it can be decoded, and whether it was whole."""
+    if coding in ("", "identity"):
+        return data, True
+    try:
+        if coding in ("gzip", "x-gzip"):
+            out, rest = [], data
+            while rest:  # a gzip file may have several members
+                one = zlib.decompressobj(31)
+                out.append(one.decompress(rest) + one.flush())
+                if not one.eof:
+                    return b"".join(out), False
+                rest = one.unused_data.lstrip(b"\0")
+            return b"".join(out), True
+        if coding == "deflate":  # with or without the header of zlib
+            wrapped = len(data) > 1 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+            one = zlib.decompressobj(15 if wrapped else -15)
+            return one.decompress(data) + one.flush(), one.eof or not data
+        if coding == "zstd":
+            return zstandard.ZstdDecompressor().decompressobj().decompress(data), True
+    except (zlib.error, zstandard.ZstdError):
+        pass
+    return b"", False
+
+
+def entity_of(response: Response) -> tuple[bytes, bool]:
+    """The entity behind the transfer and content codings, and whether all of them could be undone."""
+    data, whole = response.payload, True
+    if "chunked" in response.header("transfer-encoding").lower():
+        data, whole = joined_chunks(data)
+    for coding in reversed(response.header("content-encoding").lower().split(",")):
+        data, good = unpacked(data, coding.strip())
+        whole &= good
+    return data, whole
+
+
+def characters_of(entity: bytes, content_type: str) -> tuple[str, str]:
+    """The entity as text, and the name of the charset that it was read by."""
+    for mark, name in MARKS:
+        if entity.startswith(mark):
+            return entity[len(mark) :].decode(name, "replace"), name
+    said, meta = CHARSET.search(content_type), META_CHARSET.search(entity)
+    for name in (said[1] if said else None, meta[1].decode() if meta else None, "utf-8"):
+        if name:
+            if name.lower() in ("iso-8859-1", "latin1", "latin-1", "us-ascii", "ascii"):  # as browsers read these
+                name = "windows-1252"
+            try:
+                return entity.decode(name, "replace"), name.lower()
+            except (LookupError, UnicodeError, ValueError):
+                continue
+    raise AssertionError("UTF-8 decodes all bytes")
+
+
+def text_of(response: Response) -> tuple[str, str, str | None, bool]:
+    """Page, plain text, charset and whether the entity could be decoded; types that are no text have no page."""
+    entity, whole = entity_of(response)
+    said = response.header("content-type")
+    kind = said.partition(";")[0].strip().lower()
+    if kind not in MARKUP and not kind.startswith("text/"):
+        return "", "", None, whole
+    page, charset = characters_of(entity, said)
+    return page, plain_text(page) if kind in MARKUP else page.replace("\r\n", "\n"), charset, whole
 
 
 def derive(archive: DataFrame) -> DataFrame:
@@ -109,13 +223,16 @@ def derive(archive: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                payload = payload_of(r["block"] or b"")
-                page = payload.decode("utf-8", "replace")
-                body = plain_text(page).encode()
+                response = response_of(r["block"] or b"")
+                page, seen, charset, whole = text_of(response)
+                body = seen.encode("utf-8", "replace")
                 title, language = TITLE.search(page), LANGUAGE.search(page)
                 fields = [
                     ("sourceRecord", r["record_id"]), ("sourceContentType", r["content_type"]), ("sourceBlockDigest", r["block_digest"]), ("sourcePayloadDigest", r["payload_digest"]),
-                    ("sourceContentLength", str(len(r["block"] or b""))), ("payloadMatchesDigest", str(digest(payload) == r["payload_digest"]).lower()),
+                    ("sourceContentLength", str(len(r["block"] or b""))), ("payloadMatchesDigest", str(digest(response.payload) == r["payload_digest"]).lower()),
+                    *(("sourceRecordHeader", f"{h['name']}: {h['value']}") for h in r["source_headers"] or () if h and h["name"] and h["value"] is not None),
+                    ("httpStatus", response.status), *(("httpHeader", f"{k}: {v}") for k, v in response.headers),
+                    ("charset", charset), ("entityDecoded", str(whole).lower()),
                     ("title", html.unescape(title[1]) if title else None), ("language", language[1] if language else None), ("outlinks", str(len(LINK.findall(page)))),
                 ]
                 about = "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields if v is not None).encode()
@@ -130,4 +247,5 @@ def derive(archive: DataFrame) -> DataFrame:
                     rows.append((r["page_id"], kind, name, r["record_id"], r["target_uri"], len(block), mark, r["payload_digest"], data))
             yield batch_of(rows, DERIVED)
 
-    return archive.select("page_id", "record_id", "target_uri", "date", "content_type", "block", "block_digest", "payload_digest").mapInArrow(made, DERIVED)
+    headers = "source_headers" if "source_headers" in archive.columns else F.lit(None).cast("array<struct<name:string,value:string>>").alias("source_headers")
+    return archive.select(headers, "page_id", "record_id", "target_uri", "date", "content_type", "block", "block_digest", "payload_digest").mapInArrow(made, DERIVED)
