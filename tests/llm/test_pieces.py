@@ -31,7 +31,7 @@ from tsprobe.llm.quality_rules import clean
 from tsprobe.llm.queries import QUERIES
 from tsprobe.llm.suffix_dedup import dedup
 from tsprobe.llm.suffix_tree import score
-from tsprobe.llm.token_counts import count_tokens
+from tsprobe.llm.token_counts import count_tokens, frequent_pretokens
 from tsprobe.llm.two_stage import common_prefixes, least_owners, suffix_array
 from tsprobe.llm.warc import RESPONSE, derive, digest, parse_records, plain_text, responses
 
@@ -478,6 +478,19 @@ def test_whole_documents_meet_their_targets(spark):
         assert words[s.name] == pytest.approx(s.target, rel=0.01)
 
 
+def test_frequent_pretokens_are_added_up_in_a_tree(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)] + ["x" * 63, "y" * 64, "\u00e9t\u00e9", "\u2028z"]
+    texts = ["a " + " ".join(rng.choices(words, weights=range(1, 65), k=400)) for _ in range(90)] + ["", "one", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(37)
+    count = Counter(w for t in texts for w in (t or "").split(" ")[1:])
+    got = frequent_pretokens(df, fan_in=3)
+    assert "y" * 64 not in got and "x" * 63 in got and {"\u00e9t\u00e9", "\u2028z"} <= set(got)
+    assert len(got) == len(set(got)) and set(got) >= {w for w, n in count.items() if n > 90 and w != "y" * 64}
+    assert set(frequent_pretokens(df, table_size=10)) <= {w for w, _ in count.most_common(30)}
+    assert frequent_pretokens(df.limit(0)) == []
+
+
 def test_warc_round_trip(spark):
     page = "<html lang='de'><head><title>A &amp; B</title><script>var x='<p>no</p>'</script></head><body><p>One<br>two</p><a href='/x'>three</a><!-- gone --></body></html>"
     pages = [(1, "http://a.example/x", page), (2, None, None), (None, "http://b.example/", ""), (3, "http://a.example/\nX-Bad: 1", "plain & <b>bold</b>")]
