@@ -80,6 +80,20 @@ def test_pending(rows):
     assert sorted(map(tuple, got)) == [(0, 1), (1, 0), (1, 2)]
 
 
+def test_pending_keeps_the_log_off_the_driver(spark, rows):
+    log = [(i, a) for i in range(6) for a in range(130) if (i * a) % 7 != 3] + [(2, None), (None, 1), (4, 500), (5, -1), (0, 0)]
+    done = rows("idx int, attempt int", log)
+    ids = rows("idx int", [(i,) for i in range(7)] + [(3,), (None,)])
+    out = progress.pending_attempts(ids, done, "idx", 130)
+    want = [(i, a) for i in [*range(7), 3, None] for a in range(130) if i is None or (i, a) not in log]
+    key = str
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    # an estimate of the log's size says little of what an explode makes of it: no side is broadcast
+    small = progress.pending_attempts(spark.range(50), done.select(F.col("idx").alias("id"), "attempt"), "id", 20)
+    for df in (out, small):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_t_quantile():
     # 0.975 quantiles from printed t tables
     for dof, want in ((1, 12.706), (2, 4.303), (5, 2.571), (10, 2.228), (30, 2.042), (120, 1.980), (1000, 1.962)):

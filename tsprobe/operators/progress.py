@@ -8,11 +8,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tsprobe.operators.ordering import null_safe_join, positions
 
+#: attempts per bit mask
+MASK_BITS = 63
+
 
 def pending_attempts(expected: DataFrame, done: DataFrame, idx: str, n: int) -> DataFrame:
-    """(idx, attempt) pairs of 0..n-1 that are not logged yet."""
-    wanted = expected.select(idx, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("attempt"))
-    return wanted.join(done.select(idx, "attempt"), [idx, "attempt"], "left_anti")
+    """(idx, attempt) pairs of 0..n-1 that are not logged yet.
+
+    The log is reduced to one bit mask for every ``MASK_BITS`` attempts of an id before it moves, and masks meet ids in a
+    sort-merge join: Spark's estimate of an exploded log is far below its size, and a broadcast of it fills the driver.
+    """
+    attempt = F.col("attempt").cast("bigint")
+    valid = (F.col("attempt") == attempt) & attempt.between(0, n - 1)
+    logged = done.where(valid).select(F.col(idx).alias("_idx"), F.floor(attempt / MASK_BITS).cast("int").alias("_m"), F.expr(f"shiftleft(1L, CAST(pmod(attempt, {MASK_BITS}) AS INT))").alias("_bit"))
+    masks = logged.groupBy("_idx", "_m").agg(F.bit_or("_bit").alias("_mask")).hint("merge")
+    wanted = expected.select(idx, F.explode(F.sequence(F.lit(0), F.lit((n - 1) // MASK_BITS))).alias("_w"))
+    joined = wanted.join(masks, (wanted[idx] == masks["_idx"]) & (F.col("_w") == F.col("_m")), "left")
+    first = F.col("_w") * MASK_BITS
+    last = F.least(first + (MASK_BITS - 1), F.lit(n - 1))
+    tried = joined.select(wanted[idx], F.coalesce("_mask", F.lit(0).cast("bigint")).alias("_mask"), F.explode(F.sequence(first, last)).alias("attempt"))
+    return tried.where(F.getbit("_mask", F.pmod("attempt", F.lit(MASK_BITS))) == 0).select(idx, "attempt")
 
 
 def attempt_progress(log: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:
