@@ -70,6 +70,43 @@ def test_knn_hot_duplicates(spark):
     assert [r["nb_idx"] for r in got] == [3, 6, 9, 12, 15]
 
 
+def test_knn_rows_travel_once_for_each_place(spark, monkeypatch):
+    # no clusters: nothing can be pruned, and 20 cells fit two places
+    monkeypatch.setattr(knn, "PIVOT_ROWS", 20)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 8 * 16 * 240)
+    x = np.random.default_rng(6).normal(size=(480, 16))
+    df = spark.createDataFrame([(i, 0, x[i].tolist()) for i in range(480)], "idx long, y int, vec array<double>").cache()
+    cells, dealt, asked, again, found = knn._rounds(df.where("idx >= 80"), df.where("idx < 80"), 5, "cosine", False)
+    assert len(cells.pivots) == 20 and cells.places == 2
+    assert asked.count() == 80 and again.count() <= 80  # once for each cell before: 20 times
+    assert found.count() == 80 * 5 and dealt.count() == 400 * dealt.agg(F.max("part") + 1).first()[0]
+
+
+def test_knn_keeps_few_rows_in_python(monkeypatch):
+    # equal train rows, a far origin and folds: held rows stay bounded and the answer is exact
+    monkeypatch.setattr(knn, "TILE_BYTES", 8 * 64 * 50)
+    rng = np.random.default_rng(8)
+    t = np.concatenate([np.repeat(rng.normal(size=(1, 4)), 300, axis=0), rng.normal(size=(300, 4))]) + 1e4
+    ids, home, folds = rng.permutation(600), rng.integers(0, 3, 600), rng.integers(0, 3, 600)
+    kept = knn._useful(t, home, ids, folds, 4)
+    assert len(kept) <= 300 + 9 * 4 and (np.diff(home[kept]) >= 0).all()
+    q, q_folds = np.concatenate([t[:1], rng.normal(size=(30, 4)) + 1e4]), rng.integers(0, 3, 31)
+    for metric in ("cosine", "euclidean", "manhattan"):
+        a, b = (knn._unit(q)[0], knn._unit(t)[0]) if metric == "cosine" else (q, t)
+        tile = knn._Tile(a, metric, 4, np.full(31, np.inf), q_folds)
+        for cell in range(3):
+            mine = kept[home[kept] == cell]
+            tile.meet(np.arange(31), b[mine], int(np.flatnonzero(kept == mine[0])[0]), ids[kept], folds[mine])
+        rows, found, dist = tile.settle(ids[kept])
+        assert tile.size <= 31 * 4
+        d = np.round(knn._distances(q, t, metric), 9)
+        d[q_folds[:, None] == folds[None, :]] = np.inf
+        for i in range(31):
+            assert dist[rows == i] == pytest.approx(np.sort(d[i])[:4], abs=2e-9)
+            if metric != "cosine":  # cosines at a far origin differ by less than their rounding
+                assert ids[kept[found[rows == i]]].tolist() == ids[np.lexsort((ids, d[i]))[:4]].tolist()
+
+
 def mllib(df, c, n):
     """The same objective by MLlib."""
     from pyspark.ml.classification import LogisticRegression
