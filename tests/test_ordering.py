@@ -123,3 +123,18 @@ def test_positions_property(spark, data, n):
     for k in {k for k, _ in data}:
         order = sorted((v + 0.0, i) for i, (kk, v) in enumerate(data) if kk == k)
         assert [got[i] for _, i in order] == list(range(len(order)))
+
+
+def test_segments_cut_without_moving_rows(spark, monkeypatch):
+    monkeypatch.setattr(o, "SAMPLED", 40)
+    monkeypatch.setattr(o, "ORDERED", 25)
+    data = [(g, (i * 7919) % 600, f"k{i % 3}") for g in (0, 1) for i in range(600)] + [(2, i, "x") for i in range(5)]
+    df = spark.createDataFrame(data, "g int, i long, s string").select("g", F.struct("i", "s").alias("id"))
+    starts = {0: [1, 100, 355, 599], 1: [300], 2: [2, 5, 9]}
+    got = df.withColumn("seg", o.segments(df, "g", ["id"], starts))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    placed = o.positions(got, ["g"], ["id"], "p").collect()
+    assert len(placed) == 1205 and all(r["seg"] == sum(r["p"] >= s for s in starts[r["g"]]) for r in placed)
+    twice = df.union(df)
+    with pytest.raises(ValueError, match="equal"):
+        o.segments(twice, "g", ["id"], {0: [101]})

@@ -350,7 +350,7 @@ def _shape(train: DataFrame, test: DataFrame) -> tuple[int, int, int]:
 def _parts(spark: SparkSession, asked: int, places: int, d: int) -> int:
     """Chunks of queries: of bounded bytes, and where tables are small so many that all cores have a place to search."""
     cores = spark.sparkContext.defaultParallelism
-    return max(1, -(-asked // _cap(d)), min(-(-asked // TILE_ROWS), -(-cores // max(1, places))))
+    return max(1, -(-asked // _cap(d)), min(-(-asked // TILE_ROWS), -(-2 * cores // max(1, places))))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

@@ -12,12 +12,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tsprobe.functions.hashing import HASH_RANGE, hash_key
 
 #: sampled rows per slice
 SAMPLE = 16
+#: rows that are sampled of a range, rows that are put in order, and how often a range is narrowed
+SAMPLED, ORDERED, LEVELS = 20_000, 200_000, 6
 #: positions per chunk for neighbour and running-total operators
 CHUNK = 1 << 16
 
@@ -112,6 +114,79 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     return out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_slice")
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)])
+    return F.lit(value).cast(kind)
+
+
+def segments(df: DataFrame, group: str, order: Sequence[str], starts: Mapping[int, Sequence[int]]) -> Column:
+    """The number of the segment of each row in its group, where segments begin at the positions ``starts[group]``.
+
+    Groups are integers, and positions are those of ``positions`` within a group. Rows are not moved: hashed samples of
+    bounded size narrow the range in which the last row of a segment lies, counts say exactly how many rows are below it,
+    and what is left of a range is put in order. The segment of a row is how many of these last rows are below it, an
+    expression over ``df`` of comparisons with constants. Rows that are equal in ``order`` on both sides of a cut cannot
+    be told apart by it; that raises ``ValueError``.
+    """
+    t, g_col = F.struct(*order), F.col(group)
+    rows = df.select(g_col, *order)
+    kind = rows.select(t.alias("t")).schema["t"].dataType
+    total = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    # of each cut the group and the position of the last row; a range above ``low`` up to ``high``, rows below and inside
+    cuts = [{"g": g, "p": r - 1, "low": None, "high": None, "below": 0, "n": total[g]} for g, each in starts.items() for r in sorted(set(each)) if 0 < r < total.get(g, 0)]
+
+    def within(g: int, low, high) -> Column:
+        out = g_col == g
+        if low is not None:
+            out = out & (t > _literal(low, kind))
+        return out if high is None else out & (t <= _literal(high, kind))
+
+    width = 4.0
+    for _ in range(LEVELS):
+        wide = [c for c in cuts if c["n"] > ORDERED]
+        if not wide:
+            break
+        ranges = {(c["g"], c["low"], c["high"]): c["n"] for c in wide}
+        share = [(within(*r), F.pmod(F.xxhash64(t, F.lit(width)), F.lit(max(1, n // SAMPLED)))) for r, n in ranges.items()]
+        seen = rows.where(reduce(lambda a, b: a | b, [inside & (h == 0) for inside, h in share]))
+        tagged = seen.select(t.alias("t"), F.array_compact(F.array(*[F.when(inside & (h == 0), i) for i, (inside, h) in enumerate(share)])).alias("i"))
+        drawn: dict = {r: [] for r in ranges}
+        for i, sample in tagged.select(F.explode("i").alias("i"), "t").groupBy("i").agg(F.sort_array(F.collect_list("t"))).collect():
+            drawn[list(ranges)[i]] = sample
+        tried = []
+        for c in wide:
+            sample = drawn[c["g"], c["low"], c["high"]]
+            at = (c["p"] - c["below"]) * len(sample) // c["n"]
+            off = int(width * (len(sample) ** 0.5 / 2 + 1))
+            low = sample[at - off] if 0 <= at - off < len(sample) else c["low"]
+            high = sample[at + off] if at + off < len(sample) else c["high"]
+            tried.append((c, low, high))
+        sums = [F.count_if(within(c["g"], None, low)) if low is not None else F.lit(0) for c, low, _ in tried]
+        sums += [F.count_if(within(c["g"], low, high)) for c, low, high in tried]
+        found = rows.agg(*[x.cast("bigint").alias(f"_{i}") for i, x in enumerate(sums)]).first()
+        for i, (c, low, high) in enumerate(tried):
+            below, n = found[i], found[len(tried) + i]
+            if below <= c["p"] < below + n:
+                c.update(low=low, high=high, below=below, n=n)
+        width *= 2 if any(c["n"] > ORDERED for c in cuts) else 1
+    ends: dict = {}
+    if cuts:
+        inside = [within(c["g"], c["low"], c["high"]) for c in cuts]
+        left = rows.where(reduce(lambda a, b: a | b, inside)).withColumn("_c", F.explode(F.array_compact(F.array(*[F.when(x, i) for i, x in enumerate(inside)]))))
+        w = Window.partitionBy("_c").orderBy(*order)
+        ranked = left.select("_c", t.alias("_t"), F.row_number().over(w).alias("_r"), F.coalesce(F.lead(t).over(w) == t, F.lit(False)).alias("_tie"))
+        picked = reduce(lambda a, b: a | b, [(F.col("_c") == i) & (F.col("_r") == c["p"] - c["below"] + 1) for i, c in enumerate(cuts)])
+        for r in ranked.where(picked).collect():
+            if r["_tie"]:
+                raise ValueError(f"rows are equal in {list(order)}")
+            ends.setdefault(cuts[r["_c"]]["g"], []).append(r["_t"])
+    out: Column = F.lit(0)
+    for g, last in ends.items():
+        out = F.when(g_col == g, reduce(lambda a, b: a + b, [(t > _literal(x, kind)).cast("int") for x in last])).otherwise(out)
+    return out
+
+
 def hash_rank(df: DataFrame, groups: Sequence[str], ids: Sequence[str], seed, name: str = "rank") -> DataFrame:
     """0-based rank of each row within ``groups`` in hash order: a repeatable shuffle."""
     groups, ids = list(groups), list(ids)

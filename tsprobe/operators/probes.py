@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,9 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tsprobe.functions.series import dot
 from tsprobe.operators import logistic
 from tsprobe.operators.metrics import classification_metrics, metrics_from_cells
-from tsprobe.operators.ordering import positions
+from tsprobe.operators.ordering import positions, segments
 from tsprobe.operators.scaling import apply_vector_scaler, fit_vector_scaler, invert_vector_scaler
-from tsprobe.operators.splits import kfold_contiguous, kfold_stratified
+from tsprobe.operators.splits import kfold_stratified
 from tsprobe.session import materialise
 
 # The parameter grids of the probes.
@@ -147,37 +148,52 @@ def centres(df: DataFrame, x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(row[x], dtype=float), np.array(row[y], dtype=float)
 
 
-def moments(df: DataFrame, x: str, y: str, group: str, shift: Callable[[int], np.ndarray]) -> DataFrame:
+#: a task adds up matrices of several groups at once if one has at most this many bytes, and sends them on beyond the other
+SMALL_MATRIX, HELD_MATRICES = 1 << 20, 64 << 20
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def moments(df: DataFrame, x: str, y: str, group: Column, shift: Callable[[int], np.ndarray]) -> DataFrame:
     """Lines (g, i, line) of the sum of z z' with z = (1, (x, y) - shift(g)) per ``group``, added up in the cluster.
 
-    Shifting by the means first keeps the digits that centring would lose. A task holds one matrix at a time: its rows
-    are sorted by group, summed by matrix products, and sent line by line.
+    Shifting by the means first keeps the digits that centring would lose. Rows reach numpy as Arrow lists and are summed by
+    matrix products. A task holds a bounded number of small matrices; of large ones it holds one at a time, and its
+    rows are sorted by group for that.
     """
-    schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("line", T.ArrayType(T.DoubleType()))])
 
-    def lines(g: int, m: np.ndarray) -> Iterator[pd.DataFrame]:
+    def lines(g: int, m: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(m), 256):
             part = m[at : at + 256]
-            yield pd.DataFrame({"g": g, "i": np.arange(at, at + len(part)), "line": list(part)})
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1]), pa.int32()), pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(part), pa.int32()), pa.array(np.arange(at, at + len(part)), pa.int32()), flat], ["g", "i", "line"])
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, m = None, None
-        for frame in frames:
-            groups = frame["g"].to_numpy()
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            groups = batch.column("g").to_numpy(zero_copy_only=False)
             for g in np.unique(groups):
-                mine = frame[groups == g]
-                v = np.hstack([np.array(mine["x"].tolist(), dtype=float), np.array(mine["y"].tolist(), dtype=float)]) - shift(int(g))
-                z = np.hstack([np.ones((len(mine), 1)), v])
-                if g != held:
-                    if m is not None:
-                        yield from lines(held, m)
-                    held, m = int(g), np.zeros((z.shape[1], z.shape[1]))
-                m += z.T @ z
-        if m is not None:
-            yield from lines(held, m)
-
-    rows = df.select(F.col(group).cast("int").alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).sortWithinPartitions("g")
-    return rows.mapInPandas(partial, schema).groupBy("g", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("line"))).alias("line"))
+                mine = batch.filter(pa.array(groups == g))
+                v = np.hstack([_vectors(mine.column("x")), _vectors(mine.column("y"))]) - shift(int(g))
+                z = np.hstack([np.ones((len(v), 1)), v])
+                m = z.T @ z
+                if int(g) in held:
+                    held[int(g)] += m
+                    continue
+                if held and (m.nbytes > SMALL_MATRIX or (1 + len(held)) * m.nbytes > HELD_MATRICES):
+                    for other, sums in held.items():
+                        yield from lines(other, sums)
+                    held = {}
+                held[int(g)] = m
+        for g, m in held.items():
+            yield from lines(g, m)
+
+    rows = df.select(group.cast("int").alias("g"), *[F.col(c).cast("array<double>").alias(n) for c, n in ((x, "x"), (y, "y"))]).where("g IS NOT NULL")
+    if 8 * (1 + len(shift(0))) ** 2 > SMALL_MATRIX:
+        rows = rows.sortWithinPartitions("g")
+    return rows.mapInArrow(partial, "g int, i int, line array<double>").groupBy("g", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("line"))).alias("line"))
 
 
 def each_group(summed: DataFrame, size: int) -> Iterator[np.ndarray]:
@@ -222,13 +238,12 @@ class RidgeResult:
         return F.transform(table, lambda r: r["b"] + dot(x.cast("array<double>"), r["w"]))
 
 
-def _search(df: DataFrame, x: str, y: str, group: str, alphas: Sequence[float], growing: bool) -> RidgeResult:
+def _search(df: DataFrame, x: str, y: str, group: Column, alphas: Sequence[float], growing: bool) -> RidgeResult:
     """Alpha by the folds in ``group``, refit on all rows.
 
     A plain fold is held out of the sum of all; of growing folds each is held out of those before it. The driver holds
     the running sum, one fold's matrix and the solver's copy: a few times (1 + D + H)^2 numbers, however many rows.
     """
-    df = materialise(df.select(x, y, group))  # read for the means and for the moments
     mean_x, mean_y = centres(df, x, y)
     d, size = len(mean_x), 1 + len(mean_x) + len(mean_y)
     summed = moments(df, x, y, group, lambda _, both=np.concatenate([mean_x, mean_y]): both).persist(StorageLevel.DISK_ONLY)
@@ -253,17 +268,49 @@ def _search(df: DataFrame, x: str, y: str, group: str, alphas: Sequence[float],
     return RidgeResult(best, cv, w, b + mean_y - mean_x @ w)
 
 
+def _segmented(train: DataFrame, x: str, y: str, idx: str, starts: Callable[[int], list[int]]) -> tuple[DataFrame, Column]:
+    """Rows, and the number of their segment of those that begin at ``starts(number of rows)``.
+
+    Rows of one id are in the order of a hash of their vectors. The rows stay where they are; only if a cut falls between
+    rows that are equal in everything they are numbered.
+    """
+    rows = train.select(x, y, idx, F.lit(0).alias("_l"), F.xxhash64(x, y).alias("_h"))
+    n = train.count()
+    begins = [r for r in starts(n) if r < n]
+    try:
+        return rows, segments(rows, "_l", [idx, "_h"], {0: begins})
+    except ValueError:
+        numbered = materialise(positions(rows, [], [idx, "_h"], "_p"))
+        return numbered, reduce(lambda a, b: a + b, [(F.col("_p") >= r).cast("int") for r in begins], F.lit(0))
+
+
+def _plain_starts(folds: int) -> Callable[[int], list[int]]:
+    return lambda n: [i * (n // folds) + min(i, n % folds) for i in range(1, folds)]
+
+
+def _time_starts(folds: int) -> Callable[[int], list[int]]:
+    def starts(n: int) -> list[int]:
+        step = n // (folds + 1)
+        return [n - (folds - i) * step for i in range(folds)] if step else []
+
+    return starts
+
+
 def ridge_probe(train: DataFrame, x: str, y: str, idx: str, alphas: Sequence[float] = ALPHA_GRID, folds: int = 5) -> RidgeResult:
-    """Multi-output ridge, alpha by plain contiguous folds: the whole grid search is one pass over the data and one for the means."""
-    return _search(kfold_contiguous(train, idx, folds), x, y, "fold", alphas, growing=False)
+    """Multi-output ridge, alpha by plain contiguous folds: the whole grid search is one pass over the data and one for the means.
+
+    The ids are read three times more, for the cuts between folds; a costly ``train`` is worth writing before.
+    """
+    return _search(*_with(_segmented(train, x, y, idx, _plain_starts(folds)), x, y), alphas, growing=False)
 
 
 def ridge_time_probe(train: DataFrame, x: str, y: str, idx: str, alphas: Sequence[float] = TIME_ALPHAS, folds: int = 5) -> RidgeResult:
     """As ``ridge_probe`` with expanding time folds: moments per time segment, training sums by prefix."""
-    placed = positions(train, [], [idx], "_p").withColumn("_n", train.agg(F.count(F.lit(1))).scalar())
-    step = F.floor(F.col("_n") / (folds + 1))
-    segment = F.greatest(F.lit(0), F.floor((F.col("_p") - (F.col("_n") - folds * step)) / step) + 1)
-    return _search(placed.withColumn("_seg", segment), x, y, "_seg", alphas, growing=True)
+    return _search(*_with(_segmented(train, x, y, idx, _time_starts(folds)), x, y), alphas, growing=True)
+
+
+def _with(found: tuple[DataFrame, Column], x: str, y: str) -> tuple[DataFrame, str, str, Column]:
+    return found[0], x, y, found[1]
 
 
 def scaled_ridge(train: DataFrame, test: DataFrame, x: str, y: str, idx: str, alphas: Sequence[float] = TIME_ALPHAS, folds: int = 5) -> tuple[RidgeResult, DataFrame]:
@@ -303,23 +350,26 @@ def layer_search(matrices: Iterator[np.ndarray], d: int, mean: np.ndarray, alpha
 def ridge_layers(embeddings: DataFrame, layers: Sequence[int], x: str, y: str, idx: str, alphas: Sequence[float] = TIME_ALPHAS, folds: int = 5) -> DataFrame:
     """Test rows of every layer with ``pred`` (on the scale of ``y``) and ``best_alpha`` of the layer's scaled ridge.
 
-    ``embeddings`` has ``layer`` and ``split`` (train, test). Positions, means and moments of all layers come from one pass
-    each; a task then searches the alphas of one layer, from as many matrices of (1 + features + targets)^2 numbers as
+    ``embeddings`` has ``layer`` and ``split`` (train, test). Cuts between segments, means and moments of all layers come from
+    one pass each, and no row is moved for them; a task then searches the alphas of one layer, from as many matrices of (1 + features + targets)^2 numbers as
     there are time segments. The driver gets the fitted weights.
     """
     place = {layer: i for i, layer in enumerate(layers)}
-    train = embeddings.where((F.col("split") == "train") & F.col("layer").isin(list(layers))).select("layer", idx, x, y)
-    numbered = materialise(positions(train, ["layer"], [idx], "_p"))
+    of_layer = reduce(lambda other, layer: F.when(F.col("layer") == layer, F.lit(place[layer])).otherwise(other), layers, F.lit(None).cast("int"))
+    train = embeddings.where((F.col("split") == "train") & F.col("layer").isin(list(layers))).select(of_layer.alias("_l"), idx, x, y, F.xxhash64(x, y).alias("_h"))
     vectors = [vector_to_array(Summarizer.mean(array_to_vector(F.col(c).cast("array<double>")))).alias(f"_{i}") for i, c in enumerate((x, y))]
-    known = {r["layer"]: r for r in numbered.groupBy("layer").agg(F.count(F.lit(1)).alias("_n"), *vectors).collect()}
-    means = [np.array([*known[layer]["_0"], *known[layer]["_1"]]) for layer in layers]
-    dims = [len(known[layer]["_0"]) for layer in layers]
-    n = F.get(F.array(*[F.lit(known[layer]["_n"]) for layer in layers]), F.col("_l"))
-    step = F.floor(n / (folds + 1))
-    segment = F.greatest(F.lit(0), F.floor((F.col("_p") - (n - folds * step)) / step) + 1)
-    of_layer = reduce(lambda other, layer: F.when(F.col("layer") == layer, F.lit(place[layer])).otherwise(other), layers, F.lit(None))
-    grouped = numbered.withColumn("_l", of_layer).withColumn("_g", F.col("_l") * (folds + 1) + F.coalesce(segment, F.lit(0)))
-    summed = moments(grouped, x, y, "_g", lambda g: means[g // (folds + 1)])
+    known = {r["_l"]: r for r in train.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"), *vectors).collect()}
+    means = [np.array([*known[i]["_0"], *known[i]["_1"]]) for i in range(len(layers))]
+    dims = [len(known[i]["_0"]) for i in range(len(layers))]
+    starts = {i: _time_starts(folds)(known[i]["_n"]) for i in range(len(layers))}
+    try:
+        segment = segments(train, "_l", [idx, "_h"], starts)
+    except ValueError:  # a cut between equal rows
+        train = materialise(positions(train, ["_l"], [idx, "_h"], "_p"))
+        segment = F.lit(0)
+        for i, begins in starts.items():
+            segment = F.when(F.col("_l") == i, reduce(lambda a, b: a + b, [(F.col("_p") >= r).cast("int") for r in begins], F.lit(0))).otherwise(segment)
+    summed = moments(train, x, y, F.col("_l") * (folds + 1) + segment, lambda g: means[g // (folds + 1)])
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["g", "i"])
@@ -330,15 +380,21 @@ def ridge_layers(embeddings: DataFrame, layers: Sequence[int], x: str, y: str, i
     fitted = summed.groupBy(F.floor(F.col("g") / (folds + 1)).alias("layer")).applyInPandas(search, "l int, best_alpha double, w array<double>, b array<double>")
     models = {r["l"]: (r["best_alpha"], np.array(r["w"]).reshape(dims[r["l"]], -1), np.array(r["b"])) for r in fitted.collect()}
 
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            pred, best = [], []
-            for layer, v in zip(frame["layer"], frame[x], strict=True):
-                alpha, w, b = models[place[layer]]
-                pred.append(np.asarray(v, float) @ w + b)
-                best.append(alpha)
-            yield frame.assign(pred=pred, best_alpha=best)
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            layer = batch.column("layer").to_numpy(zero_copy_only=False)
+            best, rows, preds = np.zeros(len(layer)), [], []
+            for of in np.unique(layer):
+                alpha, w, b = models[place[of.item()]]
+                mine = np.flatnonzero(layer == of)
+                pred = _vectors(batch.column(x).take(pa.array(mine))) @ w + b
+                best[mine] = alpha
+                rows.append(mine)
+                preds.append(pa.ListArray.from_arrays(pa.array(np.arange(0, pred.size + 1, pred.shape[1]), pa.int32()), pa.array(pred.ravel())))
+            if rows:
+                back = pa.array(np.argsort(np.concatenate(rows)))
+                yield batch.append_column("pred", pa.concat_arrays(preds).take(back)).append_column("best_alpha", pa.array(best))
 
     test = embeddings.where((F.col("split") == "test") & F.col("layer").isin(list(layers)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in test.schema)
-    return test.mapInPandas(predict, f"{fields}, pred array<double>, best_alpha double")
+    return test.mapInArrow(predict, f"{fields}, pred array<double>, best_alpha double")
