@@ -12,11 +12,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tsprobe.functions.hashing import hash_key
 from tsprobe.operators.metrics import confusion, metrics_from_cells
-from tsprobe.operators.ordering import null_safe_join
+from tsprobe.operators.ordering import null_safe_join, slice_count
 
 
 def _cells_per_run(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,19 +86,36 @@ def bootstrap_hash_scores(df: DataFrame, keys: Sequence[str], idx: str, n_boot:
     Costs rows times replicates; use ``bootstrap_ci`` for anything large.
     """
     keys = list(keys)
-    runs = _cells_per_run(df, keys)
-    logged = df.select(*keys, idx)
-    logged = null_safe_join(logged, runs, keys) if keys else logged.withColumn("cells", runs.select("cells").scalar()).withColumn("n", runs.select("n").scalar())
-    upto = F.transform(
-        "cells", lambda c, i: F.struct(
-            c["gt"].alias("gt"), c["pred"].alias("pred"),
-            F.aggregate(F.slice("cells", 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x["cnt"]).alias("upto"),
-        )
-    )
-    drawn = logged.withColumn("_u", upto).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    j = hash_key(seed, "replicate", idx) % F.col("n")
-    drawn = drawn.withColumn("_j", j).withColumn("_c", F.element_at(F.filter("_u", lambda c: c["upto"] > F.col("_j")), 1))
-    cells = drawn.groupBy(*keys, "replicate", F.col("_c.gt").alias("gt"), F.col("_c.pred").alias("pred")).agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
-    return metrics_from_cells(cells, [*keys, "replicate"])
+    runs = _cells_per_run(df, keys).select(*keys, "cells", "n", _running("cells").alias("_upto"))
+    bounds = runs.select(*keys, "n", "_upto")
+    # narrow rows over all tasks, however few the files; the draw is hashed before the bounds of its run come along
+    logged = df.select(*keys, F.col(idx).alias("_i")).repartition(slice_count(df), "_i")
+    drawn = logged.select(*keys, "_i", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+    drawn = drawn.select(*keys, "replicate", hash_key(seed, "replicate", "_i").alias("_h"))
+    met = null_safe_join(drawn, bounds, keys) if keys else drawn.crossJoin(bounds)
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The number of the cell that each row draws: the first whose running count passes the draw."""
+        for batch in batches:
+            h, n, upto = (batch.column(c) for c in ("_h", "n", "_upto"))
+            draw = h.to_numpy(zero_copy_only=False) % n.to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(upto).to_numpy(zero_copy_only=False))
+            flat = upto.flatten().to_numpy(zero_copy_only=False)
+            low = np.append(0, ends[:-1])
+            first, high = low.copy(), ends - 1
+            while (low < high).any():  # by halving, all rows at once
+                middle = (low + high) // 2
+                below = flat[middle] <= draw
+                low, high = np.where(below & (low < high), middle + 1, low), np.where(below, high, middle)
+            yield batch.drop_columns(["_h", "n", "_upto"]).append_column("_c", pa.array(low - first, pa.int32()))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in drawn.drop("_h").schema)
+    counted = met.mapInArrow(cells_of, f"{fields}, _c int").groupBy(*keys, "replicate", "_c").agg(F.count(F.lit(1)).alias("cnt"))
+    named = runs.select(*keys, F.posexplode("cells").alias("_c", "_cell")).select(*keys, "_c", "_cell.gt", "_cell.pred")
+    cells = null_safe_join(counted, named, [*keys, "_c"])
+    return metrics_from_cells(cells.select(*keys, "replicate", "gt", "pred", "cnt"), [*keys, "replicate"])
+
+
+def _running(cells: str) -> Column:
+    """Inclusive running counts of an array of cells."""
+    return F.transform(cells, lambda _, i: F.aggregate(F.slice(cells, 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x["cnt"]))
