@@ -312,6 +312,53 @@ def test_states_are_distributions():
         assert total == pytest.approx(1)
 
 
+def test_scores_are_those_of_the_whole_tree(spark):
+    """Counts, gains and kept contexts of many blocks against a tree of all words, pairs and triples, however rare."""
+    import zlib
+
+    from tsprobe.llm.suffix_tree import SHIFT, grow, possible, score_tokens
+
+    rng = random.Random(8)
+    phrases = [" ".join(f"w{rng.randrange(40)}" for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(phrases[int(400 * rng.random() ** 3)] if rng.random() < 0.7 else f"r{rng.randrange(900)}" for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += ["Rare twins stand here"] * 2 + ["rare twins " * 30] * 3 + ["", None]
+    tokens = [[*(t or "").lower().split(), " "] for t in texts]
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    kept = [ws for ws, t in zip(tokens, train) if t]
+    c1 = Counter(w for ws in kept for w in ws)
+    names = {w: i for i, w in enumerate(sorted(c1))}
+    ids = [np.array([names.get(w, len(names)) for w in ws], np.uint64) for ws in tokens]
+    c2, c3 = Counter(), Counter()
+    for x in (x for x, t in zip(ids, train) if t):
+        c2.update(((x[:-1] << SHIFT) | x[1:]).tolist())
+        c3.update(((x[:-2] << (SHIFT * np.uint64(2))) | (x[1:-1] << SHIFT) | x[2:]).tolist())
+    n_words = np.array([c1[w] for w in sorted(c1)])
+    total = sum(c1.values())
+    (k2, n2), (k3, n3) = ((np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)])) for c in (c2, c3))
+    last = n_words[(k2 & np.uint64((1 << 21) - 1)).astype(int)]
+    asked = dict(zip(k2.tolist(), possible(n2, last, 0.5 * np.log(total)).tolist(), strict=True))
+    k2, n2, k3, n3 = k2[n2 > 1], n2[n2 > 1], k3[n3 > 1], n3[n3 > 1]  # singletons go to the shorter state
+    tree = grow(np.arange(len(names), dtype=np.uint64), n_words, k2, n2, k3, n3, total, len(names))
+    assert len(tree.contexts) > 20 and min(c2[p] for p in tree.contexts.tolist()) < 20
+    assert all(asked[p] for p in tree.contexts.tolist()) and not all(asked.values())
+    root = np.log10((np.append(n_words, 0) + 1) / (total + len(names) + 1))
+    want = [score_tokens(tree, x, np.zeros(len(x), np.int32), root[x.astype(int)]).sum() for x in ids]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block_bytes in (4_000, 16 << 20):
+        a = score(df, block_bytes=block_bytes).toPandas().sort_values("doc_id")
+        assert a.n_tokens.tolist() == list(map(len, tokens)) and (a.train_tokens == total).all()
+        assert a.score.to_numpy() == pytest.approx(want, rel=1e-9)
+        assert a.base_score.to_numpy() == pytest.approx([root[x.astype(int)].sum() for x in ids], rel=1e-9)
+
+
+def test_rare_contexts_of_a_larger_table_are_kept(spark):
+    """Two sights are enough for a context, whatever the number of tokens (here over 4 million)."""
+    filler = spark.range(0, 300, 1, 8).select("id", F.repeat(F.lit("a b c d e f g h i j "), 1600).alias("text"))
+    a = score(filler.unionByName(spark.createDataFrame([(1000 + i, "Qq zz") for i in (1, 2)], "id long, text string")).withColumnRenamed("id", "doc_id")).where("doc_id >= 1000").toPandas()
+    assert not a.held_out.any() and (a.train_tokens > 4_000_000).all()
+    assert (a.score - a.base_score > 5).all()
+
+
 def test_fingerprints_of_odd_texts(spark, odd, none):
     a = fingerprints(odd).toPandas()
     assert len(a) == len(ODD) and a.near_edited.between(0, 1).all() and a.near_next.between(0, 1).all()

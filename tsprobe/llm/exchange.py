@@ -79,18 +79,6 @@ def reply_sums(asked: DataFrame, kind: type = np.uint32) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(answer, ANSWER)
 
 
-def frequent(asked: DataFrame, least: int, kind: type = np.uint32) -> DataFrame:
-    """The keys whose numbers add up to ``least`` or more: key, n."""
-    add = summed(kind)
-
-    def keep(rows: pa.Table) -> pa.Table:
-        _, distinct, sums, _ = add(rows)
-        some = sums >= least
-        return pa.table({"key": pa.array(distinct[some].view(np.int64)), "n": pa.array(sums[some])})
-
-    return asked.groupBy("bucket").applyInArrow(keep, "key long, n long")
-
-
 class Vocabulary:
     """Distinct tokens of a block: a place for each, and their hashes."""
 
