@@ -15,7 +15,8 @@ pairs are known to fail it.
 
 Tokens: words of the text with A-Z in lower case, then one end. A null text is an end alone; a null id is no held-out
 document. Repeated rows count as often as they occur. Tokens, pairs and triples are told apart by 64-bit hashes. Other
-columns are not read. A document is one unit of work, and a block has at least one.
+columns are not read. A document is one unit of work, and a block has at least one. Blocks are cut in the order of the rows:
+a part of ``docs`` that is read again after a loss has to come in the same order, as tables do; else an error is raised.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsprobe.llm.common import text
+from tsprobe.llm.common import saved, shuffle_partitions, text
 from tsprobe.llm.exchange import Vocabulary, strings
-from tsprobe.session import scratch_dir
 
 END = b" "  # no word has a space
 SHIFT = np.uint64(21)
@@ -154,6 +154,17 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
 
 
+def pack_gains(gains: np.ndarray) -> bytes:
+    """Signed numbers in whole steps of 2**-20, so that their sums don't depend on an order."""
+    steps = np.rint(gains * (1 << 20)).astype(np.int64)
+    return pack(((steps << 1) ^ (steps >> 63)).view(np.uint64))
+
+
+def unpack_gains(data: bytes) -> np.ndarray:
+    steps = unpack(data)
+    return (steps >> np.uint64(1)).view(np.int64) ^ -(steps & np.uint64(1)).view(np.int64)
+
+
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """A 64-bit hash of two hashes in this order."""
     out = (first * np.uint64(0x9E3779B97F4A7C15)) ^ second
@@ -246,8 +257,8 @@ class Block:
     def counted(self, heard: dict[int, bytes], n: int) -> None:
         """Take the answers about words and pairs."""
         self.words = np.zeros(len(self.hashes), np.int64)
-        self.words[self.order] = replied(heard, WORDS, n) >> np.uint64(1)
-        numbers = replied(heard, PAIRS, n)
+        self.words[self.order] = replied(heard, WORDS, n, len(self.hashes)) >> np.uint64(1)
+        numbers = replied(heard, PAIRS, n, len(self.pairs))
         self.pair_counts, self.pair_owned = (numbers >> np.uint64(1)).astype(np.int64), (numbers & np.uint64(1)).astype(bool)
         some = np.zeros(len(self.hashes), bool)
         some[self.before] = True
@@ -271,7 +282,7 @@ class Block:
 
     def tripled(self, heard: dict[int, bytes], n: int) -> None:
         """Take the answers about triples."""
-        numbers = replied(heard, TRIPLES, n)
+        numbers = replied(heard, TRIPLES, n, len(self.triples))
         self.triple_counts, self.triple_owned = (numbers >> np.uint64(1)).astype(np.int64), (numbers & np.uint64(1)).astype(bool)
         self.context_of = np.zeros(len(self.triples), np.int32)
         self.context_of[self.triple] = self.context[self.open]
@@ -293,8 +304,8 @@ class Block:
         of a pair is at most ``(shorter + 2) / e`` for all counts.
         """
         self.single, self.pair_single = np.zeros(len(self.hashes)), np.zeros(len(self.pairs))
-        self.single[self.firsts] = replied(heard, WORD_SINGLES, n) >> np.uint64(1)
-        self.pair_single[self.contexts] = replied(heard, PAIR_SINGLES, n) >> np.uint64(1)
+        self.single[self.firsts] = replied(heard, WORD_SINGLES, n, len(self.firsts)) >> np.uint64(1)
+        self.pair_single[self.contexts] = replied(heard, PAIR_SINGLES, n, len(self.contexts)) >> np.uint64(1)
         count = self.words[self.firsts]
         some = possible(count, float(total), cost, self.single[self.firsts]) | ((count + 2) / np.e > 2 * cost * (1 - 1e-9))
         self.open_words = self.firsts[some]
@@ -312,10 +323,13 @@ class Block:
         return root, one, (listed + (pair_single[self.context] + 1) * one[self.third]) / (self.pair_counts[self.context] + 1)
 
 
-def replied(heard: dict[int, bytes], kind: int, n: int) -> np.ndarray:
+def replied(heard: dict[int, bytes], kind: int, n: int, size: int) -> np.ndarray:
     """The answers of a kind of buckets, in the order of the keys."""
     mine = [unpack(heard[b]) for b in sorted(heard) if kind * n <= b < (kind + 1) * n]
-    return np.concatenate(mine) if mine else np.zeros(0, np.uint64)
+    out = np.concatenate([np.zeros(0, np.uint64), *mine])
+    if len(out) != size:
+        raise ValueError("a block has changed since it asked")
+    return out
 
 
 def flags(heard: dict[int, bytes], kind: int, keys: np.ndarray, n: int) -> np.ndarray:
@@ -357,23 +371,16 @@ def encode(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.R
         yield made()
 
 
-def written(df: DataFrame, **options: int) -> DataFrame:
-    """Like ``saved``, with options of the writer."""
-    path = scratch_dir(df.sparkSession, "llm")
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def score(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
     """Base and tree scores of all documents; those whose crc32(doc_id) mod ``fold`` is ``held`` are not learnt from."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text().alias("text"), held_out.alias("held_out"))
-    encoded = written(rows.mapInArrow(lambda batches: encode(batches, block_bytes), ENCODED), maxRecordsPerFile=1)
-    n, trained = encoded.agg(F.count("*"), F.sum("trained")).first()
-    n, trained = max(1, n), trained or 0
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-size // block_bytes))
+    # several passes meet the answers in it; a lost part is encoded again
+    blocks = rows.mapInArrow(lambda batches: encode(batches, block_bytes), ENCODED).repartition(n, "block").persist(StorageLevel.DISK_ONLY)
+    trained = blocks.agg(F.sum("trained")).first()[0] or 0
     cost = 0.5 * float(np.log(max(trained, 2)))
-    # several passes meet the answers in it; a lost part is read again from what is written
-    blocks = encoded.repartition(n, "block").persist(StorageLevel.DISK_ONLY)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,7 +393,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = 16 <
     def answered(rows: pa.Table) -> pa.Table:
         return answer(rows, n)
 
-    counts = written(encoded.mapInArrow(asked, ASKED).groupBy("bucket").applyInArrow(answered, ANSWER))
+    counts = saved(blocks.mapInArrow(asked, ASKED).groupBy("bucket").applyInArrow(answered, ANSWER))
     vocabulary = sum(int(unpack(r.answer)[0]) for r in counts.where("block = -1").select("answer").toLocalIterator())
     counts = counts.where("block >= 0")
 
@@ -398,7 +405,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = 16 <
         once = mine.continuations(mine.pair_counts == 1, mine.pair_owned, mine.word_of(0), len(mine.hashes))
         return table_of(ask(TRIPLES, mine.number, mine.triples, numbers, n) + ask(WORD_SINGLES, mine.number, mine.hashes[mine.firsts], once[mine.firsts], n), ASKED)
 
-    counts = counts.unionByName(written(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(ask_triples, ASKED).groupBy("bucket").applyInArrow(answered, ANSWER)))
+    counts = counts.unionByName(saved(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(ask_triples, ASKED).groupBy("bucket").applyInArrow(answered, ANSWER)))
 
     def ask_singles(key: tuple[pa.Scalar, ...], block: pa.Table, replies: pa.Table) -> pa.Table:
         mine, heard = Block(block.to_pylist()[0]), heard_of(replies)
@@ -409,7 +416,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = 16 <
         once += np.bincount(mine.context[~mine.open & mine.train[mine.at[mine.third]]], minlength=len(once))
         return table_of(ask(PAIR_SINGLES, mine.number, mine.pairs[mine.contexts], once[mine.contexts], n), ASKED)
 
-    counts = counts.unionByName(written(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(ask_singles, ASKED).groupBy("bucket").applyInArrow(answered, ANSWER)))
+    counts = counts.unionByName(saved(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(ask_singles, ASKED).groupBy("bucket").applyInArrow(answered, ANSWER)))
 
     def ask_contexts(key: tuple[pa.Scalar, ...], block: pa.Table, replies: pa.Table) -> pa.Table:
         """What the block's training tokens gain by each context, and how many listed continuations it counts."""
@@ -423,21 +430,22 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = 16 <
         gains = np.bincount(mine.before, np.where(learnt, np.log(one / root[mine.at]), 0), len(mine.hashes))[mine.open_words]
         several = mine.continuations(mine.pair_counts > 1, mine.pair_owned, mine.word_of(0), len(mine.hashes))[mine.open_words]
         keys = mine.hashes[mine.open_words]
-        rows = [(WORD_CONTEXTS * n + b, mine.number, pack_keys(keys[i:j]), gains[i:j].tobytes(), pack(several[i:j]), b"", b"") for b, i, j in cuts(keys, n)]
+        rows = [(WORD_CONTEXTS * n + b, mine.number, pack_keys(keys[i:j]), pack_gains(gains[i:j]), pack(several[i:j]), b"", b"") for b, i, j in cuts(keys, n)]
         gains = np.bincount(mine.context, np.where(learnt[mine.third], np.log(two / one[mine.third]), 0), len(mine.pairs))[mine.open_pairs]
         several = mine.continuations(mine.triple_counts > 1, mine.triple_owned, mine.context_of, len(mine.pairs))[mine.open_pairs]
         keys, owned, last = mine.pairs[mine.open_pairs], mine.pair_owned[mine.open_pairs], mine.hashes[mine.word_of(1)[mine.open_pairs]]
         for b, i, j in cuts(keys, n):
-            rows.append((PAIR_CONTEXTS * n + b, mine.number, pack_keys(keys[i:j]), gains[i:j].tobytes(), pack(several[i:j]), np.packbits(owned[i:j]).tobytes(), last[i:j][owned[i:j]].tobytes()))
+            rows.append((PAIR_CONTEXTS * n + b, mine.number, pack_keys(keys[i:j]), pack_gains(gains[i:j]), pack(several[i:j]), np.packbits(owned[i:j]).tobytes(), last[i:j][owned[i:j]].tobytes()))
         return table_of(rows, GAINS)
 
     def judge(rows: pa.Table) -> pa.Table:
         """Which contexts pass the test; rows for no block name the last words of kept pairs, which are kept too."""
         each = [unpack_keys(x) for x in rows.column("keys").to_pylist()]
         keys, where = distinct(np.concatenate(each))
-        gains = np.bincount(where, np.concatenate([np.frombuffer(x) for x in rows.column("gains").to_pylist()]), len(keys))
+        gains = np.zeros(len(keys), np.int64)
+        np.add.at(gains, where, np.concatenate([unpack_gains(x) for x in rows.column("gains").to_pylist()]))
         several = np.bincount(where, np.concatenate([unpack(x) for x in rows.column("numbers").to_pylist()]), len(keys))
-        keep = (gains > cost * (several + 1))[where]
+        keep = (gains / (1 << 20) > cost * (several + 1))[where]
         ends = np.cumsum([len(k) for k in each])
         bucket = rows.column("bucket")[0].as_py()
         words = bucket >= WORD_CONTEXTS * n
@@ -464,7 +472,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = 16 <
                 out.append((block, bucket, np.packbits(keep | np.isin(keys, forced)).tobytes()))
         return table_of(out, ANSWER)
 
-    judged = written(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(ask_contexts, GAINS).groupBy("bucket").applyInArrow(judge, JUDGED))
+    judged = saved(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(ask_contexts, GAINS).groupBy("bucket").applyInArrow(judge, JUDGED))
     pairs_kept = judged.where(F.col("bucket") < WORD_CONTEXTS * n).select("block", "bucket", "answer")
     words_kept = judged.where(F.col("bucket") >= WORD_CONTEXTS * n).groupBy("bucket").applyInArrow(keep_suffixes, ANSWER)
 
