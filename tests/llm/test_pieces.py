@@ -359,6 +359,26 @@ def test_rare_contexts_of_a_larger_table_are_kept(spark):
     assert (a.score - a.base_score > 5).all()
 
 
+def test_workers_give_freed_memory_back():
+    from tsprobe.llm.common import lean
+
+    pins = []
+
+    def busy(key, rows):
+        many = [bytes(1000) for _ in range(100_000)]
+        pins.append(bytes(1000))  # above the others, so that the heap does not shrink by itself
+        return len(many)
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    busy(1, 2)
+    before = resident()
+    assert lean(busy)(1, 2) == 100_000 and resident() < before - (50 << 20)
+    assert lean(lambda a: a)(1) == 1 and lean(lambda a, b, c: c)(1, 2, 3) == 3
+
+
 def test_fingerprints_of_odd_texts(spark, odd, none):
     a = fingerprints(odd).toPandas()
     assert len(a) == len(ODD) and a.near_edited.between(0, 1).all() and a.near_next.between(0, 1).all()

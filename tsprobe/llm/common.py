@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +58,26 @@ def text_blocks(docs: DataFrame, columns: list[Column], block_bytes: int = 16 <<
     return docs.select(*columns, block).repartition(n, "block"), n
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker outlives its task, and the next stages need the room beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """``f`` of a group, of a key and a group, or of a key and two groups; afterwards the worker gives back its memory."""
+
+    def done(*args):
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    return {1: lambda a: done(a), 2: lambda a, b: done(a, b), 3: lambda a, b, c: done(a, b, c)}[f.__code__.co_argcount]
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, slice_rows: int = 5_000) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows before this one among those with equal keys.
 

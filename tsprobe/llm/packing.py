@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsprobe.llm.common import running, saved, text
+from tsprobe.llm.common import give_back, running, saved, text
 from tsprobe.llm.pretokens import Cache, Encoder, id_bytes
 
 CACHES: dict = {}
@@ -115,6 +115,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
                     at, piece = at + size, piece + 1
             types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text().alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

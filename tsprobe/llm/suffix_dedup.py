@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tsprobe.llm.common import text, text_blocks
+from tsprobe.llm.common import lean, text, text_blocks
 from tsprobe.llm.exchange import by_bucket, strings
 from tsprobe.llm.two_stage import least_owners
 
@@ -280,8 +280,8 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, block_bytes: int = 16
         kinds = pa.struct([(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.string()) for x in added.split(", ")])
         return pa.table({"block": block.column("block"), "_row": block.column("_row"), "repeats": pa.array(rows, kinds)})
 
-    grams = blocks.groupBy("block").applyInArrow(ask_grams, ASKED).groupBy("bucket").applyInArrow(answer_grams, ANSWER)
-    sent = blocks.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(send, SENT)
-    windows = sent.groupBy("bucket").applyInArrow(answer_windows, ANSWER)
-    done = blocks.groupBy("block").cogroup(grams.union(windows).groupBy("block")).applyInArrow(cut, schema)
+    grams = blocks.groupBy("block").applyInArrow(lean(ask_grams), ASKED).groupBy("bucket").applyInArrow(lean(answer_grams), ANSWER)
+    sent = blocks.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(lean(send), SENT)
+    windows = sent.groupBy("bucket").applyInArrow(lean(answer_windows), ANSWER)
+    done = blocks.groupBy("block").cogroup(grams.union(windows).groupBy("block")).applyInArrow(lean(cut), schema)
     return done.select("_row.*", "repeats")
