@@ -16,7 +16,8 @@ pairs are known to fail it.
 Tokens: words of the text with A-Z in lower case, then one end. A null text is an end alone; a null id is no held-out
 document. Repeated rows count as often as they occur. Tokens, pairs and triples are told apart by 64-bit hashes. Other
 columns are not read. A document is one unit of work, and a block has at least one. Blocks are cut in the order of the rows:
-a part of ``docs`` that is read again after a loss has to come in the same order, as tables do; else an error is raised.
+a part of ``docs`` that is read again after a loss has to come in the same order, as tables do; else answers don't fit, which
+is noticed (and raised) only where the number of questions has changed.
 """
 
 from __future__ import annotations
